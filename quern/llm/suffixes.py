@@ -217,7 +217,7 @@ def marked(docs: DataFrame, n: int = LENGTH, gram: int = GRAM) -> DataFrame:
         spans = spans.unionByName(each.where("copies = 1").join(twice, ["h", "f"], "left_semi").select("t1", "t2", "s", (F.col("s") + n).alias("e")))
     # A text's own ranges only; copies of a text share them.
     spans = spans.groupBy("t1", "t2", "s").agg(F.max("e").alias("e")).groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
-    return written(spans, "spans")
+    return written(spans.mapInArrow(join_spans, "t1 long, t2 long, spans array<struct<s:int,e:int>>"), "spans")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -237,6 +237,16 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """t1, t2 and sorted spans, with spans that overlap or touch made one."""
+    for b in batches:
+        at, first, last = _ranges(b, 2)
+        rows = [merged(zip(first[s:e].tolist(), last[s:e].tolist(), strict=True)) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        off = np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int32)
+        flat = pa.StructArray.from_arrays([pa.array([r[k] for row in rows for r in row], pa.int32()) for k in (0, 1)], ["s", "e"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(off), flat)], ["t1", "t2", "spans"])
+
+
 def with_spans(docs: DataFrame, n: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs, with text (null: empty) and spans, null or the sorted ranges to remove from it."""
     spans = marked(docs, n, gram)
