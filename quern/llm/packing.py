@@ -30,7 +30,7 @@ OPEN_BINS = 2048
 #: sequences against some thousand full ones.
 TASK_BYTES = 64 << 20
 #: Pieces of text whose ids a worker remembers at once.
-CACHE = 400_000
+CACHE = 1_000_000
 
 # Texts of these characters only are cut into words here: lower-casing and the tokenizer's
 # normal form are the same letter by letter for them. All others go to the tokenizer whole.
@@ -56,9 +56,9 @@ class Ids:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), 5000):
-            part = words[k : k + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        for k in range(0, len(words), 1000):
+            part = words[k : k + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stop = np.flatnonzero(self.ends[ids]) + 1
             if len(stop) == len(part):
                 data, at = ids.tobytes(), 0
