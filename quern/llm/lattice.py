@@ -70,6 +70,8 @@ class Pieces:
         self.order = np.argsort(key)
         self.keys, self.longest = key[self.order], int(size.max())
         self.lengths = np.unique(size)
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self.keys >> U(44)] = True
         self.set(weight)
 
     def set(self, weight: np.ndarray) -> None:
@@ -79,21 +81,27 @@ class Pieces:
         self.logp[~inner] = np.log(w[~inner] / w[~inner].sum())
         self.logp[inner] = np.log(w[inner] / w[inner].sum())
 
-    def spans(self, m: np.ndarray):
-        """The piece (or -1) on each span of words of equal length: a dict by (from, to)."""
+    def spans(self, m: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """(rows, pieces) that stand on each span (from, to) of words of equal length."""
         n, size = m.shape
         p = Prefix(np.ascontiguousarray(m).ravel())
-        base = np.arange(n) * size
+        sums, inv = p.sums[:-1].reshape(n, size), p.inv[:-1].reshape(n, size)
+        last = p.sums[size::size]
         out = {}
         for i in range(size):
-            for k in self.lengths:
-                if i + k > size:
+            for k in self.lengths.tolist():
+                j = i + k
+                if j > size:
                     break
-                h = mix(p.span(base + i, base + i + k) + U(k))
+                h = mix(((last if j == size else sums[:, j]) - sums[:, i]) * inv[:, i] + U(k))
+                rows = np.flatnonzero(self.seen[h >> U(44)])
+                if not len(rows):
+                    continue
+                h = h[rows]
                 at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
                 hit = self.keys[at] == h
                 if hit.any():
-                    out[i, i + int(k)] = np.where(hit, self.order[at], -1)
+                    out[i, j] = rows[hit], self.order[at[hit]]
         return out
 
     def forward(self, m: np.ndarray, spans) -> np.ndarray:
@@ -101,13 +109,8 @@ class Pieces:
         n, size = m.shape
         a = np.full((size + 1, n), -np.inf)
         a[0] = 0
-        table = np.append(self.logp[:-1], -np.inf)  # index -1: no piece
-        into: dict[int, list[int]] = {}
-        for i, j in spans:
-            into.setdefault(j, []).append(i)
-        for j in range(1, size + 1):
-            for i in into.get(j, ()):
-                a[j] = np.logaddexp(a[j], a[i] + table[spans[i, j]])
+        for (i, j), (rows, piece) in sorted(spans.items(), key=lambda x: x[0][1]):
+            a[j, rows] = np.logaddexp(a[j, rows], a[i, rows] + self.logp[piece])
         return a
 
     def score(self, m: np.ndarray) -> np.ndarray:
@@ -121,19 +124,14 @@ class Pieces:
         n, size = m.shape
         z = np.full((size + 1, n), -np.inf)
         z[size] = 0
-        table = np.append(self.logp[:-1], -np.inf)
-        count = np.zeros(len(self.logp) + 1)
-        for i in range(size - 1, -1, -1):
-            for k in self.lengths:
-                if (i, i + k) in spans:
-                    s = spans[i, i + int(k)]
-                    path = table[s] + z[i + int(k)]
-                    z[i] = np.logaddexp(z[i], path)
-                    # the total of a row is a[size]; what passes this arc is a[i] + path
-                    count += np.bincount(s + 1, np.exp(a[i] + path - a[size]), len(count))
-        out = count[1:]
-        out[-1] = n
-        return out
+        count = np.zeros(len(self.logp))
+        for (i, j), (rows, piece) in sorted(spans.items(), key=lambda x: -x[0][0]):
+            path = self.logp[piece] + z[j, rows]
+            z[i, rows] = np.logaddexp(z[i, rows], path)
+            # the total of a row is a[size]; what passes this arc is a[i] + path
+            count += np.bincount(piece, np.exp(a[i, rows] + path - a[size, rows]), len(count))
+        count[-1] = n
+        return count
 
 
 def by_length(data: np.ndarray, off: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
