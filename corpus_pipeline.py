@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm import jaccard, language, mixing, packing, suffixes
-from quern.llm.common import chosen, reachable, shared_dir, small, stowed, unstowed, written
+from quern.llm.common import chosen, prepare, shared_dir, small, stowed, unstowed, written
 from quern.llm.queries import tokenizer_path
 
 #: Bytes of a passage that the suffix-array stage removes: fifty short words.
@@ -19,14 +19,14 @@ REPEAT_GRAM = 48
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language."""
-    reachable(spark)
+    prepare(spark)
     return language.accepted(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies, that with the smallest id; of rows that
     repeat an id, one. Rows without an id stay."""
-    reachable(spark)
+    prepare(spark)
     found = jaccard.jaccard_join(chosen(docs, doc_id="long", text="string")).where("doc_id is not null")
     gone = written(found.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "near-copies")
     rows = stowed(docs, doc_id="long", text="string").join(small(gone, gone.count()), "doc_id", "left")
@@ -38,7 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that stand anywhere else; those of nothing else go."""
-    reachable(spark)
+    prepare(spark)
     left = suffixes.remove_repeats(docs, REPEAT_BYTES, REPEAT_GRAM)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast("long"))
@@ -47,13 +47,13 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    reachable(spark)
+    prepare(spark)
     return mixing.mixture(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and the training sequences that hold them."""
-    reachable(spark)
+    prepare(spark)
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 

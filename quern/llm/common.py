@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of (long) keys up to which a side is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Rows that go to Python at once; texts are long, and a batch lies in both processes.
+ARROW_KEY, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,9 +76,10 @@ def chosen(df: DataFrame, **kinds: str) -> DataFrame:
     return _flat(df).select(*(F.col(f"_c{df.columns.index(n)}").cast(kind).alias(n) for n, kind in kinds.items()))
 
 
-def stowed(df: DataFrame, **kinds: str) -> DataFrame:
-    """chosen columns, and the whole row as `_row` for unstowed."""
-    return _flat(df).select(*(F.col(f"_c{df.columns.index(n)}").cast(kind).alias(n) for n, kind in kinds.items()), F.struct("*").alias("_row"))
+def stowed(df: DataFrame, without: str | None = None, **kinds: str) -> DataFrame:
+    """chosen columns, and the whole row, or all but one column, as `_row` for unstowed."""
+    rest = [F.col(f"_c{i}") for i, n in enumerate(df.columns) if n != without] or [F.lit(0).alias("_none")]
+    return _flat(df).select(*(F.col(f"_c{df.columns.index(n)}").cast(kind).alias(n) for n, kind in kinds.items()), F.struct(*rest).alias("_row"))
 
 
 def unstowed(df: DataFrame, columns: list[str], **new: str) -> DataFrame:
@@ -84,9 +87,12 @@ def unstowed(df: DataFrame, columns: list[str], **new: str) -> DataFrame:
     return df.select(*((F.col(new[c]) if c in new else F.col(f"_row._c{i}")).alias(c) for i, c in enumerate(columns)))
 
 
-def reachable(spark: SparkSession) -> None:
-    """Python workers on this machine find the library where the driver found it; on a cluster
-    it is installed or sent with --py-files."""
+def prepare(spark: SparkSession) -> None:
+    """Python workers on this machine find the library where the driver found it (on a cluster
+    it is installed or sent with --py-files), and get whole texts in batches of ARROW_ROWS
+    unless the session has a size of its own."""
+    if spark.conf.get(ARROW_KEY) == "10000":
+        spark.conf.set(ARROW_KEY, str(ARROW_ROWS))
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):

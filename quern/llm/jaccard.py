@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, Prefix, U, from_bytes, groups, labels, mix, raw, runs, slices, words
+from .arrays import LOWER, U, Prefix, from_bytes, groups, labels, lean, mix, raw, runs, slices, words
 from .common import chosen, components, small, written
 
 WORDS = 5
@@ -130,7 +130,7 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * bands, bands, dtype=np.int32)), pa.array(key[place].view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pick(f1.view(np.int64)), pick(f2.view(np.int64)), from_bytes(sig[place].view(np.uint8).ravel(), np.full(j - i, 2 * bands * rows), pa.binary()), keys], ["doc_id", "f1", "f2", "sig", "keys"])
 
-    return chosen(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, f1 long, f2 long, sig binary, keys array<long>")
+    return chosen(docs, doc_id="long", text="string").mapInArrow(lean(run), "doc_id long, f1 long, f2 long, sig binary, keys array<long>")
 
 
 def probable(a: np.ndarray, b: np.ndarray | None, least: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +244,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
                 yield pa.RecordBatch.from_arrays([pa.array(rep[on]), pa.array(rep[low[on]])], ["a", "b"])
 
     keys = ["band", "key", "lo", "hi"]
-    loose = components(near.repartition(parts, *keys).sortWithinPartitions(*keys, "rep").mapInArrow(prune, "a long, b long"), "near-edges")
+    loose = components(near.repartition(parts, *keys).sortWithinPartitions(*keys, "rep").mapInArrow(lean(prune), "a long, b long"), "near-edges")
     loose = written(loose, "near")
 
     # Exact verification within the groups that survivors span.
@@ -261,7 +261,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([x.tobytes() for x in own], pa.binary())], ["rep", "shingles"])
 
     texts = chosen(docs, doc_id="long", text="string").withColumnRenamed("doc_id", "rep")
-    texts = texts.join(small(loose.select(F.col("node").alias("rep")), n_members), "rep", "left_semi").mapInArrow(sets, "rep long, shingles binary")
+    texts = texts.join(small(loose.select(F.col("node").alias("rep")), n_members), "rep", "left_semi").mapInArrow(lean(sets), "rep long, shingles binary")
     payload = texts.groupBy("rep").agg(F.min("shingles").alias("shingles")).join(reps.select("rep", "sig", "copies"), "rep")
     meet = split(members.join(payload, "rep"), ["comp"], "n", GROUP_BLOCK).select("comp", "lo", "hi", "side", "rep", "copies", "sig", "shingles")
 
@@ -299,7 +299,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
                 yield pa.RecordBatch.from_arrays([pa.array(rep[s:e][on]), pa.array(rep[s:e][low[on]]), pa.array(w[on].astype(np.int64))], ["a", "b", "w"])
 
     keys = ["comp", "lo", "hi"]
-    found = written(meet.repartition(parts, *keys).sortWithinPartitions(*keys, "rep").mapInArrow(verify, "a long, b long, w long"), "jaccard-links")
+    found = written(meet.repartition(parts, *keys).sortWithinPartitions(*keys, "rep").mapInArrow(lean(verify), "a long, b long, w long"), "jaccard-links")
     tight = components(found.select("a", "b"), "jaccard-edges")
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
     nodes = reps.select("f1", "f2", "rep", "copies").join(tight.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, U, mix, raw, slices
+from .arrays import LOWER, U, lean, mix, raw, slices
 from .common import chosen, small, stowed, unstowed, written
 
 BITS = 15
@@ -81,7 +81,7 @@ def profiles(docs: DataFrame, languages: list[str]) -> np.ndarray:
 
     number = F.array_position(F.array(*map(F.lit, languages)), F.col("declared")).cast("int") - 1
     # at most languages x 2 ** BITS rows, however large the corpus
-    got = docs.where(F.col("declared").isin(languages)).select(number.alias("lang"), "text").mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.where(F.col("declared").isin(languages)).select(number.alias("lang"), "text").mapInArrow(lean(run), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     total = np.full((len(languages), 1 << BITS), SMOOTH)
     total[got.column("lang").to_numpy(), got.column("bucket").to_numpy()] += got.column("n").to_numpy()
     return np.log(total / total.sum(1, keepdims=True))
@@ -106,7 +106,7 @@ def likelihoods(docs: DataFrame, table: np.ndarray) -> DataFrame:
                 rest = [b.column(k).slice(i, j - i) for k in range(b.num_columns) if k != at]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(letters.astype(np.int64)), lists], [n for n, _ in kinds] + ["letters", "ll"])
 
-    return docs.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds) + ", letters long, ll array<double>")
+    return docs.mapInArrow(lean(run), ", ".join(f"{n} {k}" for n, k in kinds) + ", letters long, ll array<double>")
 
 
 def _normal(logs):

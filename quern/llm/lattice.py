@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, Prefix, U, from_bytes, mix, raw, slices, words
+from .arrays import LOWER, U, Prefix, from_bytes, lean, mix, raw, slices, words
 from .common import chosen, written
 
 #: Bytes of text of a chunk; a task holds one with its words.
@@ -198,7 +198,7 @@ def train_counts(docs: DataFrame) -> DataFrame:
             yield rows()
         yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([ends], pa.int64())], ["word", "h1", "h2", "c"])
 
-    counted = docs.select("text", "train").mapInArrow(run, "word binary, h1 long, h2 long, c long")
+    counted = docs.select("text", "train").mapInArrow(lean(run), "word binary, h1 long, h2 long, c long")
     return counted.groupBy("word", "h1", "h2").agg(F.sum("c").alias("c"))
 
 
@@ -220,7 +220,7 @@ def train_pieces(counts: DataFrame, pieces: list[bytes], rounds: int = EM_ROUNDS
             yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(total[on])], ["piece", "n"])
 
         # one row for each piece: as many as the vocabulary has, however large the corpus
-        got = counts.where("c > 0").select("word").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum(F.round("n", 6).cast("decimal(30,6)")).cast("double").alias("n")).toArrow()
+        got = counts.where("c > 0").select("word").mapInArrow(lean(run), "piece int, n double").groupBy("piece").agg(F.sum(F.round("n", 6).cast("decimal(30,6)")).cast("double").alias("n")).toArrow()
         weight = np.zeros(len(pieces) + 1)
         weight[got.column("piece").to_numpy()] = got.column("n").to_numpy()
     return weight
@@ -254,7 +254,7 @@ def lm_score(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, rounds:
             base = np.log10((c + 0.5) / (total + 0.5 * (types + 1)))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(base), pa.array(both)], ["h1", "h2", "c", "base", "own"])
 
-    priced = counts.mapInArrow(price, "h1 long, h2 long, c long, base double, own double")
+    priced = counts.mapInArrow(lean(price), "h1 long, h2 long, c long, base double, own double")
     end = priced.where("h1 = 0 and h2 = 0").select("c", "base", "own").first()
     end = (int(end[0]), float(end[1]), float(end[2])) if end else (0, 0.0, 0.0)
 
@@ -279,7 +279,7 @@ def lm_score(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, rounds:
                 part = both[:, s : s + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(part.shape[1], k, np.int32)), pa.array(part[0]), pa.array(part[1])], ["chunk", "h1", "h2"])
 
-    needed = dealt.mapInArrow(own_words, "chunk int, h1 long, h2 long").join(priced, ["h1", "h2"]).select("chunk", "h1", "c", "base", "own")
+    needed = dealt.mapInArrow(lean(own_words), "chunk int, h1 long, h2 long").join(priced, ["h1", "h2"]).select("chunk", "h1", "c", "base", "own")
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
         h = known.column("h1").to_numpy().view(U)

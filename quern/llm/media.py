@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import raw
+from .arrays import lean, raw
 from .common import chosen
 
 ALIGN = 64
@@ -245,7 +245,7 @@ def to_media(docs: DataFrame) -> DataFrame:
                 media = [mux(t + bytes(max(ALIGN, -(-len(t) // ALIGN) * ALIGN) - len(t))) for t in (data[off[k] : off[k + 1]].tobytes() for k in range(i, j))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return chosen(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return chosen(docs, doc_id="long", text="string").mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def packet_table(media: DataFrame) -> DataFrame:
@@ -262,7 +262,7 @@ def packet_table(media: DataFrame) -> DataFrame:
                     own = b.column(0).slice(k, 1).take(pa.array(np.zeros(len(part), np.int32)))
                     yield pa.RecordBatch.from_arrays([own, pa.array(range(i, i + len(part)), pa.int32()), *(pa.array([p[c] for p in part], kind) for c, kind in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32())))], names)
 
-    return chosen(media, doc_id="long", media="binary").mapInArrow(run, "doc_id long, packet int, track int, timestamp_ns long, start long, length long, keyframe boolean, cluster int, lacing int")
+    return chosen(media, doc_id="long", media="binary").mapInArrow(lean(run), "doc_id long, packet int, track int, timestamp_ns long, start long, length long, keyframe boolean, cluster int, lacing int")
 
 
 def digests(media: DataFrame) -> DataFrame:
@@ -284,4 +284,4 @@ def digests(media: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names)
 
-    return chosen(media, doc_id="long", n_bytes="long", media="binary").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
+    return chosen(media, doc_id="long", n_bytes="long", media="binary").mapInArrow(lean(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrays import slices, words
+from .arrays import lean, slices, words
 from .common import chosen, small, stowed, unstowed, written
 
 WEIGHTS = (3, 1, 2)
@@ -87,7 +87,7 @@ def sizes(docs: DataFrame) -> DataFrame:
             n = [np.diff(words(data, off)[2]) for _, _, data, off in slices(b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64)), b.column(2)], ["doc_id", "src", "size", "h"])
 
-    return keyed(docs).select("doc_id", "src", "h", "text").mapInArrow(run, "doc_id long, src string, size long, h long")
+    return keyed(docs).select("doc_id", "src", "h", "text").mapInArrow(lean(run), "doc_id long, src string, size long, h long")
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import groups, labels, runs
+from .arrays import groups, labels, lean, runs
 from .common import chosen, components, small, written
 
 THRESHOLD = 0.93
@@ -121,7 +121,7 @@ def near_dedup(table: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["label", "dim", "lo", "hi"]
-    found = written(tiles.repartition(parts, *keys).sortWithinPartitions(*keys, "side", "rep").mapInArrow(run, "a long, b long, w long"), "links")
+    found = written(tiles.repartition(parts, *keys).sortWithinPartitions(*keys, "side", "rep").mapInArrow(lean(run), "a long, b long, w long"), "links")
     comps = components(found.select("a", "b"), "vector-edges")
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
     nodes = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left").select("label", "v", "rep", (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("comp", "rep").alias("c"))

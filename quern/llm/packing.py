@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import raw
+from .arrays import lean, raw
 from .common import chosen
 
 MAX_TOKENS = 2048
@@ -30,7 +30,7 @@ OPEN_BINS = 2048
 #: sequences against some thousand full ones.
 TASK_BYTES = 64 << 20
 #: Pieces of text whose ids a worker remembers at once.
-CACHE = 1_000_000
+CACHE = 400_000
 
 # Texts of these characters only are cut into words here: lower-casing and the tokenizer's
 # normal form are the same letter by letter for them. All others go to the tokenizer whole.
@@ -114,7 +114,7 @@ def pieces(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, end_id: int
                 first = last
 
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return chosen(docs, doc_id="long", text="string").mapInArrow(run, kind)
+    return chosen(docs, doc_id="long", text="string").mapInArrow(lean(run), kind)
 
 
 def best_fit(lengths: list[int], size: int, open_bins: int) -> tuple[list[int], list[int]]:
@@ -168,7 +168,7 @@ def pack(items: DataFrame, tasks: int, max_tokens: int = MAX_TOKENS, open_bins:
 
     dealt = items.withColumn("_h", F.xxhash64("doc_id", "piece", "start")).repartition(tasks, "_h").sortWithinPartitions("_h", "doc_id", "piece", "ids_crc32").select(*columns)
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
-    return dealt.mapInArrow(run, out + ", sequence_id long, offset long")
+    return dealt.mapInArrow(lean(run), out + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, open_bins: int = OPEN_BINS, task_bytes: int = TASK_BYTES) -> DataFrame:

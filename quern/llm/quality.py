@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, Prefix, U, mix, raw, slices, words
+from .arrays import LOWER, U, Prefix, lean, mix, raw, slices, words
 from .common import chosen
 
 BITS = 18
@@ -116,7 +116,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["doc_id", "grade", "idx", "val"])
 
     # one row for each rated id, so no more than sample
-    got = texts.select("doc_id", "text", "grade").mapInArrow(run, "doc_id long, grade int, idx binary, val binary").groupBy("doc_id").agg(F.min(F.struct("grade", "idx", "val")).alias("x")).select("doc_id", "x.*").orderBy("doc_id").toArrow()
+    got = texts.select("doc_id", "text", "grade").mapInArrow(lean(run), "doc_id long, grade int, idx binary, val binary").groupBy("doc_id").agg(F.min(F.struct("grade", "idx", "val")).alias("x")).select("doc_id", "x.*").orderBy("doc_id").toArrow()
     idx, off = raw(got.column("idx"))
     val, _ = raw(got.column("val"))
     idx = np.frombuffer(idx[off[0] : off[-1]].tobytes(), np.int32).astype(np.int64)
@@ -140,7 +140,7 @@ def grade(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: float = K
                 full = np.bincount(row, minlength=j - i) > 0
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(z), pa.array(p.sum(1)), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(len(cuts))), pa.array((p[:, -1] >= keep) & full)], ["doc_id", "score", "expected_grade", *names, "kept"])
 
-    return chosen(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, score double, expected_grade double, " + ", ".join(f"{n} double" for n in names) + ", kept boolean")
+    return chosen(docs, doc_id="long", text="string").mapInArrow(lean(run), "doc_id long, score double, expected_grade double, " + ", ".join(f"{n} double" for n in names) + ", kept boolean")
 
 
 def graded(labels: DataFrame) -> DataFrame:

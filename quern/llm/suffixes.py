@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .arrays import Prefix, U, groups, mix, raw, runs, slices
+from .arrays import U, Prefix, groups, lean, mix, raw, runs, slices
 from .common import chosen, small, stowed, unstowed, written
 
 LENGTH = 400
@@ -73,7 +74,7 @@ def contexts(docs: DataFrame, n: int, gram: int) -> DataFrame:
                 take = pa.array(i + row)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array((a - off[row]).astype(np.int32)), pa.array((a - p).astype(np.int32)), pa.array((q - p).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64))], names)
 
-    return docs.mapInArrow(run, "doc_id long, t1 long, t2 long, pos int, reach int, more int, h long, ctx long")
+    return docs.mapInArrow(lean(run), "doc_id long, t1 long, t2 long, pos int, reach int, more int, h long, ctx long")
 
 
 def extract(batches: Iterator[pa.RecordBatch], n: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -183,7 +184,7 @@ def marked(docs: DataFrame, n: int = LENGTH, gram: int = GRAM) -> DataFrame:
     by_text = written(by_text, "wanted")
     size = by_text.agg(F.count("*"), F.sum(F.size("wanted"))).first()
     few = small(by_text, size[0] + (size[1] or 0))
-    parts_of = keys.join(few, ["doc_id", "t1", "t2"]).select("t1", "t2", "text", "wanted").mapInArrow(lambda it: extract(it, n, gram), "h long, n_ctx long, lead binary, t1 long, t2 long, pos int, reach int, more int, copies long, body binary")
+    parts_of = keys.join(few, ["doc_id", "t1", "t2"]).select("t1", "t2", "text", "wanted").mapInArrow(lean(lambda it: extract(it, n, gram)), "h long, n_ctx long, lead binary, t1 long, t2 long, pos int, reach int, more int, copies long, body binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["h"]):
@@ -210,14 +211,14 @@ def marked(docs: DataFrame, n: int = LENGTH, gram: int = GRAM) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)).take(take) for c in ("h", "t1", "t2")), pa.array((pos[k] - reach[k] + at).astype(np.int32)), pa.array(np.full(len(at), copies[k])), pa.array(one.view(np.int64))], ["h", "t1", "t2", "s", "copies", "f"])
 
     normal = parts_of.where(F.col("n_ctx") <= HOT).repartitionByRange(parts, "lead", "h").sortWithinPartitions("h", "t1", "t2", "pos")
-    spans = whole.unionByName(normal.mapInArrow(compare, "t1 long, t2 long, s int, e int"))
+    spans = whole.unionByName(normal.mapInArrow(lean(compare), "t1 long, t2 long, s int, e int"))
     if some.where(F.col("n_ctx") > HOT).limit(1).count():
-        each = written(parts_of.where(F.col("n_ctx") > HOT).mapInArrow(strings, "h long, t1 long, t2 long, s int, copies long, f long"), "hot-strings")
+        each = written(parts_of.where(F.col("n_ctx") > HOT).mapInArrow(lean(strings), "h long, t1 long, t2 long, s int, copies long, f long"), "hot-strings")
         twice = each.groupBy("h", "f").agg(F.count("*").alias("n")).where("n > 1")
         spans = spans.unionByName(each.where("copies = 1").join(twice, ["h", "f"], "left_semi").select("t1", "t2", "s", (F.col("s") + n).alias("e")))
     # A text's own ranges only; copies of a text share them.
     spans = spans.groupBy("t1", "t2", "s").agg(F.max("e").alias("e")).groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
-    return written(spans.mapInArrow(join_spans, "t1 long, t2 long, spans array<struct<s:int,e:int>>"), "spans")
+    return written(spans.mapInArrow(lean(join_spans), "t1 long, t2 long, spans array<struct<s:int,e:int>>"), "spans")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -247,9 +248,9 @@ def join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(off), flat)], ["t1", "t2", "spans"])
 
 
-def with_spans(docs: DataFrame, n: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def with_spans(docs: DataFrame, n: int = LENGTH, gram: int = GRAM, key: str = "doc_id") -> DataFrame:
     """docs, with text (null: empty) and spans, null or the sorted ranges to remove from it."""
-    spans = marked(docs, n, gram)
+    spans = marked(docs.select(F.col(key).alias("doc_id"), "text"), n, gram)
     rows, total = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
     return keyed(docs).join(small(spans, rows + (total or 0)), ["t1", "t2"], "left").drop("t1", "t2")
 
@@ -285,29 +286,32 @@ def digest_repeats(docs: DataFrame, n: int = LENGTH, gram: int = GRAM) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off)), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = with_spans(chosen(docs, doc_id="long", text="string"), n, gram).select("doc_id", "text", "spans")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, n: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with the repeated bytes cut out of text; cut characters go as a whole. Rows keep
     their columns; a null text stays null."""
 
-    @F.pandas_udf("string")
-    def cut(text, spans):
-        out = []
-        for t, x in zip(text, spans, strict=True):
-            if t is None or x is None or not len(x):
-                out.append(t)
-                continue
-            data, kept, place = t.encode(), [], 0
-            for s, e in merged((r["s"], r["e"]) for r in x):
-                kept.append(data[place:s])
-                place = e
-            out.append(b"".join([*kept, data[place:]]).decode("utf-8", "ignore"))
-        import pandas as pd
-
-        return pd.Series(out, dtype=object)
-
-    rows = with_spans(stowed(docs, doc_id="long", text="string").withColumn("_null", F.col("text").isNull()), n, gram)
-    text = F.when(F.col("_null"), None).when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans"))
-    return unstowed(rows.withColumn("text", text), docs.columns, text="text")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = raw(b.column(0))
+            at, first, last = _ranges(b, 1)
+            null = b.column(2).to_numpy(zero_copy_only=False)
+            for i in range(0, b.num_rows, 1000):
+                j, out = min(b.num_rows, i + 1000), []
+                for k in range(i, j):
+                    text, kept, place = data[off[k] : off[k + 1]], [], 0
+                    if null[k]:
+                        out.append(None)
+                        continue
+                    for s, e in zip(first[at[k] : at[k + 1]].tolist(), last[at[k] : at[k + 1]].tolist(), strict=True):
+                        kept.append(text[place:s].tobytes())
+                        place = e
+                    out.append(b"".join([*kept, text[place:].tobytes()]).decode("utf-8", "ignore"))
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *(c.slice(i, j - i) for c in b.columns[3:])], ["text", *b.schema.names[3:]])
+
+    rows = stowed(docs, without="text", doc_id="long", text="string").withColumnRenamed("doc_id", "_id").withColumn("_null", F.col("text").isNull())
+    rows = with_spans(rows, n, gram, "_id").select("text", "spans", "_null", "_row")
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("_row", rows.schema["_row"].dataType)])
+    return unstowed(rows.mapInArrow(lean(run), schema), docs.columns, text="text")
