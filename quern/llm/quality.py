@@ -25,7 +25,7 @@ from .arrays import LOWER, U, Prefix, lean, mix, raw, slices, words
 from .common import chosen
 
 BITS = 18
-SAMPLE = 12_000
+SAMPLE = 8_000
 NORM = 0.5
 PREFIXES = (4, 6)
 LEAST_TEXTS = 3
@@ -119,10 +119,12 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE
     got = texts.select("doc_id", "text", "grade").mapInArrow(lean(run), "doc_id long, grade int, idx binary, val binary").groupBy("doc_id").agg(F.min(F.struct("grade", "idx", "val")).alias("x")).select("doc_id", "x.*").orderBy("doc_id").toArrow()
     idx, off = raw(got.column("idx"))
     val, _ = raw(got.column("val"))
-    idx = np.frombuffer(idx[off[0] : off[-1]].tobytes(), np.int32).astype(np.int64)
-    val = np.frombuffer(val[off[0] : off[-1]].tobytes(), np.float32).astype(np.float64)
-    row = np.repeat(np.arange(len(off) - 1), np.diff(off) // 4)
-    return fit(row, idx, val, got.column("grade").to_numpy().astype(np.int64), grades)
+    idx = np.frombuffer(idx[off[0] : off[-1]].tobytes(), np.int32)
+    val = np.frombuffer(val[off[0] : off[-1]].tobytes(), np.float32)
+    row = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off) // 4)
+    grades_of = got.column("grade").to_numpy().astype(np.int64)
+    del got
+    return fit(row, idx, val, grades_of, grades)
 
 
 def grade(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: float = KEEP) -> DataFrame:
