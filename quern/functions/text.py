@@ -76,3 +76,45 @@ def cosine(a: Column, b: Column) -> Column:
     """In double precision."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def drop_links(c: Column) -> Column:
+    """Without what follows a see-more mark, links and addresses; at most two newlines in a row."""
+    for pattern, to in [(r"(?s)>> Xem thêm.*", ""), (r"\[[^\n]*?\]\(http[^)]+\)", ""), (r"https?://[^\t\n\f\r ]+", ""), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")]:
+        c = F.regexp_replace(c, pattern, to)
+    return c
+
+
+def _found(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
+def author(c: Column) -> Column:
+    """What stands in the first parentheses of 3 to 60 characters, or null."""
+    return _found(F.regexp_extract(c, r"\(([^)]{3,60})\)", 1))
+
+
+def title(c: Column) -> Column:
+    """The first line without the site's name behind a bar."""
+    return F.trim(F.substring_index(F.substring_index(c, "\n", 1), "|", 1))
+
+
+def marked_span(c: Column) -> Column:
+    """The text from the mark [ ... ] to the first mark of a page's foot, or null."""
+    return _found(F.regexp_replace(F.regexp_extract(c, r"(?s)\[\s*[.]{3}\s*\](.*?)(?:Bình luận|👉|Luyện Bài|Báo lỗi|\z)", 1), r"^\s+|\s+$", ""))
+
+
+def search_terms(c: Column) -> Column:
+    """Words of all scripts, one blank between them."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+
+
+def clip(c: Column, markers: list[str], least: int) -> Column:
+    """c up to the first of markers, in their order, that stands after `least` characters."""
+    at = lambda m: F.instr(c, m) - 1
+    return F.coalesce(*(F.when(at(m) > least, F.substring(c, F.lit(1), at(m))) for m in markers), c)
+
+
+def occurrences(c: Column, word: str) -> Column:
+    """How often word stands in c, without overlaps."""
+    return ((F.length(c) - F.length(F.replace(c, F.lit(word), F.lit("")))) / len(word)).cast("long")

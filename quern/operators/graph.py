@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,15 @@ def either_end(hits: DataFrame, edges: DataFrame) -> DataFrame:
     """hits joined to the edges that they begin or end: two equal-key joins, no OR."""
     one = hits.join(edges, hits["node_id"] == edges["src"])
     return one.unionByName(hits.join(edges, hits["node_id"] == edges["dst"]))
+
+
+def materialise(nodes: DataFrame, carried: DataFrame, targets: str) -> DataFrame:
+    """src, dst of the ids in each node's array of targets, as far as the target is a node."""
+    edges = carried.select(F.col("node_id").alias("src"), F.explode(targets).alias("dst"))
+    return edges.join(nodes.select(F.col("node_id").alias("dst")), "dst").select("src", "dst")
+
+
+def link_by(orphaned: DataFrame, known: DataFrame, key: str, value: str, otherwise: Column) -> DataFrame:
+    """orphaned with the smallest value of known rows with their key, else a synthetic one."""
+    first = known.groupBy(key).agg(F.min(value).alias("_v"))
+    return orphaned.join(first, key, "left").withColumn(value, F.coalesce("_v", otherwise)).withColumn("synthetic", F.col("_v").isNull()).drop("_v")

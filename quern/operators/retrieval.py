@@ -38,6 +38,23 @@ def semantic(queries: DataFrame, points: DataFrame, k: int, low: int | None = No
     return ranked(scored, ["qid"], [F.desc("score"), F.col("vec_id")], k)
 
 
+def semantic_all(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """qid, vec_id, score, rank over all points: a stated set of queries against every row. Up
+    to FEW queries are broadcast; more meet the points in blocks, salted so that a block's
+    points spread over all tasks."""
+    n, asked = queries.count(), queries.select("qid", "qvec")
+    if n <= FEW:
+        pairs = points.join(F.broadcast(asked), F.lit(True))
+    else:
+        n_blocks, salts = -(-n // FEW), int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        place = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+        asked = asked.withColumn("_b", place("qid", n_blocks)).withColumn("_s", every(salts))
+        pairs = points.withColumn("_s", place("vec_id", salts)).withColumn("_b", every(n_blocks)).join(asked, ["_b", "_s"])
+    scored = pairs.select("qid", "vec_id", F.round(cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
+    return ranked(scored, ["qid"], [F.desc("score"), F.col("vec_id")], k)
+
+
 def relaxed(queries: DataFrame, strict: DataFrame, loose) -> DataFrame:
     """strict hits; for queries without any, those of loose(queries), computed for them only."""
     empty = queries.join(strict.select("qid").distinct(), "qid", "left_anti")

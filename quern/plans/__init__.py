@@ -1,0 +1 @@
+from quern.plans import catalogue, curation  # noqa: F401  (curation adds its queries)

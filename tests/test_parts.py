@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import rules
 from quern.functions import text as X
-from quern.operators import graph
+from quern.operators import graph, retrieval
 from quern.sources import tables
 from quern.streaming import upsert
 
@@ -48,3 +48,11 @@ def test_stream_takes_each_page_once(spark, tmp_path):
     stream = spark.readStream.schema("url string, content_hash string, crawled_at timestamp").parquet(str(src))
     upsert.write_batches(upsert.fresh(stream), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_many_queries_meet_all_points_in_blocks(spark, monkeypatch):
+    points = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "vec_id long, embedding array<double>")
+    asked = points.where("vec_id % 5 = 0").selectExpr("vec_id AS qid", "embedding AS qvec")
+    few = retrieval.semantic_all(asked, points, 4).collect()
+    monkeypatch.setattr(retrieval, "FEW", 5)
+    assert sorted(retrieval.semantic_all(asked, points, 4).collect()) == sorted(few)
