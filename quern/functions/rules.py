@@ -75,6 +75,7 @@ SUBJECTS: Rules = [
     ("dia_li", [r"khí hậu", r"địa hình", r"dân số", r"châu\s+\w+", r"đại dương", r"khoáng sản", r"đồng bằng", r"cao nguyên", r"kinh tế vùng", r"công nghiệp hóa", r"nông nghiệp\b", r"địa lí", r"địa lý", r"vùng kinh tế", r"bản đồ"]),
     ("gdcd", [r"đạo đức", r"trung thực", r"tôn trọng", r"pháp luật", r"quyền và nghĩa vụ", r"nhân quyền", r"công dân", r"tiết kiệm", r"gdcd", r"giáo dục công dân", r"nhặt được", r"quyền trẻ em"]),
 ]
+LITERATURE = [r"bài đọc", r"bài thơ", r"tập làm văn", r"văn mẫu", r"nhân vật", r"tác giả", r"tác phẩm", r"phân tích\s+bài", r"soạn\s+(bài|văn)", r"đọc hiểu", r"văn bản", r"đọc\s+(cho\s+\w+\s+)?bài\b", r"nghe\s+bài\b", r"cảm\s+nhận", r"tóm\s+tắt\s+bài", r"nội\s+dung\s+(bài|của)", r"nhớ\s+rừng"]
 CONTENT: Rules = [
     ("soan_van", ["soạn bài", "soan-bai", "soạn văn", "soan-van"]),
     ("phan_tich", ["phân tích", "phan-tich", "nghị luận", "nghi-luan", "cảm nhận", "bình giảng"]),

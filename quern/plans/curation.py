@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import rules as R
 from quern.functions import text as X
-from quern.operators import blocks, graph, ingest, retrieval
-from quern.plans.catalogue import _BAND, _KEY, _NODES, _Q, _TITLES, _TOP, frame, nodes_edges, query, values, vectors
+from quern.operators import blocks, graph, ingest, retrieval, route
+from quern.plans.catalogue import _BAND, _KEY, _NAMES, _NODES, _Q, _SAY, _SCORES, _TITLES, _TOP, frame, nodes_edges, query, values, vectors
 from quern.sources.tables import table
 
 
@@ -322,3 +322,37 @@ def crawl_frontier(spark, d):
 def last_title(spark, d):
     rows = table(spark, d, "pages").select(F.regexp_replace("url", "[?#].*$", "").alias("url"), "page_id", F.trim(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)).alias("title"))
     return ingest.upsert(rows, "url", F.col("page_id"), [], ["title"]).select("url", "title")
+
+
+# From question to hits -------------------------------------------------------------------------
+_ASK = [*_SAY, "trang 12 lớp 6 tính phương trình", "bài 4 trang 20 về quang hợp", "bài 2 trang 31 nhân vật", "trang 7 lớp 3", "hôm nay lớp mình học bài gì"]
+_MOST = "greatest(" + ", ".join(_NAMES) + ", lit)"
+_listed = lambda names: ", ".join(map(R.quoted, names))
+_UNDERSTOOD = (
+    f"i AS (SELECT qid, grade, {R.sql_first_rule('lower(trim(q))', R.INTENT, 'lookup_reading')} AS intent, {_SCORES}, {R.sql_score('lower(q)', R.LITERATURE)} AS lit FROM (SELECT v.*, label AS grade FROM {values(_ASK)} JOIN embeddings ON vec_id = qid)), "
+    f"s AS (SELECT qid, grade, intent, CASE WHEN intent IN ({_listed(route.LITERATURE_INTENTS)}) THEN 'ngu_van' WHEN {_MOST} = 0 THEN NULL " + " ".join(f"WHEN {n} = {_MOST} THEN '{n}'" for n in _NAMES) + " WHEN grade <= 5 THEN 'tieng_viet' ELSE 'ngu_van' END AS subject FROM i), "
+    f"u AS (SELECT *, CASE WHEN intent IN ({_listed(route.NO_SEARCH)}) THEN NULL WHEN subject = 'toan' THEN 'math' WHEN subject = 'khtn' THEN 'science' WHEN subject IN ({_listed(route.SOCIAL)}) THEN 'social' WHEN subject IN ('ngu_van', 'tieng_viet') THEN CASE intent WHEN 'lookup_reading' THEN 'reading' WHEN 'explain_concept' THEN 'concepts' WHEN 'writing_outline' THEN 'outline' END WHEN intent = 'lookup_curriculum' THEN 'curriculum' ELSE 'global' END AS route FROM s)"
+)
+_DIM = ", ".join(f"('{s}', {k}, {low if low is not None else 'NULL'})" for s, k, low in route.COLLECTIONS)
+_SOURCE = "[" + ", ".join(f"'{s}'" for s, _, _ in route.COLLECTIONS) + "][CAST(vec_id % 5 AS INTEGER) + 1]"
+_best_of = "SELECT qid, source, vec_id, score, r FROM (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY score DESC, vec_id) AS r FROM ({rows})) WHERE r <= k"
+_pairs = "SELECT qid, a.source, k, p.vec_id, round(list_cosine_similarity(p.v, a.qv), 6) AS score FROM {asked} a JOIN p ON p.source = a.source"
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """Questions, each with the vector and label of the row of its number."""
+    points = table(spark, d, "embeddings")
+    own = points.where(F.col("vec_id") < len(_ASK)).select(F.col("vec_id").cast("int").alias("qid"), F.col("embedding").alias("qvec"), F.col("label").alias("grade"))
+    return route.understand(frame(spark, _ASK).join(F.broadcast(own), "qid"))
+
+
+@query(f"WITH {_UNDERSTOOD} SELECT qid, intent, subject, route FROM u")
+def route_questions(spark, d):
+    return asked(spark, d).select("qid", "intent", "subject", "route")
+
+
+@query(f"WITH {_UNDERSTOOD}, dim(source, k, low) AS (VALUES {_DIM}), p AS (SELECT vec_id, label, {_SOURCE} AS source, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), a AS (SELECT qid, grade, dim.source, low, CASE WHEN route = 'global' THEN {route.GLOBAL_HITS} ELSE k END AS k, p.v AS qv FROM u JOIN dim ON route = dim.source OR route = 'global' JOIN p ON p.vec_id = qid), t AS ({_best_of.format(rows=_pairs.format(asked='a') + ' WHERE CASE WHEN low IS NULL THEN label BETWEEN 0 AND grade ELSE label BETWEEN greatest(low, grade - 1) AND grade + 1 END')}), e AS (SELECT * FROM a WHERE (qid, source) NOT IN (SELECT (qid, source) FROM t)), m AS (SELECT * FROM t UNION ALL {_best_of.format(rows=_pairs.format(asked='e'))}) SELECT qid, source, vec_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, source, r) AS INTEGER) AS rank FROM m) WHERE rank <= {route.MERGED}")
+def retrieve_routed(spark, d):
+    """Questions end to end; the collections are the points by vec_id modulo 5."""
+    source = F.element_at(F.array(*(F.lit(s) for s, _, _ in route.COLLECTIONS)), (F.col("vec_id") % 5 + 1).cast("int"))
+    return route.retrieve(asked(spark, d), table(spark, d, "embeddings").select("vec_id", "embedding", "label", source.alias("source")))
