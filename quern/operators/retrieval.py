@@ -61,6 +61,23 @@ def relaxed(queries: DataFrame, strict: DataFrame, loose) -> DataFrame:
     return strict.withColumn("tier", F.lit(0)).unionByName(loose(empty).withColumn("tier", F.lit(1)))
 
 
+def containing(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows of texts (id, t and others) with the names (name_id, name) that t holds.
+
+    A name's inner words (between blanks) are whole words of each text that holds it, so texts
+    are first looked up by the longest of them, by equal keys; only those found are searched.
+    Names without an inner word are searched for in all texts.
+    """
+    inner = F.expr("array_max(transform(filter(slice(split(name, ' '), 2, greatest(size(split(name, ' ')) - 2, 0)), x -> x <> ''), x -> struct(length(x) AS n, x AS x)))")
+    names = names.select("name_id", "name", inner.getField("x").alias("_k"))
+    words = texts.select("id", F.explode(F.split("t", " ")).alias("_k"))
+    found = words.join(few(names.where("_k is not null"), 200_000), "_k").select("id", "name_id", "name").distinct()
+    held = F.contains("t", "name")
+    hits = texts.join(few(found, 200_000), "id").where(held)
+    bare = texts.join(few(names.where("_k is null").drop("_k")), held)
+    return hits.unionByName(bare)
+
+
 def first_tier(df: DataFrame, by: str) -> DataFrame:
     """Rows of each group's lowest tier."""
     return df.withColumn("_t", F.min("tier").over(W.partitionBy(by))).where("tier = _t").drop("_t")

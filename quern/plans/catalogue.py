@@ -117,10 +117,10 @@ def recall_precision_mrr(spark, d):
 
 @query("WITH q AS (SELECT item_id, lower(substr(text, 1, 24)) AS name FROM benchmark), h AS (SELECT item_id, doc_id, CASE WHEN starts_with(lower(text), name) THEN 0 ELSE 1 END AS tier, n_chars FROM q JOIN documents ON contains(lower(text), name)) SELECT item_id, doc_id, CASE WHEN tier = 0 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY tier, n_chars, doc_id) AS INTEGER) AS rank FROM h) WHERE rank <= 5")
 def exact_lookup(spark, d):
-    """Names in texts whatever their case, exact starts first; names are few, texts are not."""
-    names = table(spark, d, "benchmark").select("item_id", F.lower(F.substring("text", 1, 24)).alias("name"))
-    docs = table(spark, d, "documents").select("doc_id", "n_chars", F.lower("text").alias("t"))
-    hits = docs.join(retrieval.few(names), F.contains("t", "name")).select("item_id", "doc_id", "n_chars", F.when(F.startswith("t", "name"), 0).otherwise(1).alias("tier"))
+    """Names in texts whatever their case, exact starts first."""
+    names = table(spark, d, "benchmark").select(F.col("item_id").alias("name_id"), F.lower(F.substring("text", 1, 24)).alias("name"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars", F.lower("text").alias("t"))
+    hits = retrieval.containing(docs, names).select(F.col("name_id").alias("item_id"), F.col("id").alias("doc_id"), "n_chars", F.when(F.startswith("t", "name"), 0).otherwise(1).alias("tier"))
     best = retrieval.ranked(hits, ["item_id"], [F.col("tier"), F.col("n_chars"), F.col("doc_id")], 5)
     return best.select("item_id", "doc_id", F.when(F.col("tier") == 0, 1.0).otherwise(0.8).alias("score"), "rank")
 

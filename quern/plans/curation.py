@@ -53,9 +53,13 @@ def graph_keyword_scores(spark, d):
 def graph_contains_join(spark, d):
     """Texts inside the query, else queries whose start is inside the text; longest first, two each."""
     q = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("q"))
-    docs = table(spark, d, "documents").where("text <> ''").select("doc_id", F.lower("text").alias("t"))
-    inside = F.contains("q", "t")
-    hits = docs.join(retrieval.few(q), inside | F.contains(F.col("t"), F.substring("q", 1, 40))).select("item_id", "doc_id", F.when(inside, 0).otherwise(1).alias("direction"), F.length("t").alias("size"))
+    docs = table(spark, d, "documents").where("text <> ''").select(F.col("doc_id").alias("id"), F.lower("text").alias("t"))
+    longest = q.agg(F.max(F.length("q"))).first()[0] or 0
+    short = docs.where(F.length("t") <= longest)
+    size = F.length("t").alias("size")
+    inside = short.join(retrieval.few(q), F.contains("q", "t")).select("item_id", F.col("id").alias("doc_id"), size, F.lit(0).alias("direction"))
+    around = retrieval.containing(docs, q.select(F.col("item_id").alias("name_id"), F.substring("q", 1, 40).alias("name"))).select(F.col("name_id").alias("item_id"), F.col("id").alias("doc_id"), size, F.lit(1).alias("direction"))
+    hits = inside.unionByName(around).groupBy("item_id", "doc_id").agg(F.min("direction").alias("direction"), F.max("size").alias("size"))
     return retrieval.ranked(hits, ["item_id"], [F.col("direction"), F.desc("size"), F.col("doc_id")], 2).select("item_id", "doc_id", "direction", "rank")
 
 

@@ -56,3 +56,10 @@ def test_many_queries_meet_all_points_in_blocks(spark, monkeypatch):
     few = retrieval.semantic_all(asked, points, 4).collect()
     monkeypatch.setattr(retrieval, "FEW", 5)
     assert sorted(retrieval.semantic_all(asked, points, 4).collect()) == sorted(few)
+
+
+def test_names_are_found_with_and_without_inner_words(spark):
+    texts = spark.createDataFrame([(1, "one two three four"), (1, "one two three four"), (2, "xone two threex"), (3, "two"), (4, None), (5, "a  b")], "id int, t string")
+    names = spark.createDataFrame([(7, "ne two thr"), (8, "two"), (9, "a  b"), (10, "wo thr")], "name_id int, name string")
+    got = sorted((r["name_id"], r["id"]) for r in retrieval.containing(texts, names).collect())
+    assert got == [(7, 1), (7, 1), (7, 2), (8, 1), (8, 1), (8, 2), (8, 3), (9, 5), (10, 1), (10, 1), (10, 2)]
