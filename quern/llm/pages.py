@@ -1,25 +1,29 @@
 """HTML extraction: equivalence-class template deduction over the pages of a host.
 
-A page is read as a sequence of tokens, its tags with class, id and role. Tokens of a host whose
-occurrence vectors (how often each page has them) are equal form a class; the vector is kept as
-a sum of hashes over pages, so that it is a grouped aggregate and a host with any share of the
-pages never meets in one task. A class is valid if enough of the host's pages have it; valid
-classes nest by the order and the extent of their tokens, and make the host's template. The
-template's slot for the main text is the article or main element of a class that holds once on a
-page, or else the innermost element of such a class that keeps most of the host's text outside
-boilerplate. Each page is then cut at the template and the text of that slot comes out, without
-the slots that belong to menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and comments. Where a host has no such element, blocks that recur on most of its pages
-are template text and go.
+A page is read as a sequence of tokens: its tags with class, id and role, and its blocks of text
+(by a hash of the whole block). Tokens of a host whose occurrence vectors (how often each page has
+them) are equal form a class; the vector is kept as a sum of hashes over pages, so that it is a
+grouped aggregate and a host with any share of the pages never meets in one task. A class is valid
+if enough of the host's pages have it. Blocks of valid classes are the template's own text; what
+is left of an element after those nested in it is its varying text. The template's slot for the
+main text is an element of a class that holds once on a page: an article or main element with at
+least half of the host's varying text, or else the innermost container with most of it, those of
+classes of several tokens first. Each page is then cut at the template and what varies in that
+slot comes out: blocks constant over the host's pages go, and so do elements that a fixed list of
+names marks as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+comments, whose text may vary from page to page like the main text. Where a host has no slot,
+blocks that recur on most of its pages go.
 
 Cases. Null or empty html: empty text. Pages that end early, unclosed or stray tags, quotes and
 comments are read as far as they go. A null or unusual url belongs to the host ''. Pages of a
-host with too few pages for a template go by their own elements. Repeated rows come out alike.
+host with too few pages for a template go by their own elements. A page whose slot has constant
+blocks only (copies of one page) keeps them. Repeated rows come out alike.
 Null page_ids are kept. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -37,6 +41,11 @@ SUPPORT = 0.5
 LEAST = 3
 #: Share of a host's pages on which a block of text makes it template text.
 RECURS = 0.6
+#: Inside the slot a block may recur and still be main text (a heading, a formula): there it is
+#: constant on at least this share of the host's pages, and on this number of pages.
+CONSTANT, CONSTANT_LEAST = 0.8, 8
+#: Share of a host's varying text in the slot: of an article or main element, of any container.
+NAMED_HOLDS, HOLDS = 0.5, 0.8
 
 # Element names and the words in class, id and role that mark boilerplate.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -100,13 +109,20 @@ def clean(parts: list[str]) -> str:
     return " ".join((entities.unescape(text) if "&" in text else text).split())
 
 
+def block(text: str) -> str:
+    """What a block of text is known by."""
+    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest()
+
+
 def walk(page: str, slot: str | None):
-    """(blocks in the slot, blocks outside boilerplate, tokens): tokens are (token, depth,
-    text kept inside, boilerplate) in page order."""
+    """(blocks in the slot, blocks outside boilerplate, tokens, places): tokens are (token, depth,
+    text kept inside, boilerplate, place of the token around) in page order, places the innermost
+    tokens around the blocks outside boilerplate (-1: none)."""
     stack: list[list] = []  # name, token, in boilerplate, in slot, place in seen
     seen: list[list] = []
     inside: list[str] = []
     outside: list[str] = []
+    places: list[int] = []
     parts: list[str] = []
     drop = hit = False
 
@@ -114,6 +130,7 @@ def walk(page: str, slot: str | None):
         if parts:
             if not drop and (text := clean(parts)):
                 outside.append(text)
+                places.append(stack[-1][4] if stack else -1)
                 if hit:
                     inside.append(text)
                 if stack:
@@ -149,7 +166,7 @@ def walk(page: str, slot: str | None):
             if mark or a in DROP or a == "header":
                 flush()
             mark = mark or a == "header" and not hit
-            seen.append([name, len(stack), 0, drop or mark])
+            seen.append([name, len(stack), 0, drop or mark, stack[-1][4] if stack else -1])
             drop, hit = drop or mark, hit or name == slot
             stack.append([a, name, drop, hit, len(seen) - 1])
         else:
@@ -171,7 +188,7 @@ def walk(page: str, slot: str | None):
     while stack:
         pop()
     flush()
-    return inside, outside, seen
+    return inside, outside, seen, places
 
 
 def vector(page_id: int, times: int) -> int:
@@ -181,17 +198,18 @@ def vector(page_id: int, times: int) -> int:
     return (x ^ x >> 29) & 0x7FFFFFFF
 
 
-def tokens(pages: DataFrame) -> DataFrame:
-    """host, token, and sums over pages: pages with it, occurrences, vector, once, place, depth,
-    text kept inside; token '' counts the host's pages."""
-    names = ["host", "token", "pages", "times", "vector", "once", "place", "depth", "chars", "mark"]
+def tokens(pages: DataFrame, least: int = LEAST) -> DataFrame:
+    """host, token, path, and sums over pages: pages with it, occurrences, vector, once, depth,
+    text kept inside; a block's token is = and its hash, its path the elements around it; token
+    '' counts the host's pages and text. Tokens on fewer than `least` pages can't be valid."""
+    names = ["host", "token", "path", "pages", "times", "vector", "once", "depth", "chars", "mark"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], list[int]] = {}
+        held: dict[tuple[str, str], list] = {}
 
         def rows() -> pa.RecordBatch:
             cols = list(zip(*([*k, *v] for k, v in held.items()), strict=True))
-            out = pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 2 else pa.int64()) for i, c in enumerate(cols)], names)
+            out = pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 3 else pa.int64()) for i, c in enumerate(cols)], names)
             held.clear()
             return out
 
@@ -199,68 +217,83 @@ def tokens(pages: DataFrame) -> DataFrame:
             hosts, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
             data, off = raw(b.column(2))
             for k, host in enumerate(hosts):
-                _, outside, seen = walk(data[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace"), None)
-                own: dict[str, list[int]] = {}
-                for place, (name, depth, chars, mark) in enumerate(seen):
-                    x = own.setdefault(name, [0, place, depth, 0, 0])
-                    x[0] += 1
+                _, outside, seen, places = walk(data[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace"), None)
+                own: dict[str, list] = {}
+                for name, depth, chars, mark, _ in seen:
+                    x = own.setdefault(name, ["", 0, depth, 0, 0])
+                    x[1] += 1
                     x[3] += chars
                     x[4] += mark
-                if not any(n.split("[")[0] in ("article", "main") for n in own):
-                    for t in set(outside):
-                        own.setdefault("=" + t[:200] + f"|{len(t)}", [1, 0, 0, len(t), 0])
-                total = held.setdefault((host, ""), [0] * 8)
-                total[0] += 1
-                for name, (times, place, depth, chars, mark) in own.items():
-                    x = held.setdefault((host, name), [0] * 8)
-                    for i, v in enumerate((1, times, vector(keys[k] or 0, times), times == 1, place, depth, chars, mark > 0)):
+                for text, at in zip(outside, places, strict=True):
+                    if (x := own.get(name := "=" + block(text))) is None:
+                        around = set()
+                        while at >= 0:
+                            around.add(seen[at][0])
+                            at = seen[at][4]
+                        x = own[name] = ["\0".join(sorted(around)), 0, 0, 0, 0]
+                    x[1] += 1
+                    x[3] += len(text)
+                total = held.setdefault((host, ""), [""] + [0] * 7)
+                total[1] += 1
+                total[6] += sum(map(len, outside))
+                for name, (path, times, depth, chars, mark) in own.items():
+                    x = held.setdefault((host, name), [path] + [0] * 7)
+                    x[0] = min(x[0], path)
+                    for i, v in enumerate((1, times, vector(keys[k] or 0, times), times == 1, depth, chars, mark > 0), 1):
                         x[i] += v
                 if len(held) > 50_000:
                     yield rows()
         if held:
             yield rows()
 
-    found = pages.select("host", "page_id", "html").mapInArrow(lean(run), "host string, token string, " + ", ".join(f"{n} long" for n in names[2:]))
-    return found.groupBy("host", "token").agg(*(F.sum(n).alias(n) for n in names[2:]))
+    found = pages.select("host", "page_id", "html").mapInArrow(lean(run), "host string, token string, path string, " + ", ".join(f"{n} long" for n in names[3:]))
+    return found.groupBy("host", "token").agg(F.min("path").alias("path"), *(F.sum(n).alias(n) for n in names[3:])).where((F.col("token") == "") | (F.col("pages") >= least))
 
 
 def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST) -> DataFrame:
-    """host, pages, slot (a token or null), classes (valid ones, outermost first: pages,
-    occurrences, tokens in page order) and recurring (blocks that are template text).
+    """host, pages, slot (a token or null), recurring (blocks that are template text) and
+    constant (those that are so inside the slot too).
 
     Valid tokens are on a fixed share of the host's pages, so a host has no more of them than
     its average page has tokens, over that share.
     """
-    found = written(tokens(pages), "page-tokens")
-    count = found.where("token = ''").select("host", F.col("pages").alias("host_pages"))
+    found = written(tokens(pages, least), "page-tokens")
+    count = found.where("token = ''").select("host", F.col("pages").alias("host_pages"), F.col("chars").alias("all"))
     valid = found.where("token <> ''").join(small(count, count.count(), 100_000), "host").where((F.col("pages") >= least) & (F.col("pages") >= support * F.col("host_pages")))
     text = F.startswith(F.col("token"), F.lit("="))
-    member = F.struct((F.col("place") / F.col("pages")).alias("place"), "token")
-    classes = valid.where(~text).groupBy("host", "pages", "times", "vector").agg(F.array_sort(F.collect_list(member)).alias("members"), F.min(F.col("place") / F.col("pages")).alias("first"))
-    classes = classes.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("p"), "first", "times", F.col("members.token").alias("tokens")))), lambda x: F.struct((-x["p"]).alias("pages"), x["times"].alias("times"), x["tokens"].alias("tokens"))).alias("classes"))
+    again = valid.where(text & (F.col("pages") >= RECURS * F.col("host_pages")))
+    stays = (F.col("pages") >= CONSTANT_LEAST) & (F.col("pages") >= CONSTANT * F.col("host_pages"))
+    key = F.substring("token", 2, 32)
+    blocks = again.groupBy("host").agg(F.sum("chars").alias("same_all"), F.collect_list(key).alias("recurring"), F.collect_list(F.when(stays, key)).alias("constant"))
+    # the template's own text by the elements that it is nested in
+    nested = again.select("host", "chars", F.explode(F.split("path", "\0")).alias("token")).groupBy("host", "token").agg(F.sum("chars").alias("same"))
+    classes = valid.groupBy("host", "pages", "times", "vector").agg(F.count("*").alias("members"))
+    once = valid.where(~text & (F.col("once") >= 0.9 * F.col("pages")) & (F.col("mark") < 0.5 * F.col("pages"))).join(classes, ["host", "pages", "times", "vector"])
+    once = once.join(nested, ["host", "token"], "left").join(blocks.select("host", "same_all"), "host", "left")
+    varies, all_varies = F.col("chars") - F.coalesce("same", F.lit(0)), F.col("all") - F.coalesce("same_all", F.lit(0))
+    share = F.when(all_varies > 0, varies / all_varies).when(F.col("all") > 0, F.col("chars") / F.col("all")).otherwise(0.0)
     name = F.split("token", r"\[")[0]
-    once = valid.where(~text & (F.col("once") >= 0.9 * F.col("pages")) & (F.col("mark") < 0.5 * F.col("pages")))
-    rank = F.when(name == "article", 3).when((name == "main") | F.contains("token", F.lit("[role=main]")), 2).otherwise(0)
-    whole = once.groupBy("host").agg(F.max(F.when(name.isin("body", "html"), F.col("chars"))).alias("all"))
-    # the innermost of those that keep nearly all of the host's text, when no element says so itself
-    best = once.join(whole, "host", "left").where((rank > 0) | name.isin("div", "section", "td", "table") & (F.col("chars") >= 0.8 * F.col("all")))
-    slot = best.groupBy("host").agg(F.max(F.struct(rank.alias("rank"), F.col("depth") / F.col("pages"), F.col("chars"), F.col("token"))).alias("x")).select("host", F.col("x.token").alias("slot"))
-    again = valid.where(text & (F.col("pages") >= RECURS * F.col("host_pages"))).groupBy("host").agg(F.collect_list(F.substring("token", 2, 1_000_000)).alias("recurring"))
-    return count.join(classes, "host", "left").join(slot, "host", "left").join(again, "host", "left").select("host", F.col("host_pages").alias("pages"), "slot", "classes", "recurring")
+    # an article on a part of the pages is measured against that part
+    named = F.when(share * F.col("host_pages") / F.col("pages") < NAMED_HOLDS, 0).when(name == "article", 3).when((name == "main") | F.contains("token", F.lit("[role=main]")), 2).otherwise(0)
+    box = name.isin("div", "section", "td", "table", "article", "main") & (share >= HOLDS)
+    best = once.select("host", "token", "chars", named.alias("named"), (F.col("members") > 1).alias("several"), (F.col("depth") / F.col("pages")).alias("depth"), box.alias("box")).where("named > 0 or box")
+    slot = best.groupBy("host").agg(F.max(F.struct("named", "several", "depth", "chars", "token")).alias("x")).select("host", F.col("x.token").alias("slot"))
+    return count.join(slot, "host", "left").join(blocks, "host", "left").select("host", F.col("host_pages").alias("pages"), "slot", "recurring", "constant")
 
 
-def cut(page: str, slot: str | None, recurring: set[str]) -> str:
+def cut(page: str, slot: str | None, recurring: set[str], constant: set[str]) -> str:
     """The main text of a page, by its host's template."""
-    inside, outside, seen = walk(page, slot)
+    inside, outside, seen, _ = walk(page, slot)
     if not inside:
-        for name, _, _, mark in seen:  # a page that lacks the template's slot
+        for name, _, _, mark, _ in seen:  # a page that lacks the template's slot
             if not mark and name != slot and (name.split("[")[0] in ("article", "main") or "[role=main]" in name):
                 inside = walk(page, name)[0]
                 break
         else:
             if not any(name == slot for name, *_ in seen):
-                inside = [t for t in outside if t[:200] + f"|{len(t)}" not in recurring]
-    return "\n".join(inside)
+                return "\n".join(t for t in outside if not recurring or block(t) not in recurring)
+    varies = [t for t in inside if block(t) not in constant] if constant else inside
+    return "\n".join(varies or inside)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -272,9 +305,9 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = raw(b.column(2))
-            slots, recurring = b.column(3), b.column(4)
-            text = [cut(data[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace"), slots[k].as_py(), set(recurring[k].as_py() or ())) for k in range(b.num_rows)]
+            slots, recurring, constant = b.column(3), b.column(4), b.column(5)
+            text = [cut(data[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace"), slots[k].as_py(), set(recurring[k].as_py() or ()), set(constant[k].as_py() or ())) for k in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(np.array([len(t) for t in text], np.int64))], ["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(small(found.select("host", "slot", "recurring"), n, 20_000), "host", "left").select("page_id", "url", "html", "slot", "recurring")
+    joined = rows.join(small(found.select("host", "slot", "recurring", "constant"), n, 20_000), "host", "left").select("page_id", "url", "html", "slot", "recurring", "constant")
     return joined.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

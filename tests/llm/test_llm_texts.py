@@ -245,6 +245,23 @@ def test_pages_made_by_hand(spark):
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_template_text(spark):
+    inner = "<html><body><article><p>Read this first, dear visitor.</p><p>Story {n} of its own, at some length.</p><p>All rights of the story stay here.</p></article></body></html>"
+    rows = [(k, "http://d.example/", inner.format(n=k)) for k in range(10)]
+    teaser = "<html><body><article><p>Welcome</p></article><div id=body><p>Text {n} of some length, and more of it.</p></div></body></html>"
+    rows += [(20 + k, "http://e.example/", teaser.format(n=k)) for k in range(10)]
+    # blocks that differ after 200 characters only are no template text
+    long = "<html><body><p>" + "so it begins " * 20 + "{n}</p><p>Same line here</p></body></html>"
+    rows += [(40 + k, "http://f.example/", long.format(n=k)) for k in range(10)]
+    rows += [(60 + k, "http://g.example/", inner.format(n=0)) for k in range(10)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Story {k} of its own, at some length." for k in range(10))
+    assert all(got[20 + k] == f"Text {k} of some length, and more of it." for k in range(10))
+    assert all(got[40 + k] == "so it begins " * 20 + str(k) for k in range(10))
+    # copies of one page have nothing that varies, and keep all
+    assert all(len(got[60 + k].split("\n")) == 3 for k in range(10))
+
+
 def test_language(spark, small_dir):
     docs = spark.read.parquet(f"{small_dir}/documents.parquet")
     odd = documents(spark, ODD_TEXTS + ["12345 678 ..."]).withColumn("doc_id", F.col("doc_id") + 1_000_000).withColumn("lang", F.lit(None).cast("string"))
