@@ -42,25 +42,28 @@ def clean(c: Column) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), "[ \t]+", " ")), 1, 15000)
 
 
+# What is said for each sign, in the order in which they are replaced.
+SPEECH = [
+    (r"\\frac\{([^{}]+)\}\{([^{}]+)\}", "$1 phần $2"),
+    (r"([a-zA-Z0-9_]+)\^2", "$1 bình phương"),
+    (r"([a-zA-Z0-9_]+)\^3", "$1 lập phương"),
+    (r"([a-zA-Z0-9_]+)\^([a-zA-Z0-9_]+|\{[^{}]+\})", "$1 mũ $2"),
+    (r"[{}]", ""),
+    (r"\\times", "nhân"),
+    (r"\\div", "chia"),
+    (r"\\ge", "lớn hơn hoặc bằng"),
+    (r"\\le", "nhỏ hơn hoặc bằng"),
+    (r"\\neq", "khác"),
+    (r"\\approx", "xấp xỉ"),
+    (r"\\sqrt\s*([a-zA-Z0-9_]+)", "căn bậc hai của $1"),
+    (r"\$", ""),
+    (r"\s+", " "),
+]
+
+
 def latex_speech(c: Column) -> Column:
     """Formulas as they are read out."""
-    # What is said for each sign, in the order in which they are replaced.
-    for pattern, said in [
-        (r"\\frac\{([^{}]+)\}\{([^{}]+)\}", "$1 phần $2"),
-        (r"([a-zA-Z0-9_]+)\^2", "$1 bình phương"),
-        (r"([a-zA-Z0-9_]+)\^3", "$1 lập phương"),
-        (r"([a-zA-Z0-9_]+)\^([a-zA-Z0-9_]+|\{[^{}]+\})", "$1 mũ $2"),
-        (r"[{}]", ""),
-        (r"\\times", "nhân"),
-        (r"\\div", "chia"),
-        (r"\\ge", "lớn hơn hoặc bằng"),
-        (r"\\le", "nhỏ hơn hoặc bằng"),
-        (r"\\neq", "khác"),
-        (r"\\approx", "xấp xỉ"),
-        (r"\\sqrt\s*([a-zA-Z0-9_]+)", "căn bậc hai của $1"),
-        (r"\$", ""),
-        (r"\s+", " "),
-    ]:
+    for pattern, said in SPEECH:
         c = F.regexp_replace(c, pattern, said)
     return F.trim(c)
 

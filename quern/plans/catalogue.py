@@ -42,6 +42,35 @@ def values(texts: list[str]) -> str:
     return "(VALUES " + ", ".join(f"({k}, {R.quoted(t)})" for k, t in enumerate(texts)) + ") AS v(qid, q)"
 
 
+#: Whole columns of texts.
+COLUMNS = {
+    "documents": "SELECT doc_id AS qid, text AS q FROM documents",
+    "conversations": "SELECT conv_id * 1000 + turn AS qid, text AS q FROM conversations",
+    "pages": "SELECT page_id AS qid, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS q FROM pages",
+}
+
+
+def column(spark: SparkSession, d: str, name: str) -> DataFrame:
+    rows = table(spark, d, name)
+    if name == "pages":
+        return rows.select(F.col("page_id").alias("qid"), F.trim(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)).alias("q"))
+    return rows.select((F.col("doc_id") if name == "documents" else F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("q"))
+
+
+def texts_query(texts: list[str], over: str, sql: str, whole: str | None = None):
+    """Two queries of f(rows: qid, q): `name` over fixed texts, `name_all` over a whole column of
+    COLUMNS, by the same SQL (or `whole`, where that isn't of use)."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, d: f(frame(spark, texts))
+        ORACLE_SQL[f.__name__] = sql
+        QUERIES[f.__name__ + "_all"] = lambda spark, d: f(column(spark, d, over))
+        ORACLE_SQL[f.__name__ + "_all"] = whole or sql.replace(values(texts), f"({COLUMNS[over]}) AS v(qid, q)")
+        return f
+
+    return add
+
+
 # Retrieval -----------------------------------------------------------------------------------
 _Q = "q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS qv, label AS grade FROM embeddings WHERE vec_id % 50 = 0), e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
 _TOP = "SELECT qid, vec_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT qid, vec_id, round(list_cosine_similarity(v, qv), 6) AS score FROM e JOIN q ON {on})) WHERE rank <= {k}"
@@ -166,17 +195,17 @@ def lexical_topk(spark, d):
 _SAY = ["Xin chào!", "tuần này học những gì ạ", "bài 3 trang 45 lớp 5", "từ láy là gì", "phân biệt danh từ và động từ", "giúp em tả con mèo", "tả cây bàng giúp em", "đọc cho em bài Cây tre nhé", "soạn bài Nhớ rừng lớp 8", "tính diện tích hình thang", "quang hợp ở thực vật là gì", "cuộc khởi nghĩa Lam Sơn năm 1418", "khí hậu châu Á", "pháp luật và đạo đức", "tích phân", "tíchứ", "", "kể chuyện Tấm Cám"]
 
 
-@query(f"SELECT qid, {R.sql_first_rule('lower(trim(q))', R.INTENT, 'lookup_reading')} AS intent, {R.sql_first_rule('lower(trim(q))', R.WRITING, None)} AS writing_type, coalesce(TRY_CAST(regexp_extract(q, '[0-9]+') AS INTEGER), -1) AS first_number FROM {values(_SAY)}")
-def intent_rules(spark, d):
+@texts_query(_SAY, "conversations", f"SELECT qid, {R.sql_first_rule('lower(trim(q))', R.INTENT, 'lookup_reading')} AS intent, {R.sql_first_rule('lower(trim(q))', R.WRITING, None)} AS writing_type, coalesce(TRY_CAST(regexp_extract(q, '[0-9]+') AS INTEGER), -1) AS first_number FROM {values(_SAY)}")
+def intent_rules(rows):
     q = F.lower(F.trim("q"))
-    return frame(spark, _SAY).select("qid", R.first_rule(q, R.INTENT, "lookup_reading").alias("intent"), R.first_rule(q, R.WRITING, None).alias("writing_type"), F.expr("coalesce(try_cast(regexp_extract(q, '[0-9]+', 0) as int), -1)").alias("first_number"))
+    return rows.select("qid", R.first_rule(q, R.INTENT, "lookup_reading").alias("intent"), R.first_rule(q, R.WRITING, None).alias("writing_type"), F.expr("coalesce(try_cast(regexp_extract(q, '[0-9]+', 0) as int), -1)").alias("first_number"))
 
 
-@query(f"SELECT qid, CASE WHEN length(n) > 2 THEN n END AS lesson FROM (SELECT qid, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(q)), {R.quoted(R.LESSON_LEAD)}, ''), {R.quoted(R.LESSON_TAIL)}, ''), 'lớp\\s+[0-9]+.*$', '')) AS n FROM {values(_SAY)})")
-def lesson_name(spark, d):
+@texts_query(_SAY, "conversations", f"SELECT qid, CASE WHEN length(n) > 2 THEN n END AS lesson FROM (SELECT qid, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(q)), {R.quoted(R.LESSON_LEAD)}, ''), {R.quoted(R.LESSON_TAIL)}, ''), 'lớp\\s+[0-9]+.*$', '')) AS n FROM {values(_SAY)})")
+def lesson_name(rows):
     n = F.regexp_replace(F.regexp_replace(F.lower(F.trim("q")), R.LESSON_LEAD, ""), R.LESSON_TAIL, "")
     n = F.trim(F.regexp_replace(n, r"lớp\s+[0-9]+.*$", ""))
-    return frame(spark, _SAY).select("qid", F.when(F.length(n) > 2, n).alias("lesson"))
+    return rows.select("qid", F.when(F.length(n) > 2, n).alias("lesson"))
 
 
 _SCORES = ", ".join(f"{R.sql_score('lower(q)', p)} AS {s}" for s, p in R.SUBJECTS)
@@ -184,10 +213,10 @@ _NAMES = [s for s, _ in R.SUBJECTS]
 _BEST = "greatest(" + ", ".join(_NAMES) + ")"
 
 
-@query(f"SELECT qid, CASE WHEN {_BEST} = 0 THEN NULL " + " ".join(f"WHEN {s} = {_BEST} THEN '{s}'" for s in _NAMES) + f" END AS subject, CASE WHEN {_BEST} = 0 THEN 0.0::DOUBLE ELSE round({_BEST} / (1.0::DOUBLE * ({_BEST} + list_sort([{', '.join(_NAMES)}], 'DESC')[2])), 3) END AS confidence FROM (SELECT qid, {_SCORES} FROM {values(_SAY)})")
-def subject_detect(spark, d):
+@texts_query(_SAY, "conversations", f"SELECT qid, CASE WHEN {_BEST} = 0 THEN NULL " + " ".join(f"WHEN {s} = {_BEST} THEN '{s}'" for s in _NAMES) + f" END AS subject, CASE WHEN {_BEST} = 0 THEN 0.0::DOUBLE ELSE round({_BEST} / (1.0::DOUBLE * ({_BEST} + list_sort([{', '.join(_NAMES)}], 'DESC')[2])), 3) END AS confidence FROM (SELECT qid, {_SCORES} FROM {values(_SAY)})")
+def subject_detect(rows):
     """Pattern hits by subject; the first declared wins ties; confidence against the runner-up."""
-    q = frame(spark, _SAY).select("qid", *(R.score(F.lower("q"), p).alias(s) for s, p in R.SUBJECTS))
+    q = rows.select("qid", *(R.score(F.lower("q"), p).alias(s) for s, p in R.SUBJECTS))
     best, order = F.greatest(*_NAMES), F.sort_array(F.array(*_NAMES), asc=False)
     subject = F.when(best == 0, F.lit(None))
     for s in _NAMES:
@@ -198,17 +227,22 @@ def subject_detect(spark, d):
 _FOLD = "trim(regexp_replace(lower(replace(replace(strip_accents({c}), 'đ', 'd'), 'Đ', 'D')), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query(f"SELECT qid, {_FOLD.format(c='q')} AS folded, replace({_FOLD.format(c='q')}, ' ', '_') AS slug FROM {values(_SAY)}")
-def accent_fold(spark, d):
-    return frame(spark, _SAY).select("qid", X.accent_fold(F.col("q")).alias("folded"), X.slug(F.col("q")).alias("slug"))
+@texts_query(_SAY, "documents", f"SELECT qid, {_FOLD.format(c='q')} AS folded, replace({_FOLD.format(c='q')}, ' ', '_') AS slug FROM {values(_SAY)}")
+def accent_fold(rows):
+    return rows.select("qid", X.accent_fold(F.col("q")).alias("folded"), X.slug(F.col("q")).alias("slug"))
 
 
+# The same replacements for an engine that writes groups as \1.
+_SPOKEN = "q"
+for _pattern, _said in X.SPEECH:
+    _SPOKEN = f"regexp_replace({_SPOKEN}, {R.quoted(_pattern)}, {R.quoted(_said.replace('$', chr(92)))}, 'g')"
+_SPOKEN = f"SELECT qid, trim({_SPOKEN}) AS speech FROM ({COLUMNS['documents']})"
 _TEX = [r"$\frac{7}{10}$", r"x^2 + y^3 = z^{10}", r"a \times b \div c", r"\sqrt x \approx 3"]
 
 
-@query("SELECT * FROM (VALUES (0, '7 phần 10'), (1, 'x bình phương + y lập phương = z mũ 10'), (2, 'a nhân b chia c'), (3, 'căn bậc hai của x xấp xỉ 3')) AS v(qid, speech)")
-def latex_speech(spark, d):
-    return frame(spark, _TEX).select("qid", X.latex_speech(F.col("q")).alias("speech"))
+@texts_query(_TEX, "documents", "SELECT * FROM (VALUES (0, '7 phần 10'), (1, 'x bình phương + y lập phương = z mũ 10'), (2, 'a nhân b chia c'), (3, 'căn bậc hai của x xấp xỉ 3')) AS v(qid, speech)", _SPOKEN)
+def latex_speech(rows):
+    return rows.select("qid", X.latex_speech(F.col("q")).alias("speech"))
 
 
 _URLS = "lower(url)"
@@ -255,11 +289,11 @@ def content_type_reclass(spark, d):
 _TITLES = ["Soạn bài Nhớ rừng", "van-ban-co-to-a12", "Phân tích nhân vật", "Tóm tắt truyện", "Dàn ý tả mẹ", "Bài đọc tuần 2", "ôn tập giữa kì", "khác"]
 
 
-@query(f"SELECT qid, CASE WHEN contains(lower(q), 'van-ban-') OR starts_with(lower(q), 'văn bản ') THEN 'van_ban' ELSE {R.sql_first_rule('lower(q)', R.CONTENT, 'unknown')} END AS kind FROM {values(_TITLES)}")
-def title_reclass(spark, d):
+@texts_query(_TITLES, "pages", f"SELECT qid, CASE WHEN contains(lower(q), 'van-ban-') OR starts_with(lower(q), 'văn bản ') THEN 'van_ban' ELSE {R.sql_first_rule('lower(q)', R.CONTENT, 'unknown')} END AS kind FROM {values(_TITLES)}")
+def title_reclass(rows):
     q = F.lower("q")
     kind = F.when(F.contains(q, F.lit("van-ban-")) | F.startswith(q, F.lit("văn bản ")), "van_ban").otherwise(R.first_rule(q, R.CONTENT, "unknown"))
-    return frame(spark, _TITLES).select("qid", kind.alias("kind"))
+    return rows.select("qid", kind.alias("kind"))
 
 
 @query("SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, round(avg(CAST(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS DOUBLE)), 6) AS mean_words FROM documents GROUP BY lang, source")
@@ -382,6 +416,12 @@ def graph_solves_or_join(spark, d):
     return graph.either_end(nodes.where("size % 7 = 0").select("node_id"), edges).select("node_id", "src", "dst")
 
 
+@query(f"WITH {_NODES} SELECT node_id, src, dst FROM n JOIN g ON node_id = src UNION ALL SELECT node_id, src, dst FROM n JOIN g ON node_id = dst")
+def graph_solves_or_join_all(spark, d):
+    nodes, edges = nodes_edges(spark, d)
+    return graph.either_end(nodes.select("node_id"), edges).select("node_id", "src", "dst")
+
+
 @query(f"WITH {_NODES} SELECT count(*) AS nodes, count(*) FILTER (role = 'user') AS questions, count(*) FILTER (role = 'assistant') AS solutions, count(*) FILTER (size > 200) AS large, (SELECT count(*) FROM g) AS edges FROM n")
 def audit_counts(spark, d):
     """All conditional counts in one pass over each table."""

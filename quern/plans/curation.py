@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quern.functions import rules as R
 from quern.functions import text as X
 from quern.operators import blocks, graph, ingest, retrieval, route
-from quern.plans.catalogue import _BAND, _KEY, _NAMES, _NODES, _Q, _SAY, _SCORES, _TITLES, _TOP, frame, nodes_edges, query, values, vectors
+from quern.plans.catalogue import _BAND, _KEY, _NAMES, _NODES, ORACLE_SQL, _Q, _SAY, _SCORES, _TITLES, _TOP, frame, nodes_edges, query, texts_query, values, vectors
 from quern.sources.tables import table
 
 
@@ -151,17 +151,17 @@ _RAW = ["Nhớ rừng (Thế Lữ) | Trang học\nĐọc [bài](http://a.b/c) t
 _WS = r"'^\s+|\s+$'"
 
 
-@query(rf"""SELECT qid, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(q, '(?s)>> Xem thêm.*', ''), '\[[^\n]*?\]\(http[^)]+\)', '', 'g'), 'https?://[^\t\n\f\r ]+', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {_WS}, '', 'g') AS clean,
+@texts_query(_RAW, "documents", rf"""SELECT qid, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(q, '(?s)>> Xem thêm.*', ''), '\[[^\n]*?\]\(http[^)]+\)', '', 'g'), 'https?://[^\t\n\f\r ]+', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {_WS}, '', 'g') AS clean,
 nullif(regexp_extract(q, '\(([^)]{{3,60}})\)', 1), '') AS author, trim(split_part(split_part(q, chr(10), 1), '|', 1)) AS title, CASE WHEN regexp_matches(lower(q), 'truyện|chuyện|đoạn trích|văn xuôi') THEN 'truyen' ELSE 'tho' END AS genre,
 nullif(regexp_replace(regexp_extract(q, '(?s)\[\s*[.]{{3}}\s*\](.*?)(?:Bình luận|👉|Luyện Bài|Báo lỗi|$)', 1), {_WS}, '', 'g'), '') AS span,
 trim(regexp_replace(regexp_replace(q, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS terms,
 json_extract_string(CASE WHEN contains(q, '"label"') THEN regexp_extract(q, '(?s)\{{[^}}]*\}}') END, '$.label') AS label FROM {values(_RAW)}""")
-def text_fields(spark, d):
+def text_fields(rows):
     """Cleaned text, author, title, genre, marked span, search terms, fenced JSON."""
     q = F.col("q")
     label = F.get_json_object(F.when(F.contains(q, F.lit('"label"')), F.regexp_extract(q, r"(?s)\{[^}]*\}", 0)), "$.label")
     genre = F.when(F.lower(q).rlike("truyện|chuyện|đoạn trích|văn xuôi"), "truyen").otherwise("tho")
-    return frame(spark, _RAW).select("qid", X.drop_links(q).alias("clean"), X.author(q).alias("author"), X.title(q).alias("title"), genre.alias("genre"), X.marked_span(q).alias("span"), X.search_terms(q).alias("terms"), label.alias("label"))
+    return rows.select("qid", X.drop_links(q).alias("clean"), X.author(q).alias("author"), X.title(q).alias("title"), genre.alias("genre"), X.marked_span(q).alias("span"), X.search_terms(q).alias("terms"), label.alias("label"))
 
 
 _CUTS = ["! ", "\n", ". De ", ". The "]
@@ -195,20 +195,20 @@ _MARKS = ["**Lời giải chi tiết:**", "**Lời giải:**", "**Trả lời:**
 _strip = lambda c: f"regexp_replace(replace({c}, '**', ''), {_WS}, '', 'g')"
 
 
-@query(rf"""WITH b AS (SELECT qid, x, generate_subscripts(x, 1) - 1 AS part, unnest(x) AS b FROM (SELECT qid, regexp_split_to_array(q, '\n\s*\*\*\s*(?:CH|Câu|Bài)\s*[0-9]+\s*\*\*') AS x FROM {values(_EX)})), k AS (SELECT *, CASE {' '.join(f"WHEN contains(b, '{m}') THEN '{m}'" for m in _MARKS)} END AS kw FROM b), s AS (SELECT qid, part, {_strip("split_part(split_part(split_part(b, kw, 1), '**Phương pháp giải:**', 1), 'Phương pháp giải:', 1)")} AS problem, {_strip("substr(b, strpos(b, kw) + length(kw))")} AS solution FROM k WHERE kw IS NOT NULL)
+@texts_query(_EX, "documents", rf"""WITH b AS (SELECT qid, x, generate_subscripts(x, 1) - 1 AS part, unnest(x) AS b FROM (SELECT qid, regexp_split_to_array(q, '\n\s*\*\*\s*(?:CH|Câu|Bài)\s*[0-9]+\s*\*\*') AS x FROM {values(_EX)})), k AS (SELECT *, CASE {' '.join(f"WHEN contains(b, '{m}') THEN '{m}'" for m in _MARKS)} END AS kw FROM b), s AS (SELECT qid, part, {_strip("split_part(split_part(split_part(b, kw, 1), '**Phương pháp giải:**', 1), 'Phương pháp giải:', 1)")} AS problem, {_strip("substr(b, strpos(b, kw) + length(kw))")} AS solution FROM k WHERE kw IS NOT NULL)
 SELECT qid, CAST(part AS INTEGER) AS part, problem, solution, regexp_matches(lower(problem), 'hình |sơ đồ|quan sát') AS has_figure FROM s WHERE length(solution) >= 10""")
-def exercise_split(spark, d):
-    return blocks.exercises(frame(spark, _EX), "qid", "q", _MARKS)
+def exercise_split(rows):
+    return blocks.exercises(rows, "qid", "q", _MARKS)
 
 
 _MATHS = ["Lý thuyết chung\nCâu 1 Tính tổng theo Hình 3\nPhương pháp giải: cộng lại\nLời giải chi tiết: bằng 7\nLuyen tap Bài 2 Rút gọn\nLời giải chi tiết: x\nCâu 3 Bỏ qua", "Câu 9 Chỉ có cách làm\nPhương pháp giải: thử", "không có gì"]
 
 
-@query(rf"""WITH b AS (SELECT qid, generate_subscripts(x, 1) - 1 AS part, unnest(x) AS b FROM (SELECT qid, string_split(regexp_replace(q, '\n(([A-Za-z ]+ )?(?:Câu|Bài) [0-9]+)', chr(1) || '\1', 'g'), chr(1)) AS x FROM {values(_MATHS)})), k AS (SELECT *, contains(b, 'Phương pháp giải:') AS p, contains(b, 'Lời giải chi tiết:') AS s FROM b)
+@texts_query(_MATHS, "documents", rf"""WITH b AS (SELECT qid, generate_subscripts(x, 1) - 1 AS part, unnest(x) AS b FROM (SELECT qid, string_split(regexp_replace(q, '\n(([A-Za-z ]+ )?(?:Câu|Bài) [0-9]+)', chr(1) || '\1', 'g'), chr(1)) AS x FROM {values(_MATHS)})), k AS (SELECT *, contains(b, 'Phương pháp giải:') AS p, contains(b, 'Lời giải chi tiết:') AS s FROM b)
 SELECT qid, CAST(part AS INTEGER) AS part, regexp_replace(split_part(b, CASE WHEN p THEN 'Phương pháp giải:' ELSE 'Lời giải chi tiết:' END, 1), {_WS}, '', 'g') AS problem, regexp_replace(CASE WHEN s THEN substr(b, strpos(b, 'Lời giải chi tiết:') + 18) ELSE substr(b, strpos(b, 'Phương pháp giải:') + 17) END, {_WS}, '', 'g') AS solution FROM k WHERE p OR s""")
-def exercise_split_maths(spark, d):
+def exercise_split_maths(rows):
     """Chunks from one numbered heading to the next; what stands before the first is a chunk."""
-    return blocks.numbered(frame(spark, _MATHS), "qid", "q", "Phương pháp giải:", "Lời giải chi tiết:")
+    return blocks.numbered(rows, "qid", "q", "Phương pháp giải:", "Lời giải chi tiết:")
 
 
 # Labels and routes -----------------------------------------------------------------------------
@@ -219,12 +219,12 @@ _V2 = [("QUESTION", r"^(câu\s+[0-9]+|trả lời câu hỏi\s*[0-9]+)"), ("SOLU
 _case = lambda labels: "CASE " + " ".join(f"WHEN regexp_matches(lower(q), '{p}') THEN '{n}'" for n, p in labels) + " ELSE 'NOISE' END"
 
 
-@query(f"SELECT qid, {_case(_V1)} AS v1, {_case(_V2)} AS v2, {_case(_V2)} NOT IN ('NOISE', 'EDITORIAL_INTRO', 'RELATED_CONTENT') AS stays FROM {values(_BLOCKS)}")
-def block_label(spark, d):
+@texts_query(_BLOCKS, "conversations", f"SELECT qid, {_case(_V1)} AS v1, {_case(_V2)} AS v2, {_case(_V2)} NOT IN ('NOISE', 'EDITORIAL_INTRO', 'RELATED_CONTENT') AS stays FROM {values(_BLOCKS)}")
+def block_label(rows):
     """Heading rules for blocks; what no rule knows is noise unless a labelling hook says more."""
     q = F.lower("q")
     label = lambda rules: R.first_rule(q, [(n, [p]) for n, p in rules], "NOISE")
-    rows = frame(spark, _BLOCKS).select("qid", label(_V1).alias("v1"), label(_V2).alias("v2"))
+    rows = rows.select("qid", label(_V1).alias("v1"), label(_V2).alias("v2"))
     return rows.withColumn("stays", ~F.col("v2").isin("NOISE", "EDITORIAL_INTRO", "RELATED_CONTENT"))
 
 
@@ -233,12 +233,12 @@ _KIND = f"CASE WHEN contains(lower(q), 'van-ban-') OR starts_with(lower(q), 'vă
 _READING = ["van_ban", "bai_doc", "soan_van", "phan_tich", "tom_tat", "on_tap", "ke_chuyen"]
 
 
-@query(f"SELECT kind, kb, count(*) AS n FROM (SELECT kind, CASE WHEN kind IN ({', '.join(map(R.quoted, _READING))}) THEN 'reading' WHEN kind = 'luyen_tu_va_cau' THEN 'concepts' WHEN kind = 'tap_lam_van' THEN 'samples' ELSE 'other' END AS kb FROM (SELECT CASE WHEN k = 'unknown' AND grade >= 6 THEN 'soan_van' ELSE k END AS kind FROM (SELECT {_KIND} AS k, unnest(range(4, 8)) AS grade FROM {values(_TITLES)}))) GROUP BY kind, kb")
-def kb_route(spark, d):
+@texts_query(_TITLES, "pages", f"SELECT kind, kb, count(*) AS n FROM (SELECT kind, CASE WHEN kind IN ({', '.join(map(R.quoted, _READING))}) THEN 'reading' WHEN kind = 'luyen_tu_va_cau' THEN 'concepts' WHEN kind = 'tap_lam_van' THEN 'samples' ELSE 'other' END AS kb FROM (SELECT CASE WHEN k = 'unknown' AND grade >= 6 THEN 'soan_van' ELSE k END AS kind FROM (SELECT {_KIND} AS k, unnest(range(4, 8)) AS grade FROM {values(_TITLES)}))) GROUP BY kind, kb")
+def kb_route(rows):
     """Titles of four grades to knowledge bases, counted by type."""
     q = F.lower("q")
     kind = F.when(F.contains(q, F.lit("van-ban-")) | F.startswith(q, F.lit("văn bản ")), "van_ban").otherwise(R.first_rule(q, R.CONTENT, "unknown"))
-    rows = frame(spark, _TITLES).select(kind.alias("k"), F.explode(F.sequence(F.lit(4), F.lit(7))).alias("grade"))
+    rows = rows.select(kind.alias("k"), F.explode(F.sequence(F.lit(4), F.lit(7))).alias("grade"))
     rows = rows.select(F.when((F.col("k") == "unknown") & (F.col("grade") >= 6), "soan_van").otherwise(F.col("k")).alias("kind"))
     kb = F.when(F.col("kind").isin(_READING), "reading").when(F.col("kind") == "luyen_tu_va_cau", "concepts").when(F.col("kind") == "tap_lam_van", "samples").otherwise("other")
     return rows.groupBy("kind", kb.alias("kb")).agg(F.count("*").alias("n"))
@@ -299,6 +299,12 @@ def path_list(spark, d):
     return edges.join(nodes.where("size % 2 = 0").select(F.col("node_id").alias("dst")), "dst").select("src", "rel", "dst").orderBy("src", "dst").limit(5)
 
 
+@query(f"WITH {_NODES} SELECT src, rel, dst FROM g JOIN n ON node_id = dst")
+def path_list_all(spark, d):
+    nodes, edges = nodes_edges(spark, d)
+    return edges.join(nodes.select(F.col("node_id").alias("dst")), "dst").select("src", "rel", "dst")
+
+
 @query(f"WITH p AS (SELECT page_id, {_KEY} AS url, lower(regexp_extract(url, '://([^/?#]+)', 1)) AS host FROM pages), l AS (SELECT url, min(host) AS unit FROM p WHERE page_id % 2 = 0 GROUP BY url) SELECT page_id, coalesce(unit, 'LEGACY ' || p.url) AS unit, unit IS NULL AS synthetic FROM p LEFT JOIN l USING (url) WHERE page_id % 2 = 1")
 def repair_link(spark, d):
     """Orphans to the unit of a lesson with their address, else to a unit of their own."""
@@ -343,6 +349,17 @@ _best_of = "SELECT qid, source, vec_id, score, r FROM (SELECT *, row_number() OV
 _pairs = "SELECT qid, a.source, k, p.vec_id, round(list_cosine_similarity(p.v, a.qv), 6) AS score FROM {asked} a JOIN p ON p.source = a.source"
 
 
+# Every search of the collection (vec_id divisible by 50), asked by the text of its document.
+_FEW, _EVERY = f"SELECT v.*, label AS grade FROM {values(_ASK)} JOIN embeddings ON vec_id = qid", "SELECT vec_id AS qid, coalesce(text, '') AS q, label AS grade FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % 50 = 0"
+
+
+def asked_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every search with the text of the document of its number, or no text."""
+    q, _ = vectors(spark, d)
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("qid"), F.col("text").alias("q"))
+    return route.understand(retrieval.few(q).join(texts, "qid", "left").withColumn("q", F.coalesce("q", F.lit(""))))
+
+
 def asked(spark: SparkSession, d: str) -> DataFrame:
     """Questions, each with the vector and label of the row of its number."""
     points = table(spark, d, "embeddings")
@@ -360,3 +377,15 @@ def retrieve_routed(spark, d):
     """Questions end to end; the collections are the points by vec_id modulo 5."""
     source = F.element_at(F.array(*(F.lit(s) for s, _, _ in route.COLLECTIONS)), (F.col("vec_id") % 5 + 1).cast("int"))
     return route.retrieve(asked(spark, d), table(spark, d, "embeddings").select("vec_id", "embedding", "label", source.alias("source")))
+
+
+@query(ORACLE_SQL["route_questions"].replace(_FEW, _EVERY))
+def route_questions_all(spark, d):
+    return asked_all(spark, d).select("qid", "intent", "subject", "route")
+
+
+@query(ORACLE_SQL["retrieve_routed"].replace(_FEW, _EVERY))
+def retrieve_routed_all(spark, d):
+    """Every search end to end; the collections are the points by vec_id modulo 5."""
+    source = F.element_at(F.array(*(F.lit(s) for s, _, _ in route.COLLECTIONS)), (F.col("vec_id") % 5 + 1).cast("int"))
+    return route.retrieve(asked_all(spark, d), table(spark, d, "embeddings").select("vec_id", "embedding", "label", source.alias("source")))

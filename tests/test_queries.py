@@ -39,3 +39,16 @@ def test_entry_runs(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_columns_are_read(spark, duck, small_dir):
+    count = lambda sql: duck.execute(sql).fetchone()[0]
+    texts = {"documents": ["accent_fold", "latex_speech", "text_fields"], "conversations": ["intent_rules", "lesson_name", "subject_detect", "block_label"], "pages": ["title_reclass"]}
+    for table, names in texts.items():
+        for name in names:
+            assert catalogue.QUERIES[name + "_all"](spark, small_dir).count() == count(f"SELECT count(*) FROM {table}")
+    assert catalogue.QUERIES["route_questions_all"](spark, small_dir).count() == count("SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0")
+    for name in ("exercise_split_all", "exercise_split_maths_all"):
+        catalogue.QUERIES[name](spark, small_dir).collect()
+    speech = catalogue.QUERIES["latex_speech"](spark, small_dir).orderBy("qid").first()
+    assert speech["speech"] == "7 phần 10"
