@@ -144,16 +144,26 @@ def recall_precision_mrr(spark, d):
     return each.agg(F.count("*").alias("n"), F.round(F.avg("m"), 6).alias("hit_at_5"), F.round(F.avg("p"), 6).alias("precision"), F.round(F.avg("rr"), 6).alias("mrr"))
 
 
-@query("WITH q AS (SELECT item_id, lower(substr(text, 1, 24)) AS name FROM benchmark), h AS (SELECT item_id, doc_id, CASE WHEN starts_with(lower(text), name) THEN 0 ELSE 1 END AS tier, n_chars FROM q JOIN documents ON contains(lower(text), name)) SELECT item_id, doc_id, CASE WHEN tier = 0 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY tier, n_chars, doc_id) AS INTEGER) AS rank FROM h) WHERE rank <= 5")
-def exact_lookup(spark, d):
-    """Names in texts whatever their case, exact starts first."""
-    names = table(spark, d, "benchmark").select(F.col("item_id").alias("name_id"), F.lower(F.substring("text", 1, 24)).alias("name"))
+def looked_up(spark: SparkSession, d: str, name) -> DataFrame:
+    names = table(spark, d, "benchmark").select(F.col("item_id").alias("name_id"), name.alias("name"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars", F.lower("text").alias("t"))
     hits = retrieval.containing(docs, names).select(F.col("name_id").alias("item_id"), F.col("id").alias("doc_id"), "n_chars", F.when(F.startswith("t", "name"), 0).otherwise(1).alias("tier"))
     best = retrieval.ranked(hits, ["item_id"], [F.col("tier"), F.col("n_chars"), F.col("doc_id")], 5)
     return best.select("item_id", "doc_id", F.when(F.col("tier") == 0, 1.0).otherwise(0.8).alias("score"), "rank")
 
 
+@query("WITH q AS (SELECT item_id, lower(substr(text, 1, 24)) AS name FROM benchmark), h AS (SELECT item_id, doc_id, CASE WHEN starts_with(lower(text), name) THEN 0 ELSE 1 END AS tier, n_chars FROM q JOIN documents ON contains(lower(text), name)) SELECT item_id, doc_id, CASE WHEN tier = 0 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY tier, n_chars, doc_id) AS INTEGER) AS rank FROM h) WHERE rank <= 5")
+def exact_lookup(spark, d):
+    """Starts of names in texts whatever their case, exact starts first."""
+    return looked_up(spark, d, F.lower(F.substring("text", 1, 24)))
+
+
+@query(ORACLE_SQL["exact_lookup"].replace("lower(substr(text, 1, 24)) AS name", "lower(text) AS name"))
+def exact_lookup_whole(spark, d):
+    """Whole names in texts whatever their case, exact starts first."""
+    return looked_up(spark, d, F.lower("text"))
+
+
 @query("SELECT g, p_partkey, p_size, rank FROM (SELECT g, p_partkey, p_size, CAST(row_number() OVER (PARTITION BY g ORDER BY abs(p_size - g), p_partkey) AS INTEGER) AS rank FROM part, (SELECT unnest(range(1, 51)) AS g)) WHERE rank <= 2")
 def nearest_grade(spark, d):
     """The two parts of nearest size for each grade: for each size its two first, then those."""
@@ -286,6 +296,16 @@ def content_type_reclass(spark, d):
     return table(spark, d, "documents").select("doc_id", R.first_rule(F.lower(F.substring("text", 1, 200)), kinds, "unknown").alias("content_type"), kb.alias("kb"))
 
 
+_WHOLE = [("short", [r"(?s)^.{0,60}\z"]), ("licence", ["licen[sc]e", "copyright"]), ("shout", [r"!![^\n]*!!"])]
+
+
+@query(f"SELECT doc_id, {R.sql_first_rule('lower(text)', _WHOLE, 'unknown')} AS content_type, CASE WHEN lang = 'en' THEN 'reading' WHEN lang IN ('fr', 'de') THEN 'concepts' ELSE 'samples' END AS kb FROM documents")
+def content_type_reclass_whole(spark, d):
+    """The same rules over whole texts; short is a text of 60 characters at most."""
+    kb = F.when(F.col("lang") == "en", "reading").when(F.col("lang").isin("fr", "de"), "concepts").otherwise("samples")
+    return table(spark, d, "documents").select("doc_id", R.first_rule(F.lower("text"), _WHOLE, "unknown").alias("content_type"), kb.alias("kb"))
+
+
 _TITLES = ["Soạn bài Nhớ rừng", "van-ban-co-to-a12", "Phân tích nhân vật", "Tóm tắt truyện", "Dàn ý tả mẹ", "Bài đọc tuần 2", "ôn tập giữa kì", "khác"]
 
 

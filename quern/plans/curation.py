@@ -49,20 +49,30 @@ def graph_keyword_scores(spark, d):
     return best.select("item_id", F.when(user, 0).otherwise(1).alias("branch"), "conv_id", "turn", F.least(F.lit(1.0), F.col("n") / F.when(user, 10.0).otherwise(20.0) + 0.5).alias("score"), "rank")
 
 
-@query("WITH q AS (SELECT item_id, lower(text) AS q FROM benchmark), t AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text <> ''), h AS (SELECT item_id, doc_id, CASE WHEN contains(q, t) THEN 0 ELSE 1 END AS direction, length(t) AS size FROM q JOIN t ON contains(q, t) OR contains(t, substr(q, 1, 40))) SELECT item_id, doc_id, direction, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY direction, size DESC, doc_id) AS INTEGER) AS rank FROM h) WHERE rank <= 2")
-def graph_contains_join(spark, d):
-    """Texts inside the query, else queries whose start is inside the text; longest first, two each."""
+def contained(spark: SparkSession, d: str, start) -> DataFrame:
     q = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("q"))
     docs = table(spark, d, "documents").where("text <> ''").select(F.col("doc_id").alias("id"), F.lower("text").alias("t"))
     longest = q.agg(F.max(F.length("q"))).first()[0] or 0
     short = docs.where(F.length("t") <= longest)
     size = F.length("t").alias("size")
     inside = short.join(retrieval.few(q), F.contains("q", "t")).select("item_id", F.col("id").alias("doc_id"), size, F.lit(0).alias("direction"))
-    around = retrieval.containing(docs, q.select(F.col("item_id").alias("name_id"), F.substring("q", 1, 40).alias("name"))).select(F.col("name_id").alias("item_id"), F.col("id").alias("doc_id"), size, F.lit(1).alias("direction"))
+    around = retrieval.containing(docs, q.select(F.col("item_id").alias("name_id"), start.alias("name"))).select(F.col("name_id").alias("item_id"), F.col("id").alias("doc_id"), size, F.lit(1).alias("direction"))
     hits = inside.unionByName(around).groupBy("item_id", "doc_id").agg(F.min("direction").alias("direction"), F.max("size").alias("size"))
     return retrieval.ranked(hits, ["item_id"], [F.col("direction"), F.desc("size"), F.col("doc_id")], 2).select("item_id", "doc_id", "direction", "rank")
 
 
+@query("WITH q AS (SELECT item_id, lower(text) AS q FROM benchmark), t AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text <> ''), h AS (SELECT item_id, doc_id, CASE WHEN contains(q, t) THEN 0 ELSE 1 END AS direction, length(t) AS size FROM q JOIN t ON contains(q, t) OR contains(t, substr(q, 1, 40))) SELECT item_id, doc_id, direction, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY direction, size DESC, doc_id) AS INTEGER) AS rank FROM h) WHERE rank <= 2")
+def graph_contains_join(spark, d):
+    """Texts inside the query, else queries whose start is inside the text; longest first, two each."""
+    return contained(spark, d, F.substring("q", 1, 40))
+
+
+@query(ORACLE_SQL["graph_contains_join"].replace("contains(t, substr(q, 1, 40))", "contains(t, q)"))
+def graph_contains_join_whole(spark, d):
+    """Texts inside the query, else whole queries inside the text; longest first, two each."""
+    return contained(spark, d, F.col("q"))
+
+
 @query("SELECT doc_id, length(coalesce(text, source)) AS size FROM documents ORDER BY size DESC, doc_id LIMIT 20")
 def longest_first(spark, d):
     size = F.length(F.coalesce("text", "source")).cast("long")

@@ -52,3 +52,16 @@ def test_whole_columns_are_read(spark, duck, small_dir):
         catalogue.QUERIES[name](spark, small_dir).collect()
     speech = catalogue.QUERIES["latex_speech"](spark, small_dir).orderBy("qid").first()
     assert speech["speech"] == "7 phần 10"
+
+
+def test_whole_texts_are_matched(spark, tmp_path):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    other = words[:45] + " not the same at the end"
+    texts = ["x" * 300 + " all under this licence", "b" * 400, "tiny", "say " + words + " now", other, other + "!"]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, words)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.content_type for r in run("content_type_reclass_whole")} == {0: "licence", 1: "unknown", 2: "short", 3: "unknown", 4: "unknown", 5: "unknown"}
+    assert [(r.doc_id, r.score) for r in run("exact_lookup_whole")] == [(3, 0.8)]
+    assert [(r.doc_id, r.direction) for r in run("graph_contains_join_whole")] == [(3, 1)]
