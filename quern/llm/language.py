@@ -4,10 +4,13 @@ Four kinds of evidence: the text (hashed byte trigrams under a multinomial for e
 the language that the markup or the metadata declares, the suffix of the address, and the host.
 Text profiles, what declarations and suffixes say of a language, and host priors are counted over
 all rows by grouped aggregation; priors are smoothed from all rows to the host's domain to the
-host. Log evidence adds up to a posterior.
+host. Log evidence adds up to a posterior over the languages that are declared and one class
+more, for texts in none of them: its profile is the background, half of which is what the
+languages have in common and half any trigram at all, and all profiles are smoothed towards it.
 
 Cases. Null, empty and letterless texts have no text evidence: they are rejected, and so are texts
-whose best language stays below KEEP. Null declarations, addresses and hosts add nothing. Without
+whose best language stays below KEEP and those in none of the languages (language null). What is
+declared by fewer than LEAST_TEXTS texts is no language of its own; such declarations count as one. Null declarations, addresses and hosts add nothing. Without
 any declaration there is no language to learn and all are rejected. Repeated rows come out alike.
 A null doc_id is kept. An empty table gives no rows. `accepted` keeps other columns, whatever
 their names.
@@ -27,9 +30,8 @@ from .arrays import LOWER, U, lean, mix, raw, slices
 from .common import chosen, small, stowed, unstowed, written
 
 BITS = 15
-#: A language is one that at least this share of the declarations names, so there are at most
-#: as many as the share's inverse.
-LEAST_SHARE = 0.002
+#: A language is one that at least so many texts declare, however large the table.
+LEAST_TEXTS = 5
 KEEP = 0.5
 #: Trigrams overlap, so each counts for less than one independent event.
 TEMPER = 0.3
@@ -67,7 +69,8 @@ def address(docs: DataFrame) -> DataFrame:
 
 
 def profiles(docs: DataFrame, languages: list[str]) -> np.ndarray:
-    """Log probabilities of trigram buckets by language, from all declared rows."""
+    """Log probabilities of trigram buckets by language, from all declared rows, and in the last
+    row those of the background."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), 1 << BITS))
@@ -82,9 +85,15 @@ def profiles(docs: DataFrame, languages: list[str]) -> np.ndarray:
     number = F.array_position(F.array(*map(F.lit, languages)), F.col("declared")).cast("int") - 1
     # at most languages x 2 ** BITS rows, however large the corpus
     got = docs.where(F.col("declared").isin(languages)).select(number.alias("lang"), "text").mapInArrow(lean(run), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    total = np.full((len(languages), 1 << BITS), SMOOTH)
-    total[got.column("lang").to_numpy(), got.column("bucket").to_numpy()] += got.column("n").to_numpy()
-    return np.log(total / total.sum(1, keepdims=True))
+    total = np.zeros((len(languages) + 1, 1 << BITS))
+    total[got.column("lang").to_numpy(), got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    size = total.sum(1, keepdims=True)
+    common = (total[:-1] / np.maximum(size[:-1], 1)).sum(0) / max(1, np.count_nonzero(size))
+    back = 0.5 / (1 << BITS) + 0.5 * common
+    back /= back.sum()
+    smooth = SMOOTH * (1 << BITS)
+    total += smooth * back
+    return np.log(total / (size + smooth))
 
 
 def likelihoods(docs: DataFrame, table: np.ndarray) -> DataFrame:
@@ -121,43 +130,44 @@ def fuse(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     """docs (doc_id, text, declared, host, and columns to carry) with language, confidence,
     text_language and kept."""
     shares = docs.where("declared is not null").groupBy("declared").agg(F.count("*").alias("n"))
-    total = shares.agg(F.sum("n")).first()[0] or 0
-    languages = sorted(r["declared"] for r in shares.where(F.col("n") >= LEAST_SHARE * total).collect())
-    k = len(languages)
+    languages = sorted(r["declared"] for r in shares.where(F.col("n") >= LEAST_TEXTS).collect())
     carried = [c for c in docs.columns if c != "text"]
-    if not k:
+    if not languages:
         return docs.select(*carried, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_language"), F.lit(False).alias("kept"))
-    names = F.array(*map(F.lit, languages))
+    k = len(languages) + 1  # the last class is none of the languages
+    names = F.array(*map(F.lit, languages), F.lit(None).cast("string"))
     scored = address(likelihoods(docs, profiles(docs, languages)))
     scored = written(scored.withColumn("p", _normal(F.col("ll"))), "likelihoods")
-    sums = [F.sum(F.when(F.col("letters") > 0, F.col("p")[i]).otherwise(0.0)).alias(f"s{i}") for i in range(k)]
+    sums = [F.count_if(F.col("letters") > 0).alias("texts"), *(F.sum(F.when(F.col("letters") > 0, F.col("p")[i]).otherwise(0.0)).alias(f"s{i}") for i in range(k))]
     said = lambda by: scored.groupBy(*by).agg(*sums)
     row = lambda r: np.array([r[f"s{i}"] or 0.0 for i in range(k)])
     all_rows = row(scored.agg(*sums).first()) + SMOOTH
     prior = all_rows / all_rows.sum()
 
-    # What a declaration or a suffix says of each language: bounded tables, by soft counts.
+    # What a declaration (`said`: the language, or null for any other) or a suffix says of each
+    # language: bounded tables, by soft counts.
     known = F.when(F.col("declared").isin(languages), F.col("declared"))
-    names_of = {r["d"]: row(r) for r in scored.withColumn("d", known).groupBy("d").agg(*sums).collect() if r["d"] is not None}
+    names_of = {r["said"]: row(r) for r in scored.where("declared is not null").groupBy(known.alias("said")).agg(*sums).collect()}
     spoken = sum(names_of.values()) + SMOOTH * (k + 1)
-    table = [[math.log(x) for x in (names_of.get(d, np.zeros(k)) + SMOOTH) / spoken] for d in languages]
-    declared = F.coalesce(F.element_at(F.create_map(*(y for d, t in zip(languages, table, strict=True) for y in (F.lit(d), F.array(*map(F.lit, t))))), F.coalesce("declared", F.lit(""))), F.array(*[F.lit(0.0)] * k))
+    table = [(d, [math.log(x) for x in (names_of.get(d, np.zeros(k)) + SMOOTH) / spoken]) for d in [*languages, None]]
+    declared = F.broadcast(docs.sparkSession.createDataFrame(table, "said string, declared_ll array<double>"))
     flat = lambda prefix: F.array(*(F.col(f"{prefix}{i}") for i in range(k)))
     suffixes = said(["suffix"]).where("suffix is not null")
     suffixes = suffixes.select("suffix", F.array(*(F.log((F.col(f"s{i}") + F.lit(SMOOTH)) / F.lit(float(all_rows[i] + SMOOTH * 50))) for i in range(k))).alias("suffix_ll"))
 
     # Priors: all rows, then the domain's, then the host's, each smoothed by the one before.
-    domains = said(["domain"]).select("domain", F.array(*((F.col(f"s{i}") + F.lit(float(DOMAIN_WEIGHT * prior[i]))) / (sum(F.col(f"s{j}") for j in range(k)) + F.lit(DOMAIN_WEIGHT)) for i in range(k))).alias("dp"))
-    hosts = said(["host", "domain"]).where("host is not null").join(domains, "domain").select("host", *(F.log((F.col(f"s{i}") + HOST_WEIGHT * F.col("dp")[i]) / (sum(F.col(f"s{j}") for j in range(k)) + HOST_WEIGHT)).alias(f"h{i}") for i in range(k))).select("host", flat("h").alias("host_ll"))
+    domains = said(["domain"]).select("domain", F.array(*((F.col(f"s{i}") + F.lit(float(DOMAIN_WEIGHT * prior[i]))) / (F.col("texts") + F.lit(DOMAIN_WEIGHT)) for i in range(k))).alias("dp"))
+    hosts = said(["host", "domain"]).where("host is not null").join(domains, "domain").select("host", *(F.log((F.col(f"s{i}") + HOST_WEIGHT * F.col("dp")[i]) / (F.col("texts") + HOST_WEIGHT)).alias(f"h{i}") for i in range(k))).select("host", flat("h").alias("host_ll"))
     rows = scored.join(small(hosts, hosts.count(), 50_000), "host", "left").join(small(suffixes, suffixes.count(), 50_000), "suffix", "left")
+    rows = rows.withColumn("known", known).join(declared, F.col("declared").isNotNull() & F.col("known").eqNullSafe(F.col("said")), "left")
     none = F.array(*[F.lit(0.0)] * k)
     start = F.array(*(F.lit(math.log(x)) for x in prior))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    logs = add(add(F.col("ll"), declared), add(F.coalesce("host_ll", start), F.coalesce("suffix_ll", none)))
+    logs = add(add(F.col("ll"), F.coalesce("declared_ll", none)), add(F.coalesce("host_ll", start), F.coalesce("suffix_ll", none)))
     rows = rows.withColumn("post", _normal(logs))
     best = lambda c: names[F.array_position(c, F.array_max(c)).cast("int") - 1]
     rows = rows.withColumn("language", best(F.col("post"))).withColumn("confidence", F.array_max("post")).withColumn("text_language", F.when(F.col("letters") > 0, best(F.col("p"))))
-    return rows.select(*carried, "language", "confidence", "text_language", ((F.col("letters") > 0) & (F.col("confidence") >= keep)).alias("kept"))
+    return rows.select(*carried, "language", "confidence", "text_language", ((F.col("letters") > 0) & (F.col("confidence") >= keep) & F.col("language").isNotNull()).alias("kept"))
 
 
 def identify(docs: DataFrame, declared: str = "lang", host: str = "source") -> DataFrame:

@@ -283,3 +283,15 @@ def test_language_evidence(spark):
     rows += [(100, "a u", None, "one.example.aa"), (101, "a u", None, "two.example.uu"), (102, "a u", "uu", None), (103, say("abcde"), "uu", None)]
     got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert [got[k].language for k in (100, 101, 102, 103)] == ["aa", "uu", "uu", "aa"]
+
+
+def test_rare_and_other_languages(spark):
+    rng = random.Random(2)
+    say = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(60))
+    rows = [(k, say("abcde") if k % 2 else say("uvxyz"), "aa" if k % 2 else "uu", "one" if k % 2 else "two") for k in range(4000)]
+    rows += [(5000 + k, say("klmno"), "rare", "one") for k in range(6)]  # 0.15 % of the declarations
+    rows += [(6000, say("fghij"), "lost", "one"), (6001, say("fghij"), None, "two"), (6002, say("fghij"), "aa", "one")]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[k].kept and got[k].language == got[k].declared for k in range(4000))
+    assert all(got[5000 + k].kept and got[5000 + k].language == "rare" for k in range(6))
+    assert not any(got[6000 + k].kept for k in range(3))
