@@ -25,7 +25,7 @@ from .arrays import LOWER, U, Prefix, lean, mix, raw, slices, words
 from .common import chosen
 
 BITS = 18
-SAMPLE = 8_000
+SAMPLE = 12_000
 NORM = 0.5
 PREFIXES = (4, 6)
 LEAST_TEXTS = 3

@@ -295,3 +295,7 @@ def test_rare_and_other_languages(spark):
     assert all(got[k].kept and got[k].language == got[k].declared for k in range(4000))
     assert all(got[5000 + k].kept and got[5000 + k].language == "rare" for k in range(6))
     assert not any(got[6000 + k].kept for k in range(3))
+
+
+def test_quality_sample_is_not_cut():
+    assert quality.SAMPLE == 12_000 and quality.train.__defaults__ == (12_000,)
