@@ -30,7 +30,9 @@ def accent_fold(c: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    return F.regexp_replace(accent_fold(c), " ", "_")
+    """ASCII letters, digits and single underscores; letters without an ASCII base (also đ) go."""
+    plain = F.lower(F.regexp_replace(F.translate(c, FOLD_FROM[:-2], FOLD_TO[:-2]), r"[^\x00-\x7F]", ""))
+    return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9_]+", "_"), "^_+|_+$", "")
 
 
 def word_count(c: Column) -> Column:
@@ -55,6 +57,8 @@ SPEECH = [
     (r"\\le", "nhỏ hơn hoặc bằng"),
     (r"\\neq", "khác"),
     (r"\\approx", "xấp xỉ"),
+    (r"\\\+", "cộng"),
+    (r"\\-", "trừ"),
     (r"\\sqrt\s*([a-zA-Z0-9_]+)", "căn bậc hai của $1"),
     (r"\$", ""),
     (r"\s+", " "),
@@ -121,3 +125,39 @@ def clip(c: Column, markers: list[str], least: int) -> Column:
 def occurrences(c: Column, word: str) -> Column:
     """How often word stands in c, without overlaps."""
     return ((F.length(c) - F.length(F.replace(c, F.lit(word), F.lit("")))) / len(word)).cast("long")
+
+
+# Signs that stand for small digits and charges, and how formulas are read (v2).
+SUBSCRIPT = ("0123456789", "₀₁₂₃₄₅₆₇₈₉")
+SUPERSCRIPT = ("0123456789+-", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻")
+SPEECH_V2 = [(r"\$", ""), (r"\\frac\{([^{}]+)\}\{([^{}]+)\}", "$1 chia $2"), (r"\\sqrt\{([^{}]+)\}", "căn bậc hai của $1"), (r"\\cdot", " nhân "), (r"\\times", " nhân "), (r"\\div", " chia "), (r"\\pm", " cộng hoặc trừ ")]
+SIGNS = [("+", "cộng"), ("-", "trừ"), ("×", "nhân"), ("÷", "chia"), ("=", "bằng"), ("<", "nhỏ hơn"), (">", "lớn hơn"), ("≤", "nhỏ hơn hoặc bằng"), ("≥", "lớn hơn hoặc bằng"), ("≠", "khác"), ("²", "bình phương"), ("³", "lập phương"), ("π", "pi"), ("∞", "vô cực")]
+
+
+def formula_speech(c: Column) -> Column:
+    """A formula as it is read out, sign by sign."""
+    for pattern, said in SPEECH_V2:
+        c = F.regexp_replace(c, pattern, said)
+    for sign, said in SIGNS:
+        c = F.replace(c, F.lit(sign), F.lit(f" {said} "))
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def small_signs(html: Column) -> Column:
+    """HTML with one-digit subscripts and one-sign superscripts as characters of their own."""
+    for tag, signs in (("sub", SUBSCRIPT), ("sup", SUPERSCRIPT)):
+        for a, b in zip(*signs, strict=True):
+            html = F.regexp_replace(html, rf"(?i)<{tag}[^>]*>\s*\Q{a}\E\s*</{tag}>", b)
+    return html
+
+
+def keep_formulas(html: Column) -> Column:
+    """HTML whose formulas (marked spans, scripts, pictures' texts) stand as $$...$$ in it."""
+    html = F.regexp_replace(html, r"(?is)<span(?=[^>]*class=\"[^\"]*(?:MathJax|mjx-chtml))[^>]*data-latex=\"([^\"]*)\"[^>]*>.*?</span>", " \\$\\$$1\\$\\$ ")
+    html = F.regexp_replace(html, r"(?is)<script[^>]*type=\"math/tex[^\"]*\"[^>]*>(.*?)</script>", " \\$\\$$1\\$\\$ ")
+    return F.regexp_replace(html, r"(?is)<img[^>]*alt=\"([^\"]*[\\_^][^\"]*)\"[^>]*>", " \\$\\$$1\\$\\$ ")
+
+
+def absolute(link: Column, base: Column) -> Column:
+    """A link of a page as a whole address: base has no slash at its end."""
+    return F.when(F.startswith(link, F.lit("http")), link).when(F.startswith(link, F.lit("/")), F.concat(base, link)).otherwise(F.concat(base, F.lit("/"), link))

@@ -35,3 +35,12 @@ def link_by(orphaned: DataFrame, known: DataFrame, key: str, value: str, otherwi
     """orphaned with the smallest value of known rows with their key, else a synthetic one."""
     first = known.groupBy(key).agg(F.min(value).alias("_v"))
     return orphaned.join(first, key, "left").withColumn(value, F.coalesce("_v", otherwise)).withColumn("synthetic", F.col("_v").isNull()).drop("_v")
+
+
+def reload(old: DataFrame, new: DataFrame, edges: DataFrame, label: str, labels: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Nodes after the old ones of the labels went and the new ones came, and those edges (src,
+    dst) whose ends are both there."""
+    nodes = old.where(~F.col(label).isin(labels)).unionByName(new)
+    ids = nodes.select("id").distinct()
+    there = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return nodes, there.select("src", "dst")

@@ -1 +1 @@
-from quern.plans import catalogue, curation  # noqa: F401  (curation adds its queries)
+from quern.plans import catalogue, curation, intake  # noqa: F401  (the others add their queries to the catalogue)

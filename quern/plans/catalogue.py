@@ -47,11 +47,15 @@ COLUMNS = {
     "documents": "SELECT doc_id AS qid, text AS q FROM documents",
     "conversations": "SELECT conv_id * 1000 + turn AS qid, text AS q FROM conversations",
     "pages": "SELECT page_id AS qid, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS q FROM pages",
+    "addresses": "SELECT page_id AS qid, url AS q FROM pages",
+    "html": "SELECT page_id AS qid, html AS q FROM pages",
 }
 
 
 def column(spark: SparkSession, d: str, name: str) -> DataFrame:
-    rows = table(spark, d, name)
+    rows = table(spark, d, "pages" if name in ("addresses", "html") else name)
+    if name in ("addresses", "html"):
+        return rows.select(F.col("page_id").alias("qid"), F.col("url" if name == "addresses" else "html").alias("q"))
     if name == "pages":
         return rows.select(F.col("page_id").alias("qid"), F.trim(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)).alias("q"))
     return rows.select((F.col("doc_id") if name == "documents" else F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("q"))
@@ -202,7 +206,7 @@ def lexical_topk(spark, d):
 
 
 # Text, classification ------------------------------------------------------------------------
-_SAY = ["Xin chào!", "tuần này học những gì ạ", "bài 3 trang 45 lớp 5", "từ láy là gì", "phân biệt danh từ và động từ", "giúp em tả con mèo", "tả cây bàng giúp em", "đọc cho em bài Cây tre nhé", "soạn bài Nhớ rừng lớp 8", "tính diện tích hình thang", "quang hợp ở thực vật là gì", "cuộc khởi nghĩa Lam Sơn năm 1418", "khí hậu châu Á", "pháp luật và đạo đức", "tích phân", "tíchứ", "", "kể chuyện Tấm Cám"]
+_SAY = ["Xin chào!", "tuần này học những gì ạ", "bài 3 trang 45 lớp 5", "từ láy là gì", "phân biệt danh từ và động từ", "giúp em tả con mèo", "tả cây bàng giúp em", "đọc cho em bài Cây tre nhé", "soạn bài Nhớ rừng lớp 8", "tính diện tích hình thang", "quang hợp ở thực vật là gì", "cuộc khởi nghĩa Lam Sơn năm 1418", "khí hậu châu Á", "pháp luật và đạo đức", "tích phân", "tíchứ", "", "kể chuyện Tấm Cám", "School nghĩa là gì", "grammar unit 5: present simple?", "từ playground nghĩa là gì ?"]
 
 
 @texts_query(_SAY, "conversations", f"SELECT qid, {R.sql_first_rule('lower(trim(q))', R.INTENT, 'lookup_reading')} AS intent, {R.sql_first_rule('lower(trim(q))', R.WRITING, None)} AS writing_type, coalesce(TRY_CAST(regexp_extract(q, '[0-9]+') AS INTEGER), -1) AS first_number FROM {values(_SAY)}")
@@ -237,7 +241,7 @@ def subject_detect(rows):
 _FOLD = "trim(regexp_replace(lower(replace(replace(strip_accents({c}), 'đ', 'd'), 'Đ', 'D')), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@texts_query(_SAY, "documents", f"SELECT qid, {_FOLD.format(c='q')} AS folded, replace({_FOLD.format(c='q')}, ' ', '_') AS slug FROM {values(_SAY)}")
+@texts_query(_SAY, "documents", f"SELECT qid, {_FOLD.format(c='q')} AS folded, regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(q), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM {values(_SAY)}")
 def accent_fold(rows):
     return rows.select("qid", X.accent_fold(F.col("q")).alias("folded"), X.slug(F.col("q")).alias("slug"))
 
@@ -247,10 +251,10 @@ _SPOKEN = "q"
 for _pattern, _said in X.SPEECH:
     _SPOKEN = f"regexp_replace({_SPOKEN}, {R.quoted(_pattern)}, {R.quoted(_said.replace('$', chr(92)))}, 'g')"
 _SPOKEN = f"SELECT qid, trim({_SPOKEN}) AS speech FROM ({COLUMNS['documents']})"
-_TEX = [r"$\frac{7}{10}$", r"x^2 + y^3 = z^{10}", r"a \times b \div c", r"\sqrt x \approx 3"]
+_TEX = [r"$\frac{7}{10}$", r"x^2 + y^3 = z^{10}", r"a \times b \div c", r"\sqrt x \approx 3", r"2 \+ 3 \- 1 \neq 5 \ge 4"]
 
 
-@texts_query(_TEX, "documents", "SELECT * FROM (VALUES (0, '7 phần 10'), (1, 'x bình phương + y lập phương = z mũ 10'), (2, 'a nhân b chia c'), (3, 'căn bậc hai của x xấp xỉ 3')) AS v(qid, speech)", _SPOKEN)
+@texts_query(_TEX, "documents", "SELECT * FROM (VALUES (0, '7 phần 10'), (1, 'x bình phương + y lập phương = z mũ 10'), (2, 'a nhân b chia c'), (3, 'căn bậc hai của x xấp xỉ 3'), (4, '2 cộng 3 trừ 1 khác 5 lớn hơn hoặc bằng 4')) AS v(qid, speech)", _SPOKEN)
 def latex_speech(rows):
     return rows.select("qid", X.latex_speech(F.col("q")).alias("speech"))
 
@@ -306,7 +310,7 @@ def content_type_reclass_whole(spark, d):
     return table(spark, d, "documents").select("doc_id", R.first_rule(F.lower("text"), _WHOLE, "unknown").alias("content_type"), kb.alias("kb"))
 
 
-_TITLES = ["Soạn bài Nhớ rừng", "van-ban-co-to-a12", "Phân tích nhân vật", "Tóm tắt truyện", "Dàn ý tả mẹ", "Bài đọc tuần 2", "ôn tập giữa kì", "khác"]
+_TITLES = ["Soạn bài Nhớ rừng", "van-ban-co-to-a12", "Phân tích nhân vật", "Tóm tắt truyện", "Dàn ý tả mẹ", "Bài đọc tuần 2", "ôn tập giữa kì", "khác", "Luyện từ và câu tuần 3", "Chính tả nghe viết", "Ke-chuyen tuan 4", "Đề thi học kì 1", "Trang 45 sgk lớp 5", "Lớp 2, sách giáo khoa mới", "trang bìa"]
 
 
 @texts_query(_TITLES, "pages", f"SELECT qid, CASE WHEN contains(lower(q), 'van-ban-') OR starts_with(lower(q), 'văn bản ') THEN 'van_ban' ELSE {R.sql_first_rule('lower(q)', R.CONTENT, 'unknown')} END AS kind FROM {values(_TITLES)}")
