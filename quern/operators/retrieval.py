@@ -23,8 +23,9 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = No
     return df.where(F.col("rank") <= k) if k else df
 
 
-def semantic(queries: DataFrame, points: DataFrame, k: int, low: int | None = None) -> DataFrame:
-    """qid, vec_id, score, rank: the k nearest points of each query (qid, qvec, grade).
+def semantic(queries: DataFrame, points: DataFrame, k: int, low: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """qid, vec_id, score, rank: the k nearest points of each query (qid, qvec, grade), equal in
+    the columns `also` of both.
 
     With low, points whose label is within one of the grade, and not under low: the band is
     spelled out, so that the join is on equal labels. Without, points with labels up to the grade.
@@ -33,24 +34,30 @@ def semantic(queries: DataFrame, points: DataFrame, k: int, low: int | None = No
         pairs = points.join(few(queries), F.col("label") <= F.col("grade"))
     else:
         wide = queries.withColumn("label", F.explode(F.sequence(F.greatest(F.lit(low), F.col("grade") - 1), F.greatest(F.lit(low), F.col("grade") + 1)))).where(F.col("label") <= F.col("grade") + 1)
-        pairs = points.join(few(wide), "label")
+        pairs = points.join(few(wide), ["label", *also])
     scored = pairs.select("qid", "vec_id", F.round(cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
     return ranked(scored, ["qid"], [F.desc("score"), F.col("vec_id")], k)
 
 
+def theta(rows: DataFrame, asked: DataFrame, on: Column | None = None) -> DataFrame:
+    """rows joined with a stated set of asked rows on any condition. Up to FEW asked rows are
+    broadcast; more meet the rows in blocks, salted so that a block's rows spread over all tasks."""
+    n, on = asked.count(), F.lit(True) if on is None else on
+    if n <= FEW:
+        return rows.join(F.broadcast(asked), on)
+    n_blocks, salts = -(-n // FEW), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    place = lambda df, m: F.pmod(F.xxhash64(*df.columns), F.lit(m)).cast("int")
+    asked = asked.withColumn("_b", place(asked, n_blocks)).withColumn("_s", every(salts))
+    rows = rows.withColumn("_s2", place(rows, salts)).withColumn("_b2", every(n_blocks))
+    return rows.join(asked, (F.col("_b") == F.col("_b2")) & (F.col("_s") == F.col("_s2")) & on).drop("_b", "_s", "_b2", "_s2")
+
+
 def semantic_all(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """qid, vec_id, score, rank over all points: a stated set of queries against every row. Up
     to FEW queries are broadcast; more meet the points in blocks, salted so that a block's
     points spread over all tasks."""
-    n, asked = queries.count(), queries.select("qid", "qvec")
-    if n <= FEW:
-        pairs = points.join(F.broadcast(asked), F.lit(True))
-    else:
-        n_blocks, salts = -(-n // FEW), int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        place = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-        asked = asked.withColumn("_b", place("qid", n_blocks)).withColumn("_s", every(salts))
-        pairs = points.withColumn("_s", place("vec_id", salts)).withColumn("_b", every(n_blocks)).join(asked, ["_b", "_s"])
+    pairs = theta(points, queries.select("qid", "qvec"))
     scored = pairs.select("qid", "vec_id", F.round(cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
     return ranked(scored, ["qid"], [F.desc("score"), F.col("vec_id")], k)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import rules as R
@@ -20,6 +20,48 @@ GLOBAL_HITS = 2
 MERGED = 3
 
 
+# Collections by subject and whether a concept is asked for (null: either), with the
+# collection that stands in; and what the source or title of the best hit tells of the subject.
+ROUTES = [("toan", True, "math_concepts", None), ("toan", False, "math_exercises", "math_concepts"), ("khtn", None, "science_topics", None), ("tieng_anh", True, "english_vocab", "english_sections"), ("tieng_anh", False, "english_grammar", "english_sections"), ("lich_su", None, "history_events", None), ("dia_li", None, "geography_regions", None), ("gdcd", None, "ethics_content", None)]
+RETAG = [("toan", "source", ["Math", "Toán"]), ("khtn", "source", ["KHTN", "Khoa học"]), ("soc", "title", ["Xã hội"]), ("ngu_van", "source", ["Tiếng Việt", "Ngữ văn", "Khái niệm"])]
+CONFIDENT = 0.5
+
+
+def with_subject(rows: DataFrame) -> DataFrame:
+    """rows (q, grade) with subject and confidence: that with most pattern hits, the first
+    declared on a tie and literature last; confidence against the runner-up, 1 without one."""
+    low = F.lower("q")
+    names = [s for s, _ in R.SUBJECTS]
+    scored = rows.withColumns({f"_{s}": R.score(low, p) for s, p in R.SUBJECTS} | {"_lit": R.score(low, R.LITERATURE)})
+    all_of = [*(f"_{s}" for s in names), "_lit"]
+    best, second = F.greatest(*all_of), F.sort_array(F.array(*all_of), asc=False)[1]
+    reading = F.when(F.col("grade") <= 5, "tieng_viet").otherwise("ngu_van")
+    subject = F.coalesce(*(F.when((best > 0) & (F.col(f"_{s}") == best), F.lit(s)) for s in names), F.when(best > 0, reading))
+    confidence = F.when(best == 0, 0.0).otherwise(F.round(best / (best + second), 3))
+    return scored.withColumns({"subject": subject, "confidence": confidence}).drop(*all_of)
+
+
+def collections(rows: DataFrame) -> DataFrame:
+    """rows (subject, intent) with main and other: the collection to search, and the next."""
+    spark = rows.sparkSession
+    dim = F.broadcast(spark.createDataFrame(ROUTES, "_s string, _c boolean, main string, other string"))
+    asks = F.col("intent") == "explain_concept"
+    found = rows.join(dim, (F.col("subject") == F.col("_s")) & (F.col("_c").isNull() | (F.col("_c") == asks)), "left").drop("_s", "_c")
+    return found.withColumn("main", F.coalesce("main", F.lit("global"))).withColumn("other", F.coalesce("other", "main"))
+
+
+def retag(subject: Column, source: Column, title: Column) -> Column:
+    """The subject after a search over everything, by what its best hit says of itself."""
+    out = F
+    for name, where, parts in RETAG:
+        at = source if where == "source" else title
+        hit = F.contains(at, F.lit(parts[0]))
+        for p in parts[1:]:
+            hit = hit | F.contains(at, F.lit(p))
+        out = out.when(hit, F.lit(name))
+    return out.otherwise(subject)
+
+
 def understand(queries: DataFrame) -> DataFrame:
     """queries (qid, q, grade and others) with intent, subject and route.
 

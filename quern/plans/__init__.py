@@ -1 +1 @@
-from quern.plans import catalogue, curation, intake  # noqa: F401  (the others add their queries to the catalogue)
+from quern.plans import catalogue, curation, intake, knowledge  # noqa: F401  (the others add their queries to the catalogue)

@@ -83,7 +83,7 @@ def longest_first(spark, d):
 # Expected subjects that several detected ones satisfy.
 _FAMILY = {"soc": ["lich_su", "dia_li", "gdcd", "soc"], "ngu_van": ["ngu_van", "tieng_viet"]}
 _EXPECTED = ["cross", "soc", "ngu_van", "toan", "khtn"]
-_DETECTED = ["toan", "lich_su", "tieng_viet", "toan", "khtn", "ngu_van", "dia_li", "ngu_van", "gdcd", "toan"]
+_DETECTED = ["toan", "lich_su", "tieng_viet", "toan", "khtn", "ngu_van", "dia_li", "ngu_van", "gdcd", "tieng_anh"]
 _pick = lambda names, at: "[" + ", ".join(f"'{n}'" for n in names) + f"][{at} + 1]"
 _ARMS = " UNION ALL ".join(f"SELECT '{arm}' AS arm, * FROM ({_TOP.format(on=on, k=4)})" for arm, on in (("profile", _BAND.format(lo=1)), ("cold", "true")))
 _EVAL = (
