@@ -79,10 +79,14 @@ def main_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(F.nullif(article, F.lit("")), bare), r"(?s)<[^>]*(>|$)", " "), r"\s+", " "))
 
 
-def cosine(a: Column, b: Column) -> Column:
+def dot(a: Column, b: Column) -> Column:
     """In double precision."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.aggregate(F.zip_with(a, b, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(v: Column) -> Column:
+    """A vector's length: worked out once for a row, before it meets others."""
+    return F.sqrt(dot(v, v))
 
 
 def drop_links(c: Column) -> Column:

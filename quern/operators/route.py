@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import rules as R
-from quern.functions.text import cosine
-from quern.operators.retrieval import few, ranked
+from quern.operators.retrieval import few, normed, ranked, similarity
 
 # Intents that need no search, and those that are about literature whatever the
 # words say; collections with the subject or intent that leads to them, their hits, and the
@@ -91,14 +90,14 @@ def retrieve(routed: DataFrame, points: DataFrame) -> DataFrame:
     through one search; a global route takes GLOBAL_HITS of each and merges them by score.
     """
     spark = points.sparkSession
+    routed, points = normed(routed, points)
     dim = F.broadcast(spark.createDataFrame(COLLECTIONS, "source string, k int, low int"))
     wide = routed.join(dim, (F.col("route") == F.col("source")) | (F.col("route") == "global"))
-    asked = wide.select("qid", "qvec", "grade", "source", "low", F.when(F.col("route") == "global", GLOBAL_HITS).otherwise(F.col("k")).alias("k"))
+    asked = wide.select("qid", "qvec", "_qn", "grade", "source", "low", F.when(F.col("route") == "global", GLOBAL_HITS).otherwise(F.col("k")).alias("k"))
     begin = F.when(F.col("low").isNull(), F.lit(0)).otherwise(F.greatest("low", F.col("grade") - 1))
     end = F.when(F.col("low").isNull(), F.col("grade")).otherwise(F.col("grade") + 1)
     band = asked.withColumn("_a", begin.cast("int")).withColumn("_z", end.cast("int")).where("_a <= _z").withColumn("label", F.explode(F.sequence("_a", "_z")))
-    score = F.round(cosine(F.col("embedding"), F.col("qvec")), 6).alias("score")
-    search = lambda on, side: ranked(points.join(few(side), on).select("qid", "source", "k", "vec_id", score), ["qid", "source"], [F.desc("score"), F.col("vec_id")]).where("rank <= k")
+    search = lambda on, side: ranked(points.join(few(side), on).select("qid", "source", "k", "vec_id", similarity()), ["qid", "source"], [F.desc("score"), F.col("vec_id")]).where("rank <= k")
     strict = search(["source", "label"], band)
     empty = asked.join(strict.select("qid", "source").distinct(), ["qid", "source"], "left_anti")
     both = strict.unionByName(search(["source"], empty)).withColumnRenamed("rank", "r")

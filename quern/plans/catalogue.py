@@ -119,9 +119,9 @@ def semantic_hydrate(spark, d):
 @query(f"WITH {_Q}, t AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid, src ORDER BY score DESC, vec_id) AS INTEGER) AS r FROM (SELECT qid, vec_id, vec_id % 5 AS src, round(list_cosine_similarity(v, qv), 6) AS score FROM e JOIN q ON {_BAND.format(lo=1)})), m AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, src, r) AS INTEGER) AS rank FROM t WHERE r <= 3) SELECT qid, src, vec_id, score, rank FROM m WHERE rank <= 3")
 def global_merge_top3(spark, d):
     """Five collections, three hits of each, the best three of all."""
-    q, points = vectors(spark, d)
+    q, points = retrieval.normed(*vectors(spark, d))
     wide = q.withColumn("label", F.explode(F.sequence(F.greatest(F.lit(1), F.col("grade") - 1), F.greatest(F.lit(1), F.col("grade") + 1)))).where("label <= grade + 1")
-    scored = points.join(retrieval.few(wide), "label").select("qid", (F.col("vec_id") % 5).alias("src"), "vec_id", F.round(X.cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
+    scored = points.join(retrieval.few(wide), "label").select("qid", (F.col("vec_id") % 5).alias("src"), "vec_id", retrieval.similarity())
     best = retrieval.ranked(scored, ["qid", "src"], [F.desc("score"), F.col("vec_id")], 3).withColumnRenamed("rank", "r")
     return retrieval.ranked(best, ["qid"], [F.desc("score"), F.col("src"), F.col("r")], 3).select("qid", "src", "vec_id", "score", "rank")
 
