@@ -65,10 +65,10 @@ def metadata_audit(spark, d):
 _LISTED = "string_agg('📖 [' || rank || '] ' || coalesce(title, '') || chr(10) || '   ' || coalesce(substr(text, 1, 200), '') || '...', chr(10) ORDER BY rank)"
 
 
-@query(f"WITH {_KB}, r AS ({ORACLE_SQL['retrieve_routed_all']}), i AS ({ORACLE_SQL['route_questions_all']}), c AS (SELECT qid, count(*) AS n, {_LISTED} AS listed FROM r LEFT JOIN kb ON id = vec_id GROUP BY qid) SELECT qid, md5(CASE WHEN intent IN ('greeting', 'encouragement') THEN '{hooks.WELCOME}' WHEN intent = 'off_topic' THEN '{hooks.ASIDE}' WHEN n > 0 THEN 'Chị tìm được ' || n || ' kết quả cho em nè:' || chr(10) || listed ELSE 'Chị chưa tìm thấy thông tin phù hợp cho câu hỏi của em. Intent detected: ' || intent END) AS answer FROM i LEFT JOIN c USING (qid)")
+@query(f"WITH {_KB}, r AS ({ORACLE_SQL['retrieve_routed']}), i AS ({ORACLE_SQL['route_questions']}), c AS (SELECT qid, count(*) AS n, {_LISTED} AS listed FROM r LEFT JOIN kb ON id = vec_id GROUP BY qid) SELECT qid, md5(CASE WHEN intent IN ('greeting', 'encouragement') THEN '{hooks.WELCOME}' WHEN intent = 'off_topic' THEN '{hooks.ASIDE}' WHEN n > 0 THEN 'Chị tìm được ' || n || ' kết quả cho em nè:' || chr(10) || listed ELSE 'Chị chưa tìm thấy thông tin phù hợp cho câu hỏi của em. Intent detected: ' || intent END) AS answer FROM i LEFT JOIN c USING (qid)")
 def templated_answers(spark, d):
     """Answers without a model, for every search."""
-    hits = QUERIES["retrieve_routed_all"](spark, d)
+    hits = QUERIES["retrieve_routed"](spark, d)
     rows = readings(spark, d).select(F.col("id").alias("vec_id"), "title", F.substring("text", 1, 200).alias("text")).join(retrieval.few(hits), "vec_id", "right")
     line = F.format_string("📖 [%d] %s\n   %s...", "rank", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
     got = retrieval.context(rows.select("qid", "rank", "title", "text"), line)

@@ -18,6 +18,8 @@ from quern.sources.tables import table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Of operators on texts: f(spark) over a few texts that fit every rule, and SQL for its rows.
+FIXTURES: dict = {}
 
 
 def query(sql: str):
@@ -62,14 +64,13 @@ def column(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def texts_query(texts: list[str], over: str, sql: str, whole: str | None = None):
-    """Two queries of f(rows: qid, q): `name` over fixed texts, `name_all` over a whole column of
-    COLUMNS, by the same SQL (or `whole`, where that isn't of use)."""
+    """A query of f(rows: qid, q) over a whole column of COLUMNS, and a fixture over fixed texts, by
+    the same SQL (or `whole`, where that isn't of use)."""
 
     def add(f):
-        QUERIES[f.__name__] = lambda spark, d: f(frame(spark, texts))
-        ORACLE_SQL[f.__name__] = sql
-        QUERIES[f.__name__ + "_all"] = lambda spark, d: f(column(spark, d, over))
-        ORACLE_SQL[f.__name__ + "_all"] = whole or sql.replace(values(texts), f"({COLUMNS[over]}) AS v(qid, q)")
+        FIXTURES[f.__name__] = (lambda spark: f(frame(spark, texts)), sql)
+        QUERIES[f.__name__] = lambda spark, d: f(column(spark, d, over))
+        ORACLE_SQL[f.__name__] = whole or sql.replace(values(texts), f"({COLUMNS[over]}) AS v(qid, q)")
         return f
 
     return add
@@ -156,15 +157,9 @@ def looked_up(spark: SparkSession, d: str, name) -> DataFrame:
     return best.select("item_id", "doc_id", F.when(F.col("tier") == 0, 1.0).otherwise(0.8).alias("score"), "rank")
 
 
-@query("WITH q AS (SELECT item_id, lower(substr(text, 1, 24)) AS name FROM benchmark), h AS (SELECT item_id, doc_id, CASE WHEN starts_with(lower(text), name) THEN 0 ELSE 1 END AS tier, n_chars FROM q JOIN documents ON contains(lower(text), name)) SELECT item_id, doc_id, CASE WHEN tier = 0 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY tier, n_chars, doc_id) AS INTEGER) AS rank FROM h) WHERE rank <= 5")
+@query("WITH q AS (SELECT item_id, lower(text) AS name FROM benchmark), h AS (SELECT item_id, doc_id, CASE WHEN starts_with(lower(text), name) THEN 0 ELSE 1 END AS tier, n_chars FROM q JOIN documents ON contains(lower(text), name)) SELECT item_id, doc_id, CASE WHEN tier = 0 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY tier, n_chars, doc_id) AS INTEGER) AS rank FROM h) WHERE rank <= 5")
 def exact_lookup(spark, d):
-    """Starts of names in texts whatever their case, exact starts first."""
-    return looked_up(spark, d, F.lower(F.substring("text", 1, 24)))
-
-
-@query(ORACLE_SQL["exact_lookup"].replace("lower(substr(text, 1, 24)) AS name", "lower(text) AS name"))
-def exact_lookup_whole(spark, d):
-    """Whole names in texts whatever their case, exact starts first."""
+    """Names in texts whatever their case, exact starts first."""
     return looked_up(spark, d, F.lower("text"))
 
 
@@ -293,19 +288,12 @@ def page_blocks(spark, d):
     return blocks.offsets(found, "page_id", "pos", "t").select("page_id", "dom_order", F.length("t").alias("n"), "char_start")
 
 
-@query(f"SELECT doc_id, {R.sql_first_rule('lower(substr(text, 1, 200))', [('short', ['^.{0,60}$']), ('licence', ['licen[sc]e', 'copyright']), ('shout', ['!!.*!!'])], 'unknown')} AS content_type, CASE WHEN lang = 'en' THEN 'reading' WHEN lang IN ('fr', 'de') THEN 'concepts' ELSE 'samples' END AS kb FROM documents")
-def content_type_reclass(spark, d):
-    kinds = [("short", ["^.{0,60}$"]), ("licence", ["licen[sc]e", "copyright"]), ("shout", ["!!.*!!"])]
-    kb = F.when(F.col("lang") == "en", "reading").when(F.col("lang").isin("fr", "de"), "concepts").otherwise("samples")
-    return table(spark, d, "documents").select("doc_id", R.first_rule(F.lower(F.substring("text", 1, 200)), kinds, "unknown").alias("content_type"), kb.alias("kb"))
-
-
 _WHOLE = [("short", [r"(?s)^.{0,60}\z"]), ("licence", ["licen[sc]e", "copyright"]), ("shout", [r"!![^\n]*!!"])]
 
 
 @query(f"SELECT doc_id, {R.sql_first_rule('lower(text)', _WHOLE, 'unknown')} AS content_type, CASE WHEN lang = 'en' THEN 'reading' WHEN lang IN ('fr', 'de') THEN 'concepts' ELSE 'samples' END AS kb FROM documents")
-def content_type_reclass_whole(spark, d):
-    """The same rules over whole texts; short is a text of 60 characters at most."""
+def content_type_reclass(spark, d):
+    """Rules over whole texts; short is a text of 60 characters at most."""
     kb = F.when(F.col("lang") == "en", "reading").when(F.col("lang").isin("fr", "de"), "concepts").otherwise("samples")
     return table(spark, d, "documents").select("doc_id", R.first_rule(F.lower("text"), _WHOLE, "unknown").alias("content_type"), kb.alias("kb"))
 
@@ -434,14 +422,8 @@ def orphans(spark, d):
     return graph.orphans(*nodes_edges(spark, d)).groupBy("role").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_NODES}, h AS (SELECT node_id, size FROM n WHERE size % 7 = 0) SELECT node_id, src, dst FROM h JOIN g ON node_id = src UNION ALL SELECT node_id, src, dst FROM h JOIN g ON node_id = dst")
-def graph_solves_or_join(spark, d):
-    nodes, edges = nodes_edges(spark, d)
-    return graph.either_end(nodes.where("size % 7 = 0").select("node_id"), edges).select("node_id", "src", "dst")
-
-
 @query(f"WITH {_NODES} SELECT node_id, src, dst FROM n JOIN g ON node_id = src UNION ALL SELECT node_id, src, dst FROM n JOIN g ON node_id = dst")
-def graph_solves_or_join_all(spark, d):
+def graph_solves_or_join(spark, d):
     nodes, edges = nodes_edges(spark, d)
     return graph.either_end(nodes.select("node_id"), edges).select("node_id", "src", "dst")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quern.functions import rules as R
 from quern.functions import text as X
 from quern.operators import blocks, graph, ingest, retrieval, route
-from quern.plans.catalogue import _BAND, _KEY, _NAMES, _NODES, ORACLE_SQL, _Q, _SAY, _SCORES, _TITLES, _TOP, frame, nodes_edges, query, texts_query, values, vectors
+from quern.plans.catalogue import _BAND, _KEY, _NAMES, _NODES, _Q, _SCORES, _TITLES, _TOP, nodes_edges, query, texts_query, values, vectors
 from quern.sources.tables import table
 
 
@@ -61,14 +61,8 @@ def contained(spark: SparkSession, d: str, start) -> DataFrame:
     return retrieval.ranked(hits, ["item_id"], [F.col("direction"), F.desc("size"), F.col("doc_id")], 2).select("item_id", "doc_id", "direction", "rank")
 
 
-@query("WITH q AS (SELECT item_id, lower(text) AS q FROM benchmark), t AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text <> ''), h AS (SELECT item_id, doc_id, CASE WHEN contains(q, t) THEN 0 ELSE 1 END AS direction, length(t) AS size FROM q JOIN t ON contains(q, t) OR contains(t, substr(q, 1, 40))) SELECT item_id, doc_id, direction, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY direction, size DESC, doc_id) AS INTEGER) AS rank FROM h) WHERE rank <= 2")
+@query("WITH q AS (SELECT item_id, lower(text) AS q FROM benchmark), t AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text <> ''), h AS (SELECT item_id, doc_id, CASE WHEN contains(q, t) THEN 0 ELSE 1 END AS direction, length(t) AS size FROM q JOIN t ON contains(q, t) OR contains(t, q)) SELECT item_id, doc_id, direction, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY direction, size DESC, doc_id) AS INTEGER) AS rank FROM h) WHERE rank <= 2")
 def graph_contains_join(spark, d):
-    """Texts inside the query, else queries whose start is inside the text; longest first, two each."""
-    return contained(spark, d, F.substring("q", 1, 40))
-
-
-@query(ORACLE_SQL["graph_contains_join"].replace("contains(t, substr(q, 1, 40))", "contains(t, q)"))
-def graph_contains_join_whole(spark, d):
     """Texts inside the query, else whole queries inside the text; longest first, two each."""
     return contained(spark, d, F.col("q"))
 
@@ -303,14 +297,8 @@ def edge_materialise(spark, d):
     return graph.materialise(nodes, carried, "targets").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_NODES} SELECT src, rel, dst FROM g JOIN n ON node_id = dst WHERE size % 2 = 0 ORDER BY src, dst LIMIT 5")
-def path_list(spark, d):
-    nodes, edges = nodes_edges(spark, d)
-    return edges.join(nodes.where("size % 2 = 0").select(F.col("node_id").alias("dst")), "dst").select("src", "rel", "dst").orderBy("src", "dst").limit(5)
-
-
 @query(f"WITH {_NODES} SELECT src, rel, dst FROM g JOIN n ON node_id = dst")
-def path_list_all(spark, d):
+def path_list(spark, d):
     nodes, edges = nodes_edges(spark, d)
     return edges.join(nodes.select(F.col("node_id").alias("dst")), "dst").select("src", "rel", "dst")
 
@@ -345,11 +333,12 @@ def last_title(spark, d):
 
 
 # From question to hits -------------------------------------------------------------------------
-_ASK = [*_SAY, "trang 12 lớp 6 tính phương trình", "bài 4 trang 20 về quang hợp", "bài 2 trang 31 nhân vật", "trang 7 lớp 3", "hôm nay lớp mình học bài gì"]
+# Every search of the collection (vec_id divisible by 50), asked by the text of its document.
+_EVERY = "SELECT vec_id AS qid, coalesce(text, '') AS q, label AS grade FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % 50 = 0"
 _MOST = "greatest(" + ", ".join(_NAMES) + ", lit)"
 _listed = lambda names: ", ".join(map(R.quoted, names))
 _UNDERSTOOD = (
-    f"i AS (SELECT qid, grade, {R.sql_first_rule('lower(trim(q))', R.INTENT, 'lookup_reading')} AS intent, {_SCORES}, {R.sql_score('lower(q)', R.LITERATURE)} AS lit FROM (SELECT v.*, label AS grade FROM {values(_ASK)} JOIN embeddings ON vec_id = qid)), "
+    f"i AS (SELECT qid, grade, {R.sql_first_rule('lower(trim(q))', R.INTENT, 'lookup_reading')} AS intent, {_SCORES}, {R.sql_score('lower(q)', R.LITERATURE)} AS lit FROM ({_EVERY})), "
     f"s AS (SELECT qid, grade, intent, CASE WHEN intent IN ({_listed(route.LITERATURE_INTENTS)}) THEN 'ngu_van' WHEN {_MOST} = 0 THEN NULL " + " ".join(f"WHEN {n} = {_MOST} THEN '{n}'" for n in _NAMES) + " WHEN grade <= 5 THEN 'tieng_viet' ELSE 'ngu_van' END AS subject FROM i), "
     f"u AS (SELECT *, CASE WHEN intent IN ({_listed(route.NO_SEARCH)}) THEN NULL WHEN subject = 'toan' THEN 'math' WHEN subject = 'khtn' THEN 'science' WHEN subject IN ({_listed(route.SOCIAL)}) THEN 'social' WHEN subject IN ('ngu_van', 'tieng_viet') THEN CASE intent WHEN 'lookup_reading' THEN 'reading' WHEN 'explain_concept' THEN 'concepts' WHEN 'writing_outline' THEN 'outline' END WHEN intent = 'lookup_curriculum' THEN 'curriculum' ELSE 'global' END AS route FROM s)"
 )
@@ -359,8 +348,6 @@ _best_of = "SELECT qid, source, vec_id, score, r FROM (SELECT *, row_number() OV
 _pairs = "SELECT qid, a.source, k, p.vec_id, round(list_cosine_similarity(p.v, a.qv), 6) AS score FROM {asked} a JOIN p ON p.source = a.source"
 
 
-# Every search of the collection (vec_id divisible by 50), asked by the text of its document.
-_FEW, _EVERY = f"SELECT v.*, label AS grade FROM {values(_ASK)} JOIN embeddings ON vec_id = qid", "SELECT vec_id AS qid, coalesce(text, '') AS q, label AS grade FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % 50 = 0"
 
 
 def asked_all(spark: SparkSession, d: str) -> DataFrame:
@@ -370,32 +357,13 @@ def asked_all(spark: SparkSession, d: str) -> DataFrame:
     return route.understand(retrieval.few(q).join(texts, "qid", "left").withColumn("q", F.coalesce("q", F.lit(""))))
 
 
-def asked(spark: SparkSession, d: str) -> DataFrame:
-    """Questions, each with the vector and label of the row of its number."""
-    points = table(spark, d, "embeddings")
-    own = points.where(F.col("vec_id") < len(_ASK)).select(F.col("vec_id").cast("int").alias("qid"), F.col("embedding").alias("qvec"), F.col("label").alias("grade"))
-    return route.understand(frame(spark, _ASK).join(F.broadcast(own), "qid"))
-
-
 @query(f"WITH {_UNDERSTOOD} SELECT qid, intent, subject, route FROM u")
 def route_questions(spark, d):
-    return asked(spark, d).select("qid", "intent", "subject", "route")
+    return asked_all(spark, d).select("qid", "intent", "subject", "route")
 
 
 @query(f"WITH {_UNDERSTOOD}, dim(source, k, low) AS (VALUES {_DIM}), p AS (SELECT vec_id, label, {_SOURCE} AS source, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), a AS (SELECT qid, grade, dim.source, low, CASE WHEN route = 'global' THEN {route.GLOBAL_HITS} ELSE k END AS k, p.v AS qv FROM u JOIN dim ON route = dim.source OR route = 'global' JOIN p ON p.vec_id = qid), t AS ({_best_of.format(rows=_pairs.format(asked='a') + ' WHERE CASE WHEN low IS NULL THEN label BETWEEN 0 AND grade ELSE label BETWEEN greatest(low, grade - 1) AND grade + 1 END')}), e AS (SELECT * FROM a WHERE (qid, source) NOT IN (SELECT (qid, source) FROM t)), m AS (SELECT * FROM t UNION ALL {_best_of.format(rows=_pairs.format(asked='e'))}) SELECT qid, source, vec_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, source, r) AS INTEGER) AS rank FROM m) WHERE rank <= {route.MERGED}")
 def retrieve_routed(spark, d):
-    """Questions end to end; the collections are the points by vec_id modulo 5."""
-    source = F.element_at(F.array(*(F.lit(s) for s, _, _ in route.COLLECTIONS)), (F.col("vec_id") % 5 + 1).cast("int"))
-    return route.retrieve(asked(spark, d), table(spark, d, "embeddings").select("vec_id", "embedding", "label", source.alias("source")))
-
-
-@query(ORACLE_SQL["route_questions"].replace(_FEW, _EVERY))
-def route_questions_all(spark, d):
-    return asked_all(spark, d).select("qid", "intent", "subject", "route")
-
-
-@query(ORACLE_SQL["retrieve_routed"].replace(_FEW, _EVERY))
-def retrieve_routed_all(spark, d):
     """Every search end to end; the collections are the points by vec_id modulo 5."""
     source = F.element_at(F.array(*(F.lit(s) for s, _, _ in route.COLLECTIONS)), (F.col("vec_id") % 5 + 1).cast("int"))
     return route.retrieve(asked_all(spark, d), table(spark, d, "embeddings").select("vec_id", "embedding", "label", source.alias("source")))

@@ -194,11 +194,11 @@ def subject_backfill(spark, d):
 _HITS_OF = "SELECT qid, count(*) AS retrieved_sources, md5(string_agg('- Đoạn ' || rank || ' [' || vec_id || '] (' || coalesce(title, '') || '): ' || coalesce(text, ''), chr(10) ORDER BY rank)) AS context FROM r LEFT JOIN kb ON id = vec_id GROUP BY qid"
 
 
-@query(f"WITH {_KB}, r AS ({ORACLE_SQL['retrieve_routed_all']}), i AS ({ORACLE_SQL['route_questions_all']}), c AS ({_HITS_OF}) SELECT qid, intent, coalesce(retrieved_sources, 0) AS retrieved_sources, coalesce(context, md5('')) AS context FROM i LEFT JOIN c USING (qid)")
+@query(f"WITH {_KB}, r AS ({ORACLE_SQL['retrieve_routed']}), i AS ({ORACLE_SQL['route_questions']}), c AS ({_HITS_OF}) SELECT qid, intent, coalesce(retrieved_sources, 0) AS retrieved_sources, coalesce(context, md5('')) AS context FROM i LEFT JOIN c USING (qid)")
 def retrieve_endpoint(spark, d):
     """What the service answers for every search: intent, number of hits, and their context."""
     asked = asked_all(spark, d).select("qid", "intent")
-    hits = QUERIES["retrieve_routed_all"](spark, d)
+    hits = QUERIES["retrieve_routed"](spark, d)
     texts = readings(spark, d).select(F.col("id").alias("vec_id"), "title", "text")
     rows = texts.join(retrieval.few(hits), "vec_id", "right")
     line = F.format_string("- Đoạn %d [%d] (%s): %s", "rank", "vec_id", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))

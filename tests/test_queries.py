@@ -41,19 +41,30 @@ def test_entry_runs(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("name", sorted(catalogue.FIXTURES))
+def test_same_rows_as_sql_over_fixtures(spark, duck, name):
+    make, sql = catalogue.FIXTURES[name]
+    df = make(spark)
+    order = sorted(df.columns)
+    assert rows(tuple(r) for r in df.select(*order).collect()) == rows(duck.execute(f"SELECT {', '.join(order)} FROM ({sql})").fetchall())
+
+
 def test_whole_columns_are_read(spark, duck, small_dir):
     count = lambda sql: duck.execute(sql).fetchone()[0]
-    texts = {"documents": ["accent_fold", "latex_speech", "text_fields"], "conversations": ["intent_rules", "lesson_name", "subject_detect", "block_label"], "pages": ["title_reclass"]}
+    texts = {"documents": ["accent_fold", "latex_speech", "text_fields", "formula_speech"], "conversations": ["intent_rules", "lesson_name", "subject_detect", "subject_by_grade", "block_label"], "pages": ["title_reclass", "url_reading", "url_maths", "url_science", "url_social"]}
     for table, names in texts.items():
         for name in names:
-            assert catalogue.QUERIES[name + "_all"](spark, small_dir).count() == count(f"SELECT count(*) FROM {table}")
-    assert catalogue.QUERIES["route_questions_all"](spark, small_dir).count() == count("SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0")
-    for name in ("exercise_split_all", "exercise_split_maths_all"):
-        catalogue.QUERIES[name](spark, small_dir).collect()
-    speech = catalogue.QUERIES["latex_speech"](spark, small_dir).orderBy("qid").first()
+            assert catalogue.QUERIES[name](spark, small_dir).count() == count(f"SELECT count(*) FROM {table}")
+    assert catalogue.QUERIES["route_questions"](spark, small_dir).count() == count("SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0")
+    speech = catalogue.FIXTURES["latex_speech"][0](spark).orderBy("qid").first()
     assert speech["speech"] == "7 phần 10"
 
 
+def test_every_base_is_reached(spark):
+    found = {r.kb for r in catalogue.FIXTURES["kb_route"][0](spark).collect()}
+    assert found == {"reading", "concepts", "samples", "other"}
+
+
 def test_whole_texts_are_matched(spark, tmp_path):
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     other = words[:45] + " not the same at the end"
@@ -62,6 +73,6 @@ def test_whole_texts_are_matched(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, words)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
-    assert {r.doc_id: r.content_type for r in run("content_type_reclass_whole")} == {0: "licence", 1: "unknown", 2: "short", 3: "unknown", 4: "unknown", 5: "unknown"}
-    assert [(r.doc_id, r.score) for r in run("exact_lookup_whole")] == [(3, 0.8)]
-    assert [(r.doc_id, r.direction) for r in run("graph_contains_join_whole")] == [(3, 1)]
+    assert {r.doc_id: r.content_type for r in run("content_type_reclass")} == {0: "licence", 1: "unknown", 2: "short", 3: "unknown", 4: "unknown", 5: "unknown"}
+    assert [(r.doc_id, r.score) for r in run("exact_lookup")] == [(3, 0.8)]
+    assert [(r.doc_id, r.direction) for r in run("graph_contains_join")] == [(3, 1)]
