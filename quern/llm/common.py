@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of (long) keys up to which a side is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Rows that go to Python at once; texts are long, and a batch lies in both processes.
-ARROW_KEY, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+ARROW_KEY, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+#: The temporary folder of each application on a single machine.
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,8 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _local.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="quern-")
+        _local[spark.sparkContext.applicationId] = path
     return path.rstrip("/")
 
 
@@ -33,7 +38,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def remove(table: DataFrame) -> None:
+    """Removes a table that `written` made and that nothing reads any more."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_path)
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables, and lets Spark drop the shuffle files of the plans that made them."""
+    for df in tables:
+        remove(df)
+    gc.collect()
+    if jvm := SparkContext._jvm:
+        jvm.System.gc()
+
+
+def relieve(spark: SparkSession) -> None:
+    """Lets executors collect garbage, and so give heap back that an earlier step needed: the next
+    one's Python workers need room beside it. A matter of memory only; results don't depend on it."""
+    n = 2 * spark.sparkContext.defaultParallelism
+    collect = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, n, 1, n).select(collect.alias("gc")).write.format("noop").mode("overwrite").save()
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -49,7 +79,7 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     Rows with a null end or a = b link nothing. Nodes without an edge are not returned.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = written(e, name)
+    e0 = e = written(e, name)
     seen = None
     while True:
         # Large star: neighbours above u go to the smallest neighbour of u.
@@ -59,7 +89,9 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
         # Small star: u and its neighbours below it go to the smallest of them.
         low = e.groupBy("a").agg(F.min("b").alias("m"))
         e = e.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
-        e = written(e, name)
+        e, last = written(e, name), e0
+        remove(last)
+        e0 = e
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break

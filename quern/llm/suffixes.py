@@ -2,13 +2,15 @@
 
 Every n-byte string has an anchor, the window of GRAM bytes with the smallest hash inside it:
 equal strings have equal anchors at equal places. Strings that follow each other mostly share
-their anchor, and all that share it lie in one context of the text. Contexts are counted by
-hash; those that occur twice are repeated as a whole. Where the same anchor has different
-contexts, sampled splitters range-partition the anchored suffixes by their leading bytes; each
-bucket sorts them by multikey quicksort and compares neighbours, and what stands before the
-anchor tells how far a match begins before it. All suffixes of an anchor lie in one bucket, so
-no match crosses a boundary; anchors with more contexts than HOT are not gathered but settled
-by counts of hashes of their strings.
+their anchor, and all that share it lie in one context of the text. An anchor that stands in one
+place only repeats nothing and is left out. Contexts with equal hashes are counted before the
+shuffle: one of them goes on with its count, and what is found for it holds for all.
+Sampled splitters range-partition the anchored suffixes by their leading bytes; each bucket
+sorts them by multikey quicksort, and what stands before the anchors, read backwards, too.
+Neighbours in both orders, compared byte by byte, are the matches: the string that begins d
+bytes before its anchor is repeated where d bytes before and n - d after are shared. All suffixes of an anchor
+lie in one bucket, so no match crosses a boundary; anchors with more contexts than HOT are not
+gathered but settled by counts of hashes of their strings.
 
 Cases. Null text: empty. Texts shorter than n bytes, and empty tables, lose nothing. Matches
 never cross texts. Repeated rows are texts of their own, and so remove each other. A null
@@ -26,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import U, Prefix, groups, lean, mix, raw, runs, slices
-from .common import chosen, small, stowed, unstowed, written
+from .arrays import U, Prefix, groups, lean, mix, raw, runs, slices, words
+from .common import chosen, discard, stowed, unstowed, written
 
 LENGTH = 400
 GRAM = 64
+#: Strings that make up a passage, and the words of the shortest passage that is told of.
+PASSAGE, PASSAGE_GRAM, PASSAGE_WORDS = 200, 48, 50
 #: Contexts of one anchor that a task gathers; more are settled by counts.
 HOT = 4000
 
@@ -58,42 +62,48 @@ def anchors(data: np.ndarray, off: np.ndarray, n: int, gram: int, keep: Prefix |
 
 
 def contexts(docs: DataFrame, n: int, gram: int) -> DataFrame:
-    """t1, t2 (the text), pos (anchor), a context's reach before it, its number of strings - 1,
-    and hashes of the anchor and of the context."""
-    names = ["doc_id", "t1", "t2", "pos", "reach", "more", "h", "ctx"]
+    """id, t1 (the text), place (of the anchor, the context's reach before it, and its number of
+    strings - 1, in one number), and hashes of the anchor and of the context."""
+    names = ["id", "t1", "place", "h", "ctx"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, _, data, off in slices(b.column(3)):
+            for i, _, data, off in slices(b.column(2)):
                 hashes = Prefix(data) if len(data) >= n else None
                 row, a, p, q = anchors(data, off, n, gram, hashes)
                 if not len(row):
                     continue
                 h = mix(hashes.span(a, a + gram))
                 ctx = mix(mix(hashes.span(p, q + n)) + (a - p).astype(U) * U(0x9E3779B97F4A7C15) + (q - p).astype(U))
+                place = (a - off[row]) << 32 | (a - p) << 16 | (q - p)
                 take = pa.array(i + row)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array((a - off[row]).astype(np.int32)), pa.array((a - p).astype(np.int32)), pa.array((q - p).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64))], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(place), pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64))], names)
 
-    return docs.mapInArrow(lean(run), "doc_id long, t1 long, t2 long, pos int, reach int, more int, h long, ctx long")
+    return docs.select("id", "t1", "text").mapInArrow(lean(run), "id long, t1 long, place long, h long, ctx long")
+
+
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An anchor's place in its text, the context's reach before it, its strings - 1."""
+    return place >> 32, place >> 16 & 0xFFFF, place & 0xFFFF
 
 
 def extract(batches: Iterator[pa.RecordBatch], n: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """The wanted contexts of texts: (h, n_ctx, lead, t1, t2, pos, reach, more, copies, bytes)."""
+    """The wanted contexts of texts: (h, ctx, hot, copies, lead, reach, more, bytes)."""
     for b in batches:
         data, off = raw(b.column(b.schema.get_field_index("text")))
         wanted = b.column(b.schema.get_field_index("wanted"))
         owner = np.repeat(np.arange(b.num_rows), np.diff(wanted.offsets.to_numpy()))
         flat = wanted.flatten()
         cols = {f.name: flat.field(k) for k, f in enumerate(flat.type)}
-        begin = off[:-1][owner] + cols["pos"].to_numpy() - cols["reach"].to_numpy()
-        end = begin + cols["more"].to_numpy() + n
+        pos, reach, more = unpacked(cols["place"].to_numpy())
+        begin = off[:-1][owner] + pos - reach
+        end = begin + more + n
         for s in range(0, len(owner), 5000):
             part = slice(s, min(s + 5000, len(owner)))
-            take = pa.array(owner[part])
             body = [data[x:y].tobytes() for x, y in zip(begin[part].tolist(), end[part].tolist(), strict=True)]
-            lead = pa.array([x[r : r + min(16, gram)] for x, r in zip(body, cols["reach"].to_numpy()[part].tolist(), strict=True)], pa.binary())
+            lead = pa.array([x[r : r + min(16, gram)] for x, r in zip(body, reach[part].tolist(), strict=True)], pa.binary())
             get = lambda c: cols[c].slice(part.start, part.stop - part.start)  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([get("h"), get("n_ctx"), lead, *(b.column(b.schema.get_field_index(c)).take(take) for c in ("t1", "t2")), get("pos"), get("reach"), get("more"), get("copies"), pa.array(body, pa.binary())], ["h", "n_ctx", "lead", "t1", "t2", "pos", "reach", "more", "copies", "body"])
+            yield pa.RecordBatch.from_arrays([get("h"), get("ctx"), get("hot"), get("copies"), lead, pa.array(reach[part].astype(np.int32)), pa.array(more[part].astype(np.int32)), pa.array(body, pa.binary())], ["h", "ctx", "hot", "copies", "lead", "reach", "more", "body"])
 
 
 def multikey(gid: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,60 +141,67 @@ def multikey(gid: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order, common
 
 
+def padded(bodies: list[bytes], width: int) -> np.ndarray:
+    """Rows of bytes of one width, cut or filled with zeros."""
+    out = np.zeros((len(bodies), -(-width // 8) * 8), np.uint8)
+    for k, x in enumerate(bodies):
+        out[k, : min(width, len(x))] = np.frombuffer(x, np.uint8)[:width]
+    return out
+
+
 def repeated(h: np.ndarray, reach: np.ndarray, more: np.ndarray, copies: np.ndarray, body: list[bytes], n: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first and last distance before the anchor) of runs of repeated strings of rows
-    that occur once; rows with equal h stand together."""
+    """(row, first and last distance before the anchor) of runs of strings that stand in two
+    rows, or in one that stands for several; rows with equal h stand together.
+
+    Two sorts: of the suffixes that begin at the anchors, and of what stands before them, read
+    backwards. A string that begins d bytes before its anchor stands in two rows if these share
+    d bytes before it and n - d after: two neighbourhoods in the two orders.
+    """
     count, far = len(h), n - gram
-    after, before = np.zeros((count, -(-n // 8) * 8), np.uint8), np.zeros((count, far), U)
-    for k, x in enumerate(body):
-        r, own = int(reach[k]), np.frombuffer(x, np.uint8)
-        after[k, : min(n, len(own) - r)] = own[r : r + n]
-        before[k, :r] = own[:r][::-1].astype(U) + U(1)
-    power = np.multiply.accumulate(np.full(far, U(0x9E3779B97F4A7C15)))
-    left = np.zeros((count, far + 1), U)
-    np.cumsum(before * power, axis=1, out=left[:, 1:])
-    order, common = multikey(h, after)
-    common = np.minimum(common, n)
-    reach, least = reach[order], (reach - more)[order]
-    once, left = (copies == 1)[order], left[order]
+    where = reach.tolist()
+    order, common = multikey(h, padded([x[r : r + n] for x, r in zip(body, where, strict=True)], n))
+    back, before = multikey(h, padded([x[:r][::-1] for x, r in zip(body, where, strict=True)], far))
+    after, left = np.zeros(count, np.int64), np.zeros(count, np.int64)
+    least = reach - more
     found = np.zeros((far + 1, count), bool)
     for d in range(far + 1):
         rows = np.flatnonzero((least <= d) & (d <= reach))
+        found[d, rows] = copies[rows] > 1
         if len(rows) < 2:
             continue
-        cls = np.cumsum(common < n - d)[rows]
-        key = mix(left[rows, d] + cls.astype(U) * U(0xC2B2AE3D27D4EB4F))
+        # n - d is over 0, so rows of two anchors never are of one class
+        after[order] = np.cumsum(common < n - d)
+        left[back] = np.cumsum(before < d)
+        key = left[rows] * (count + 1) + after[rows]
         by = np.argsort(key, kind="stable")
         same = key[by][1:] == key[by][:-1]
-        hit = np.zeros(len(rows), bool)
-        hit[by[1:][same]] = True
-        hit[by[:-1][same]] = True
-        found[d, rows[hit & once[rows]]] = True
+        found[d, rows[by[1:][same]]] = True
+        found[d, rows[by[:-1][same]]] = True
     found = found.T
     edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, first = np.nonzero(edge == 1)
     _, last = np.nonzero(edge == -1)
-    return order[row], first, last - 1
+    return row, first, last - 1
 
 
 def marked(docs: DataFrame, n: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """t1, t2 (hashes of a text) and spans, the merged [start, end) byte ranges to remove from
+    """id, t1 (a text, see `keyed`) and spans, the merged [start, end) byte ranges to remove from
     it, for the texts of docs (doc_id, text) that have any. Join it with `keyed` texts."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = keyed(chosen(docs, doc_id="long", text="string")).select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "t1", "t2", "text").where(F.octet_length("text") >= n)
+    keys = keyed(chosen(docs, doc_id="long", text="string")).select("id", "t1", "text").where(F.octet_length("text") >= n)
     every = written(contexts(keys, n, gram), "contexts")
-    one = every.groupBy("h", "ctx").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "t1", "t2", "pos", "reach", "more")).alias("x"))
-    several = one.groupBy("h").agg(F.count("*").alias("n_ctx"), F.max("copies").alias("most")).where("n_ctx > 1 or most > 1")
-    some = written(one.join(several, "h"), "repeated-contexts")
-    whole = every.join(some.where("copies > 1").select("h", "ctx"), ["h", "ctx"], "left_semi").select("t1", "t2", (F.col("pos") - F.col("reach")).alias("s"), (F.col("pos") - F.col("reach") + F.col("more") + n).alias("e"))
-
-    unclear = some.where("n_ctx > 1").select("x.*", "h", "copies", "n_ctx")
-    by_text = unclear.groupBy("doc_id", "t1", "t2").agg(F.collect_list(F.struct("h", "n_ctx", "pos", "reach", "more", "copies")).alias("wanted"))
-    by_text = written(by_text, "wanted")
-    size = by_text.agg(F.count("*"), F.sum(F.size("wanted"))).first()
-    few = small(by_text, size[0] + (size[1] or 0))
-    parts_of = keys.join(few, ["doc_id", "t1", "t2"]).select("t1", "t2", "text", "wanted").mapInArrow(lean(lambda it: extract(it, n, gram)), "h long, n_ctx long, lead binary, t1 long, t2 long, pos int, reach int, more int, copies long, body binary")
+    # Alike contexts are counted first, and one goes on for all: a hot passage is a few rows.
+    counted = every.groupBy("h", "ctx").agg(F.count("*").alias("copies"))
+    several = counted.groupBy("h").agg(F.count("*").alias("n"), F.max("copies").alias("most")).where("n > 1 or most > 1")
+    known = counted.join(several.select("h", (F.col("n") > HOT).alias("hot")).hint("shuffle_hash"), "h").select("h", "ctx", "hot")
+    members = written(every.join(known.hint("shuffle_hash"), ["h", "ctx"]), "repeated-contexts")
+    discard(every)
+    one = members.groupBy("h", "ctx").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("id", "t1", "place", "hot")))
+    by_text = written(one.groupBy("id", "t1").agg(F.collect_list(F.struct("h", "ctx", "hot", "copies", "place")).alias("wanted")), "wanted")
+    any_hot = members.where("hot").limit(1).count() > 0
+    discard()
+    parts_of = keys.join(by_text, ["id", "t1"]).select("text", "wanted").mapInArrow(lean(lambda it: extract(it, n, gram)), "h long, ctx long, hot boolean, copies long, lead binary, reach int, more int, body binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["h"]):
@@ -192,39 +209,46 @@ def marked(docs: DataFrame, n: int = LENGTH, gram: int = GRAM) -> DataFrame:
             while s < len(at) - 1:  # whole anchors, of some thousand rows at once
                 e = max(s + 1, int(np.searchsorted(at, at[s] + HOT, "right")) - 1)
                 g = t.slice(at[s], at[e] - at[s])
-                h, reach, more, copies, pos = (g.column(c).to_numpy() for c in ("h", "reach", "more", "copies", "pos"))
+                h, reach, more, copies = (g.column(c).to_numpy() for c in ("h", "reach", "more", "copies"))
                 row, first, last = repeated(h, reach, more, copies, g.column("body").to_pylist(), n, gram)
                 if len(row):
                     take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([*(g.column(c).combine_chunks().take(take) for c in ("t1", "t2")), pa.array((pos[row] - last).astype(np.int32)), pa.array((pos[row] - first + n).astype(np.int32))], ["t1", "t2", "s", "e"])
+                    yield pa.RecordBatch.from_arrays([*(g.column(c).combine_chunks().take(take) for c in ("h", "ctx")), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["h", "ctx", "first", "last"])
                 s = e
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            reach, more, pos, copies = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("reach", "more", "pos", "copies"))
+            reach, more = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("reach", "more"))
             data, off = raw(b.column(b.schema.get_field_index("body")))
             for k in range(b.num_rows):
                 p = Prefix(data[off[k] : off[k + 1]])
                 at = np.arange(more[k] + 1)
                 one = mix(p.span(at, at + n) + (reach[k] - at).astype(U))
                 take = pa.array(np.full(len(at), k))
-                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)).take(take) for c in ("h", "t1", "t2")), pa.array((pos[k] - reach[k] + at).astype(np.int32)), pa.array(np.full(len(at), copies[k])), pa.array(one.view(np.int64))], ["h", "t1", "t2", "s", "copies", "f"])
-
-    normal = parts_of.where(F.col("n_ctx") <= HOT).repartitionByRange(parts, "lead", "h").sortWithinPartitions("h", "t1", "t2", "pos")
-    spans = whole.unionByName(normal.mapInArrow(lean(compare), "t1 long, t2 long, s int, e int"))
-    if some.where(F.col("n_ctx") > HOT).limit(1).count():
-        each = written(parts_of.where(F.col("n_ctx") > HOT).mapInArrow(lean(strings), "h long, t1 long, t2 long, s int, copies long, f long"), "hot-strings")
-        twice = each.groupBy("h", "f").agg(F.count("*").alias("n")).where("n > 1")
-        spans = spans.unionByName(each.where("copies = 1").join(twice, ["h", "f"], "left_semi").select("t1", "t2", "s", (F.col("s") + n).alias("e")))
-    # A text's own ranges only; copies of a text share them.
-    spans = spans.groupBy("t1", "t2", "s").agg(F.max("e").alias("e")).groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
-    return written(spans.mapInArrow(lean(join_spans), "t1 long, t2 long, spans array<struct<s:int,e:int>>"), "spans")
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)).take(take) for c in ("h", "ctx", "copies")), pa.array((reach[k] - at).astype(np.int32)), pa.array(one.view(np.int64))], ["h", "ctx", "copies", "d", "f"])
+
+    normal = parts_of.where("not hot").repartitionByRange(parts, "lead", "h").sortWithinPartitions("h", "ctx")
+    kind = "h long, ctx long, first int, last int"
+    found = normal.mapInArrow(lean(compare), kind)
+    if any_hot:
+        each = written(parts_of.where("hot").mapInArrow(lean(strings), "h long, ctx long, copies long, d int, f long"), "hot-strings")
+        twice = each.groupBy("h", "f").agg(F.sum("copies").alias("n")).where("n > 1")
+        found = found.unionByName(each.join(twice, ["h", "f"], "left_semi").select("h", "ctx", F.col("d").alias("first"), F.col("d").alias("last")))
+    found = written(found, "matches")
+    discard(by_text)
+    # What holds for a context holds wherever it stands.
+    spans = members.join(found.hint("shuffle_hash"), ["h", "ctx"]).select("id", "t1", (F.shiftright("place", 32) - F.col("last")).cast("int").alias("s"), (F.shiftright("place", 32) - F.col("first") + n).cast("int").alias("e"))
+    spans = spans.groupBy("id", "t1").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))
+    spans = written(spans.mapInArrow(lean(join_spans), "id long, t1 long, spans array<struct<s:int,e:int>>"), "spans")
+    discard(members, found)
+    return spans
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with text (null: empty) and t1, t2, two hashes of it."""
+    """docs (doc_id, text) with text (null: empty) and what a text is known by: t1, a hash of it,
+    and id, its doc_id or for lack of it another hash."""
     docs = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(7), "text"))
+    return docs.withColumn("t1", F.xxhash64("text")).withColumn("id", F.coalesce("doc_id", F.xxhash64(F.lit(7), "text")))
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -239,20 +263,23 @@ def merged(spans) -> list[tuple[int, int]]:
 
 
 def join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """t1, t2 and sorted spans, with spans that overlap or touch made one."""
+    """id, t1 and sorted spans, with spans that overlap or touch made one."""
     for b in batches:
         at, first, last = _ranges(b, 2)
         rows = [merged(zip(first[s:e].tolist(), last[s:e].tolist(), strict=True)) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         off = np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int32)
         flat = pa.StructArray.from_arrays([pa.array([r[k] for row in rows for r in row], pa.int32()) for k in (0, 1)], ["s", "e"])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(off), flat)], ["t1", "t2", "spans"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(off), flat)], ["id", "t1", "spans"])
 
 
-def with_spans(docs: DataFrame, n: int = LENGTH, gram: int = GRAM, key: str = "doc_id") -> DataFrame:
-    """docs, with text (null: empty) and spans, null or the sorted ranges to remove from it."""
-    spans = marked(docs.select(F.col(key).alias("doc_id"), "text"), n, gram)
-    rows, total = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
-    return keyed(docs).join(small(spans, rows + (total or 0)), ["t1", "t2"], "left").drop("t1", "t2")
+def with_spans(docs: DataFrame, **kinds: tuple[int, int]) -> DataFrame:
+    """docs (doc_id, text and others), with text (null: empty) and, for each name in kinds (length
+    and gram), null or the sorted ranges to remove from it. All ranges come in one join."""
+    spans = None
+    for name, (n, gram) in kinds.items():
+        own = marked(docs.select("doc_id", "text"), n, gram).withColumnRenamed("spans", name)
+        spans = own if spans is None else spans.join(own, ["id", "t1"], "full")
+    return keyed(docs).join(spans, ["id", "t1"], "left").drop("id", "t1")
 
 
 def _ranges(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,8 +291,19 @@ def _ranges(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.append(0, np.cumsum(size)), flat.field(0).to_numpy(), flat.field(1).to_numpy()
 
 
-def digest_repeats(docs: DataFrame, n: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every text of docs."""
+def long_passages(data: np.ndarray, off: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, least: int) -> np.ndarray:
+    """For each row the number of its ranges that hold at least so many words."""
+    row = np.repeat(np.arange(len(off) - 1), np.diff(at))
+    start, end, _ = words(data, off)
+    begin = off[:-1][row]
+    held = np.searchsorted(end, begin + last, "right") - np.searchsorted(start, begin + first, "left")
+    return np.bincount(row[held >= least], minlength=len(off) - 1)
+
+
+def digest_repeats(docs: DataFrame, n: int = LENGTH, gram: int = GRAM, passage: int = PASSAGE, passage_gram: int = PASSAGE_GRAM, least_words: int = PASSAGE_WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every text of docs, and n_passages: how
+    many of its runs of repeated strings of `passage` bytes hold at least least_words words. A
+    passage of fifty short words may have fewer than n bytes; it is told of, not removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -283,10 +321,12 @@ def digest_repeats(docs: DataFrame, n: int = LENGTH, gram: int = GRAM) -> DataFr
                 gone.append(sum(e - s for s, e in cut))
                 count.append(len(cut))
                 sha.append(h.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off)), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            told = [long_passages(part, o, x[i : j + 1] - x[i], f[x[i] : x[j]], l[x[i] : x[j]], least_words) for x, f, l in (_ranges(b, 3),) for i, j, part, o in slices(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off)), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(np.concatenate([np.zeros(0, np.int64), *told]))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages"])
 
-    rows = with_spans(chosen(docs, doc_id="long", text="string"), n, gram).select("doc_id", "text", "spans")
-    return rows.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = chosen(docs, doc_id="long", text="string")
+    rows = with_spans(rows, removed=(n, gram), spans=(passage, passage_gram)).select("doc_id", "text", "removed", "spans")
+    return rows.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long")
 
 
 def remove_repeats(docs: DataFrame, n: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -311,7 +351,7 @@ def remove_repeats(docs: DataFrame, n: int = LENGTH, gram: int = GRAM) -> DataFr
                     out.append(b"".join([*kept, text[place:].tobytes()]).decode("utf-8", "ignore"))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *(c.slice(i, j - i) for c in b.columns[3:])], ["text", *b.schema.names[3:]])
 
-    rows = stowed(docs, without="text", doc_id="long", text="string").withColumnRenamed("doc_id", "_id").withColumn("_null", F.col("text").isNull())
-    rows = with_spans(rows, n, gram, "_id").select("text", "spans", "_null", "_row")
+    rows = stowed(docs, without="text", doc_id="long", text="string").withColumn("_null", F.col("text").isNull())
+    rows = with_spans(rows, spans=(n, gram)).select("text", "spans", "_null", "_row")
     schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("_row", rows.schema["_row"].dataType)])
     return unstowed(rows.mapInArrow(lean(run), schema), docs.columns, text="text")

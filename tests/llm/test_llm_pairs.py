@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -60,17 +61,25 @@ def test_pruning_bound():
         assert tail(m) >= 1e-6 and (m == 0 or tail(m - 1) < 1e-6)
 
 
-def repeats_brute(texts, n):
+def repeated_bytes(texts, n):
     data = [(t or "").encode() for t in texts]
     seen = Counter(b[i : i + n] for b in data for i in range(len(b) - n + 1))
-    out = []
-    for k, b in enumerate(data):
+    for b in data:
         gone = np.zeros(len(b) + 1, bool)
         for i in range(len(b) - n + 1):
             if seen[b[i : i + n]] > 1:
                 gone[i : i + n] = True
+        yield b, gone
+
+
+def repeats_brute(texts, n, passage, words):
+    out = []
+    for k, ((b, gone), (_, near)) in enumerate(zip(repeated_bytes(texts, n), repeated_bytes(texts, passage), strict=True)):
         kept = bytes(x for x, g in zip(b, gone, strict=False) if not g)
-        out.append((k, len(b), int(gone.sum()), int((gone[1:] < gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
+        spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        edge = np.flatnonzero(np.diff(np.append(False, near).astype(int)))
+        told = sum(sum(s <= x and y <= e for x, y in spans) >= words for s, e in zip(edge[::2], edge[1::2], strict=True))
+        out.append((k, len(b), int(gone.sum()), int((gone[1:] < gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), told))
     return set(out)
 
 
@@ -88,8 +97,17 @@ def repeating_texts(seed=5):
 def test_repeats_are_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(suffixes, "HOT", hot)
     texts = repeating_texts()
-    got = suffixes.digest_repeats(clashing(documents(spark, texts)), 40, 12)
-    assert {tuple(r) for r in got.collect()} == repeats_brute(texts, 40)
+    got = suffixes.digest_repeats(clashing(documents(spark, texts)), 40, 12, 24, 8, 3)
+    want = repeats_brute(texts, 40, 24, 3)
+    assert {tuple(r) for r in got.collect()} == want
+    assert {r[5] for r in want} > {0, 1}
+
+
+def test_repeats_of_rows_alike_and_null_ids(spark):
+    df = documents(spark, ["a passage that stands in two rows", "alone", None])
+    twice = df.union(df).union(df.selectExpr("CAST(NULL AS BIGINT)", "text", "lang", "source", "n_chars"))
+    rows = sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_passages) for r in suffixes.digest_repeats(twice, 20, 8, 10, 5, 3).collect())
+    assert rows == sorted((null, 0 if null else k, n, n if n > 20 else 0, int(n > 20)) for k, n in ((0, 33), (1, 5), (2, 0)) for null in (False, False, True))
 
 
 def test_repeats_on_empty_and_removal(spark):
