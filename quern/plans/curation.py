@@ -350,6 +350,11 @@ _pairs = "SELECT qid, a.source, k, p.vec_id, round(list_cosine_similarity(p.v, a
 
 
 
+def collection_of(n: str):
+    """The collection of a point, by its number modulo 5."""
+    return F.element_at(F.array(*(F.lit(s) for s, _, _ in route.COLLECTIONS)), (F.col(n) % 5 + 1).cast("int"))
+
+
 def asked_all(spark: SparkSession, d: str) -> DataFrame:
     """Every search with the text of the document of its number, or no text."""
     q, _ = vectors(spark, d)
@@ -365,5 +370,4 @@ def route_questions(spark, d):
 @query(f"WITH {_UNDERSTOOD}, dim(source, k, low) AS (VALUES {_DIM}), p AS (SELECT vec_id, label, {_SOURCE} AS source, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), a AS (SELECT qid, grade, dim.source, low, CASE WHEN route = 'global' THEN {route.GLOBAL_HITS} ELSE k END AS k, p.v AS qv FROM u JOIN dim ON route = dim.source OR route = 'global' JOIN p ON p.vec_id = qid), t AS ({_best_of.format(rows=_pairs.format(asked='a') + ' WHERE CASE WHEN low IS NULL THEN label BETWEEN 0 AND grade ELSE label BETWEEN greatest(low, grade - 1) AND grade + 1 END')}), e AS (SELECT * FROM a WHERE (qid, source) NOT IN (SELECT (qid, source) FROM t)), m AS (SELECT * FROM t UNION ALL {_best_of.format(rows=_pairs.format(asked='e'))}) SELECT qid, source, vec_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, source, r) AS INTEGER) AS rank FROM m) WHERE rank <= {route.MERGED}")
 def retrieve_routed(spark, d):
     """Every search end to end; the collections are the points by vec_id modulo 5."""
-    source = F.element_at(F.array(*(F.lit(s) for s, _, _ in route.COLLECTIONS)), (F.col("vec_id") % 5 + 1).cast("int"))
-    return route.retrieve(asked_all(spark, d), table(spark, d, "embeddings").select("vec_id", "embedding", "label", source.alias("source")))
+    return route.retrieve(asked_all(spark, d), table(spark, d, "embeddings").select("vec_id", "embedding", "label", collection_of("vec_id").alias("source")))

@@ -11,7 +11,7 @@ from quern.functions import rules as R
 from quern.operators import graph, lookup, retrieval, route
 from quern.operators.crawl import SERIES
 from quern.plans.catalogue import _BAND, _NODES, _Q, _SAY, _TOP, ORACLE_SQL, QUERIES, nodes_edges, query, texts_query, values, vectors
-from quern.plans.curation import _EVAL, asked_all, evaluated
+from quern.plans.curation import _EVAL, asked_all, collection_of, evaluated
 from quern.sources.tables import table
 
 _SERIES = "['KNTT', 'CTST', 'CD'][CAST({c} % 3 AS INTEGER) + 1]"
@@ -191,6 +191,18 @@ def subject_backfill(spark, d):
     return readings(spark, d).groupBy("grade").agg(F.count("*").alias("n")).select("grade", F.when(F.col("grade") <= 5, "tieng_viet").otherwise("ngu_van").alias("subject"), "n")
 
 
+@query(f"WITH i AS ({ORACLE_SQL['route_questions']}), l AS ({ORACLE_SQL['literature_chain']}), r AS ({ORACLE_SQL['retrieve_routed']}) SELECT qid, subject, 'literature' AS base, l.id, l.rank, tier FROM i JOIN l USING (qid) WHERE route = 'reading' UNION ALL SELECT qid, subject, r.source, r.vec_id, r.rank, NULL FROM i JOIN r USING (qid) WHERE route <> 'reading'")
+def orchestrate(spark, d):
+    """Every search by its route: readings through the tiers of literature, all else through the
+    collections."""
+    asked = asked_all(spark, d)
+    about = retrieval.few(asked.select("qid", "subject", "route"))
+    chain = QUERIES["literature_chain"](spark, d).join(about.where("route = 'reading'"), "qid")
+    points = table(spark, d, "embeddings").select("vec_id", "embedding", "label", collection_of("vec_id").alias("source"))
+    other = route.retrieve(asked.where("route <> 'reading'"), points).join(about, "qid")
+    return chain.select("qid", "subject", F.lit("literature").alias("base"), "id", "rank", "tier").unionByName(other.select("qid", "subject", F.col("source").alias("base"), F.col("vec_id").alias("id"), "rank", F.lit(None).cast("int").alias("tier")))
+
+
 _HITS_OF = "SELECT qid, count(*) AS retrieved_sources, md5(string_agg('- Đoạn ' || rank || ' [' || vec_id || '] (' || coalesce(title, '') || '): ' || coalesce(text, ''), chr(10) ORDER BY rank)) AS context FROM r LEFT JOIN kb ON id = vec_id GROUP BY qid"
 
 
