@@ -54,12 +54,14 @@ def contained(works: DataFrame, asked: DataFrame, k: int = 2) -> DataFrame:
 
 def chain(asked: DataFrame, tiers: list) -> DataFrame:
     """qid, id, rank, tier of the first of tiers (functions of asked rows) that finds anything; each
-    is asked only for what those before it left empty."""
-    found = None
+    is asked only for what those before it left empty. What a tier finds (a few rows for each
+    question) is persisted: the next tier and the result read it."""
+    left, found = asked.persist(), None
     for n, search in enumerate(tiers):
-        left = asked if found is None else asked.join(found.select("qid").distinct(), "qid", "left_anti")
-        got = search(left).select("qid", "id", "rank").withColumn("tier", F.lit(n))
+        got = search(left).select("qid", "id", "rank").withColumn("tier", F.lit(n)).persist()
         found = got if found is None else found.unionByName(got)
+        if n + 1 < len(tiers):
+            left = left.join(got.select("qid").distinct(), "qid", "left_anti").persist()
     return found
 
 

@@ -195,7 +195,8 @@ def subject_backfill(spark, d):
 def orchestrate(spark, d):
     """Every search by its route: readings through the tiers of literature, all else through the
     collections."""
-    asked = asked_all(spark, d)
+    # persisted, or filters by route would spell all rules out again
+    asked = asked_all(spark, d).persist()
     about = retrieval.few(asked.select("qid", "subject", "route"))
     chain = QUERIES["literature_chain"](spark, d).join(about.where("route = 'reading'"), "qid")
     points = table(spark, d, "embeddings").select("vec_id", "embedding", "label", collection_of("vec_id").alias("source"))
