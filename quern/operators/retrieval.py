@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from importlib.util import find_spec
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.text import dot, norm
 
 #: Queries up to which the query side is broadcast.
 FEW = 20_000
+#: Characters of names that go to all tasks as one automaton (some hundred bytes each).
+NAME_CHARS = 500_000
 
 
 def few(queries: DataFrame, limit: int = FEW) -> DataFrame:
@@ -83,9 +90,55 @@ def relaxed(queries: DataFrame, strict: DataFrame, loose) -> DataFrame:
 def containing(texts: DataFrame, names: DataFrame) -> DataFrame:
     """Rows of texts (id, t and others) with the names (name_id, name) that t holds.
 
-    A name's inner words (between blanks) are whole words of each text that holds it, so texts
-    are first looked up by the longest of them, by equal keys; only those found are searched.
-    Names without an inner word are searched for in all texts.
+    Names of up to NAME_CHARS characters together go to all tasks as one automaton (Aho and
+    Corasick's), and each text is read once whatever their number; more are looked up by words.
+    """
+    some = names.where("name is not null")
+    size, n = some.agg(F.sum(F.length("name") + 1), F.count("*")).first()
+    if not find_spec("ahocorasick") or (size or 0) > NAME_CHARS:
+        return by_words(texts, names)
+    ids: dict[str, list] = {}
+    for r in some.collect() if n else []:
+        ids.setdefault(r["name"], []).append(r["name_id"])
+    every = ids.pop("", [])
+    kinds = {f.name: f.dataType for f in names.schema.fields}
+    schema = T.StructType([*texts.schema.fields, T.StructField("name_id", kinds["name_id"]), T.StructField("name", kinds["name"])])
+    at, columns = texts.columns.index("t"), schema.names
+    of = {"integer": pa.int32(), "long": pa.int64()}.get(kinds["name_id"].typeName(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for name in ids:
+            found.add_word(name, name)
+        if ids:
+            found.make_automaton()
+        for b in batches:
+            rows, name_ids, held = [], [], []
+            for k, t in enumerate(b.column(at).to_pylist()):
+                if t is None:
+                    continue
+                for name in sorted({x for _, x in found.iter(t)}) if ids else []:
+                    for i in ids[name]:
+                        rows.append(k)
+                        name_ids.append(i)
+                        held.append(name)
+                for i in every:
+                    rows.append(k)
+                    name_ids.append(i)
+                    held.append("")
+            if rows:
+                take = pa.array(rows, pa.int32())
+                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in b.columns), pa.array(name_ids, of), pa.array(held, pa.string())], columns)
+
+    return texts.mapInArrow(run, schema)
+
+
+def by_words(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """The same for more names: a name's inner words (between blanks) are whole words of each text
+    that holds it, so texts are first looked up by the longest of them, by equal keys; only those
+    found are searched. Names without an inner word are searched for in all texts.
     """
     inner = F.expr("array_max(transform(filter(slice(split(name, ' '), 2, greatest(size(split(name, ' ')) - 2, 0)), x -> x <> ''), x -> struct(length(x) AS n, x AS x)))")
     names = names.select("name_id", "name", inner.getField("x").alias("_k"))

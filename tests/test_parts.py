@@ -59,7 +59,9 @@ def test_many_queries_meet_all_points_in_blocks(spark, monkeypatch):
     assert sorted(retrieval.semantic_all(asked, points, 4).collect()) == sorted(few)
 
 
-def test_names_are_found_with_and_without_inner_words(spark):
+@pytest.mark.parametrize("chars", [500_000, 0])
+def test_names_are_found_with_and_without_inner_words(spark, monkeypatch, chars):
+    monkeypatch.setattr(retrieval, "NAME_CHARS", chars)
     texts = spark.createDataFrame([(1, "one two three four"), (1, "one two three four"), (2, "xone two threex"), (3, "two"), (4, None), (5, "a  b")], "id int, t string")
     names = spark.createDataFrame([(7, "ne two thr"), (8, "two"), (9, "a  b"), (10, "wo thr")], "name_id int, name string")
     got = sorted((r["name_id"], r["id"]) for r in retrieval.containing(texts, names).collect())
