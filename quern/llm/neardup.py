@@ -1,8 +1,10 @@
 """Embedding near-dedup: PCA-ordered tiled comparison of vectors with equal labels.
 
-Equal vectors are grouped first. The rest of a label meets in pairs of blocks (tiles); a tile
-turns its vectors to principal axes, adds up products over the leading axes first, bounds what
-is left by the norms of the suffixes, and drops pairs whose cosine cannot reach the threshold.
+Equal vectors are grouped first. The rest of a label is cut into blocks along its angle to the
+first principal axis, and meets in pairs of blocks (tiles); blocks whose angles lie further apart
+than the threshold's never meet. A tile turns its vectors to principal axes, adds up products over
+the leading axes first, bounds what is left by the norms of the suffixes, and drops pairs whose
+cosine cannot reach the threshold.
 What remains is decided by the cosine of the vectors as they are, in double precision. Tiles
 return link counts and the links that span their groups, never all pairs.
 
@@ -14,6 +16,7 @@ empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +32,8 @@ BLOCK = 2048
 #: Vectors that the axes are fitted on; they decide the speed, never the result.
 PCA_SAMPLE = 5_000
 STEPS = (8, 16, 32)
+#: What rounding may add to the difference of two angles.
+SLACK = 1e-6
 
 
 def axes(vectors: np.ndarray) -> np.ndarray:
@@ -69,10 +74,22 @@ def links(x: np.ndarray, y: np.ndarray | None, turn: np.ndarray, threshold: floa
     return i[keep], j[keep]
 
 
+def angle(turns: dict[int, np.ndarray]):
+    """The angle of v (of dim components) to the first axis of its dimension, 0 without one."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, p: s + p)
+    norm = F.sqrt(dot(F.col("v"), F.transform("v", lambda x: x.cast("double"))))
+    out = F.lit(0.0)
+    for dim, turn in turns.items():
+        cos = dot(F.col("v"), F.array(*(F.lit(float(x)) for x in turn[:, 0]))) / norm
+        out = F.when(F.col("dim") == dim, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))).otherwise(out)
+    return F.coalesce(out, F.lit(0.0))
+
+
 def near_dedup(table: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of table (vec_id, embedding, label)."""
     spark = table.sparkSession
-    rows = chosen(table, vec_id="long", label="string", embedding="array<float>").withColumnRenamed("embedding", "v")
+    single = table.schema["embedding"].dataType.elementType.typeName() == "float"
+    rows = chosen(table, vec_id="long", label="string", embedding="array<float>" if single else "array<double>").withColumnRenamed("embedding", "v")
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     reps = written(rows.where("fine").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("v")), "vectors")
@@ -86,10 +103,14 @@ def near_dedup(table: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
         if len(mine) >= dim:
             turns[dim] = axes(np.array(mine.to_pylist(), np.float64))
 
-    sizes = reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    tiles = reps.join(small(sizes, sizes.count(), 100_000), ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("rep", "copies"), F.col("nb")).cast("int"))
-    tiles = tiles.select("label", "dim", "own", "rep", "copies", "v", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    tiles = tiles.select("label", "dim", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "rep", "copies", "v")
+    # Blocks are ranges of the angle; a pair's angle is no less than the difference of theirs.
+    ranged = written(reps.withColumn("t", angle(turns)).repartitionByRange(max(1, -(-n // block)), "label", "dim", "t").withColumn("own", F.spark_partition_id()), "vectors-by-angle")
+    bounds = written(ranged.groupBy("label", "dim", "own").agg(F.min("t").alias("first"), F.max("t").alias("last")), "blocks")
+    other = bounds.select("label", "dim", F.col("own").alias("hi"), F.col("first").alias("next"))
+    pairs = bounds.withColumnRenamed("own", "lo").join(small(other, other.count(), 100_000), ["label", "dim"]).where((F.col("lo") <= F.col("hi")) & (F.col("next") - F.col("last") <= math.acos(threshold) + SLACK)).select("label", "dim", "lo", "hi")
+    sides = F.explode(F.when(F.col("lo") == F.col("hi"), F.array(F.struct(F.col("lo").alias("own"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("lo").alias("own"), F.lit(0).alias("side")), F.struct(F.col("hi").alias("own"), F.lit(1).alias("side")))))
+    met = written(pairs.select("label", "dim", "lo", "hi", sides.alias("x")).select("label", "dim", "lo", "hi", "x.own", "x.side"), "tiles")
+    tiles = ranged.drop("t").join(small(met, met.count(), 200_000), ["label", "dim", "own"]).drop("own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["label", "dim", "lo", "hi"]):
