@@ -8,7 +8,6 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,13 +48,14 @@ def remove(table: DataFrame) -> None:
     path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Removes tables, and lets Spark drop the shuffle files of the plans that made them."""
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Ends a step: removes its tables, lets Spark drop the shuffle files of the plans that made
+    them, and executors give back the heap that it needed."""
     for df in tables:
         remove(df)
     gc.collect()
-    if jvm := SparkContext._jvm:
-        jvm.System.gc()
+    spark._jvm.System.gc()
+    relieve(spark)
 
 
 def relieve(spark: SparkSession) -> None:

@@ -105,7 +105,8 @@ def fingerprints(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, f1, f2 (hashes of the word sequence, null without words), sig, keys (by band)."""
+    """doc_id, t1 (hash of the text), f1, f2 (hashes of the word sequence, null without words), sig,
+    keys (by band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,9 +129,9 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                     sig, f1, f2, key = np.zeros((1, bands * rows), np.uint16), np.zeros(1, U), np.zeros(1, U), np.zeros((1, bands), U)
                 pick = lambda v: pa.array(v[place].astype(np.int64) if v.dtype != np.int64 else v[place], mask=mask)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * bands, bands, dtype=np.int32)), pa.array(key[place].view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pick(f1.view(np.int64)), pick(f2.view(np.int64)), from_bytes(sig[place].view(np.uint8).ravel(), np.full(j - i, 2 * bands * rows), pa.binary()), keys], ["doc_id", "f1", "f2", "sig", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pick(f1.view(np.int64)), pick(f2.view(np.int64)), from_bytes(sig[place].view(np.uint8).ravel(), np.full(j - i, 2 * bands * rows), pa.binary()), keys], ["doc_id", "t1", "f1", "f2", "sig", "keys"])
 
-    return chosen(docs, doc_id="long", text="string").mapInArrow(lean(run), "doc_id long, f1 long, f2 long, sig binary, keys array<long>")
+    return chosen(docs, doc_id="long", text="string").withColumn("t1", F.xxhash64("text")).mapInArrow(lean(run), "doc_id long, t1 long, f1 long, f2 long, sig binary, keys array<long>")
 
 
 def probable(a: np.ndarray, b: np.ndarray | None, least: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -216,13 +217,19 @@ def split(rows: DataFrame, keys: list[str], size: str, block: int) -> DataFrame:
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, class_id (smallest id reachable over links), copy_of (smallest id with the same
     words), n_links (other documents linked directly, copies included), kept (one of each class)."""
+    return linked(docs, threshold, tolerance).drop("t1", "class_key")
+
+
+def linked(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """The rows of jaccard_join with t1, the hash of the row's text, and class_key, which tells
+    classes apart also where ids repeat (null: no words or no id, so no class)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hashes = BANDS * ROWS
     least = [(n, least_matches(n, threshold, tolerance)) for n in range(STEP, hashes + 1, STEP)]
     signed = written(sign(docs), "signatures")
     valid = signed.where("f1 is not null and doc_id is not null")
-    reps = written(valid.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "sig", "keys")).alias("x"), F.count("*").alias("copies")).select("f1", "f2", F.col("x.doc_id").alias("rep"), "x.sig", "x.keys", "copies"), "classes")
+    reps = written(valid.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "sig", "keys")).alias("x"), F.count("*").alias("copies")).select(F.monotonically_increasing_id().alias("rep"), "f1", "f2", F.col("x.doc_id").alias("doc_id"), "x.sig", "x.keys", "copies"), "classes")
 
     # Buckets of more than one class, in blocks; their pairs, pruned; spanning links of those.
     banded = reps.select("rep", F.posexplode("keys").alias("band", "key"))
@@ -257,12 +264,16 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
             for i, j, data, off in slices(b.column(1)):
                 w, at = word_hashes(data, off)
                 s, place = shingles(w, at)
-                own = [np.unique(s[place[k] : place[k + 1]]) for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([x.tobytes() for x in own], pa.binary())], ["rep", "shingles"])
-
-    texts = chosen(docs, doc_id="long", text="string").withColumnRenamed("doc_id", "rep")
-    texts = texts.join(small(loose.select(F.col("node").alias("rep")), n_members), "rep", "left_semi").mapInArrow(lean(sets), "rep long, shingles binary")
-    payload = texts.groupBy("rep").agg(F.min("shingles").alias("shingles")).join(reps.select("rep", "sig", "copies"), "rep")
+                own = [np.unique(s[place[k] : place[k + 1]]).tobytes() for k in range(j - i)]
+                rows = np.flatnonzero(np.diff(at))  # of a repeated id a text may be empty
+                f1, f2 = fingerprints(w, np.append(at[rows], at[-1])) if len(rows) else (np.zeros(0, U), np.zeros(0, U))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(rows)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array([own[k] for k in rows], pa.binary())], ["doc_id", "f1", "f2", "shingles"])
+
+    # Texts of the classes, found by id and told apart by their words where ids repeat.
+    own = reps.select("rep", "doc_id", "f1", "f2", "sig", "copies").join(small(loose.select(F.col("node").alias("rep")), n_members), "rep", "left_semi")
+    ids = small(own.select("doc_id").distinct(), n_members)
+    texts = chosen(docs, doc_id="long", text="string").join(ids, "doc_id", "left_semi").mapInArrow(lean(sets), "doc_id long, f1 long, f2 long, shingles binary")
+    payload = texts.groupBy("doc_id", "f1", "f2").agg(F.min("shingles").alias("shingles")).join(own, ["doc_id", "f1", "f2"]).select("rep", "sig", "copies", "shingles")
     meet = split(members.join(payload, "rep"), ["comp"], "n", GROUP_BLOCK).select("comp", "lo", "hi", "side", "rep", "copies", "sig", "shingles")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,8 +313,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     found = written(meet.repartition(parts, *keys).sortWithinPartitions(*keys, "rep").mapInArrow(lean(verify), "a long, b long, w long"), "jaccard-links")
     tight = components(found.select("a", "b"), "jaccard-edges")
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
-    nodes = reps.select("f1", "f2", "rep", "copies").join(tight.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
-    nodes = nodes.select("f1", "f2", F.coalesce("comp", "rep").alias("class_id"), F.col("rep").alias("copy_of"), (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    whole = valid.select("doc_id", "f1", "f2").join(nodes, ["f1", "f2"]).select("doc_id", "class_id", "copy_of", "n_links")
-    alone = signed.where("f1 is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
+    tight = written(tight, "jaccard-classes")
+    first = reps.select(F.col("rep").alias("node"), "doc_id").join(tight, "node").groupBy("comp").agg(F.min("doc_id").alias("low"))
+    nodes = reps.select("f1", "f2", "rep", "doc_id", "copies").join(tight.join(first, "comp").withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
+    nodes = nodes.select("f1", "f2", F.coalesce("low", "doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("comp", "rep").alias("class_key"))
+    whole = valid.select("doc_id", "t1", "f1", "f2").join(nodes, ["f1", "f2"]).select("doc_id", "class_id", "copy_of", "n_links", "t1", "class_key")
+    alone = signed.where("f1 is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"), "t1", F.lit(None).cast("long").alias("class_key"))
     return whole.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))

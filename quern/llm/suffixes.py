@@ -196,12 +196,13 @@ def marked(docs: DataFrame, n: int = LENGTH, gram: int = GRAM) -> DataFrame:
     several = counted.groupBy("h").agg(F.count("*").alias("n"), F.max("copies").alias("most")).where("n > 1 or most > 1")
     known = counted.join(several.select("h", (F.col("n") > HOT).alias("hot")).hint("shuffle_hash"), "h").select("h", "ctx", "hot")
     members = written(every.join(known.hint("shuffle_hash"), ["h", "ctx"]), "repeated-contexts")
-    discard(every)
+    discard(spark, every)
     one = members.groupBy("h", "ctx").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("id", "t1", "place", "hot")))
     by_text = written(one.groupBy("id", "t1").agg(F.collect_list(F.struct("h", "ctx", "hot", "copies", "place")).alias("wanted")), "wanted")
     any_hot = members.where("hot").limit(1).count() > 0
-    discard()
-    parts_of = keys.join(by_text, ["id", "t1"]).select("text", "wanted").mapInArrow(lean(lambda it: extract(it, n, gram)), "h long, ctx long, hot boolean, copies long, lead binary, reach int, more int, body binary")
+    discard(spark)
+    # Texts meet what concerns them in a shuffle, however little that is: plans don't change with size.
+    parts_of = keys.join(by_text.hint("merge"), ["id", "t1"]).select("text", "wanted").mapInArrow(lean(lambda it: extract(it, n, gram)), "h long, ctx long, hot boolean, copies long, lead binary, reach int, more int, body binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["h"]):
@@ -235,12 +236,12 @@ def marked(docs: DataFrame, n: int = LENGTH, gram: int = GRAM) -> DataFrame:
         twice = each.groupBy("h", "f").agg(F.sum("copies").alias("n")).where("n > 1")
         found = found.unionByName(each.join(twice, ["h", "f"], "left_semi").select("h", "ctx", F.col("d").alias("first"), F.col("d").alias("last")))
     found = written(found, "matches")
-    discard(by_text)
+    discard(spark, by_text)
     # What holds for a context holds wherever it stands.
     spans = members.join(found.hint("shuffle_hash"), ["h", "ctx"]).select("id", "t1", (F.shiftright("place", 32) - F.col("last")).cast("int").alias("s"), (F.shiftright("place", 32) - F.col("first") + n).cast("int").alias("e"))
     spans = spans.groupBy("id", "t1").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))
     spans = written(spans.mapInArrow(lean(join_spans), "id long, t1 long, spans array<struct<s:int,e:int>>"), "spans")
-    discard(members, found)
+    discard(spark, members, found)
     return spans
 
 
@@ -279,7 +280,7 @@ def with_spans(docs: DataFrame, **kinds: tuple[int, int]) -> DataFrame:
     for name, (n, gram) in kinds.items():
         own = marked(docs.select("doc_id", "text"), n, gram).withColumnRenamed("spans", name)
         spans = own if spans is None else spans.join(own, ["id", "t1"], "full")
-    return keyed(docs).join(spans, ["id", "t1"], "left").drop("id", "t1")
+    return keyed(docs).join(spans.hint("merge"), ["id", "t1"], "left").drop("id", "t1")
 
 
 def _ranges(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
