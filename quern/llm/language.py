@@ -158,7 +158,9 @@ def fuse(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     # Priors: all rows, then the domain's, then the host's, each smoothed by the one before.
     domains = said(["domain"]).select("domain", F.array(*((F.col(f"s{i}") + F.lit(float(DOMAIN_WEIGHT * prior[i]))) / (F.col("texts") + F.lit(DOMAIN_WEIGHT)) for i in range(k))).alias("dp"))
     hosts = said(["host", "domain"]).where("host is not null").join(domains, "domain").select("host", *(F.log((F.col(f"s{i}") + HOST_WEIGHT * F.col("dp")[i]) / (F.col("texts") + HOST_WEIGHT)).alias(f"h{i}") for i in range(k))).select("host", flat("h").alias("host_ll"))
-    rows = scored.join(small(hosts, hosts.count(), 50_000), "host", "left").join(small(suffixes, suffixes.count(), 50_000), "suffix", "left")
+    # rows without a host match nothing and needn't meet
+    spread = F.coalesce("host", F.concat(F.lit("\0"), F.pmod(F.xxhash64("doc_id", "letters", "ll"), F.lit(997)).cast("string")))
+    rows = scored.withColumn("_host", spread).join(small(hosts.withColumnRenamed("host", "_host"), hosts.count(), 50_000), "_host", "left").join(small(suffixes, suffixes.count(), 50_000), "suffix", "left")
     rows = rows.withColumn("known", known).join(declared, F.col("declared").isNotNull() & F.col("known").eqNullSafe(F.col("said")), "left")
     none = F.array(*[F.lit(0.0)] * k)
     start = F.array(*(F.lit(math.log(x)) for x in prior))

@@ -44,6 +44,8 @@ RECURS = 0.6
 #: Inside the slot a block may recur and still be main text (a heading, a formula): there it is
 #: constant on at least this share of the host's pages, and on this number of pages.
 CONSTANT, CONSTANT_LEAST = 0.8, 8
+#: Hosts up to which templates are broadcast; beyond, pages of a host are dealt to so many places.
+HOSTS, SALTS = 20_000, 16
 #: Share of a host's varying text in the slot: of an article or main element, of any container.
 NAMED_HOLDS, HOLDS = 0.5, 0.8
 
@@ -309,5 +311,10 @@ def extract(pages: DataFrame) -> DataFrame:
             text = [cut(data[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace"), slots[k].as_py(), set(recurring[k].as_py() or ()), set(constant[k].as_py() or ())) for k in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(np.array([len(t) for t in text], np.int64))], ["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(small(found.select("host", "slot", "recurring", "constant"), n, 20_000), "host", "left").select("page_id", "url", "html", "slot", "recurring", "constant")
-    return joined.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
+    found = found.select("host", "slot", "recurring", "constant")
+    if n <= HOSTS:
+        joined = rows.join(F.broadcast(found), "host", "left")
+    else:  # a host may have any share of the pages
+        salted = found.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("_s", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "_s"], "left")
+    return joined.select("page_id", "url", "html", "slot", "recurring", "constant").mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import jaccard, language, lattice, media, mixing, neardup, packing, pages, quality, suffixes
 from .common import prepare
@@ -60,7 +61,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op3_lm_scoring, op4_quality_classifier, op5_media_columns, op6_source_mixing, op7_embedding_neardup, op8_html_extraction, op9_suffix_array_dedup, op10_language_id)}
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's operator where all four kinds of evidence speak: main texts of pages, the language
+    that their markup declares, the suffix of their address, and their host."""
+    rows = table(spark, sf_dir, "pages")
+    said = rows.select("page_id", F.nullif(F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-z]+)", 1), F.lit("")).alias("lang"), pages.host_of("url").alias("host"))
+    texts = pages.extract(rows).join(said, "page_id").select(F.col("page_id").alias("doc_id"), "text", "lang", "host")
+    return language.identify(texts, "lang", "host").withColumnRenamed("doc_id", "page_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op3_lm_scoring, op4_quality_classifier, op5_media_columns, op6_source_mixing, op7_embedding_neardup, op8_html_extraction, op9_suffix_array_dedup, op10_language_id, language_id_pages)}
 
 _COMPONENTS = """
 , reach(a, b) AS (SELECT {id}, {id} FROM {nodes} UNION SELECT r.a, p.b FROM reach r JOIN both_ways p ON r.b = p.a)
