@@ -20,6 +20,7 @@ in the hash are taken together. An empty table gives no rows. Other columns are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
 SHARDS = 16
+#: Words (and texts) of a shard that one task orders; larger shards are written by several.
+TASK_WORDS = 2_000_000
 SEED = 20240607
 BLOCK_ROWS = 64
 MAX_BLOCKS = 16_384
@@ -183,9 +186,12 @@ def taken(docs: DataFrame, **options) -> DataFrame:
 
 def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **options) -> DataFrame:
     """The rows of docs as often as they are taken, by shard and in a hash's order inside it."""
-    _, by_block = plan(chosen(docs, doc_id="long", source="string", text="string"), shards=shards, seed=seed, **options)
+    light, by_block = plan(chosen(docs, doc_id="long", source="string", text="string"), shards=shards, seed=seed, **options)
+    n, size = light.agg(F.count("*"), F.sum("size")).first()
+    # each row is taken CAP times at most
+    salts = max(1, math.ceil(options.get("cap", CAP) * ((size or 0) + n) / (shards * TASK_WORDS)))
     rows = drawn(keyed(stowed(docs, doc_id="long", source="string", text="string")).drop("doc_id", "source", "text"), by_block)
     rows = rows.select("_row", "h", F.posexplode("shards").alias("pass", "shard"))
-    # salted: a shard is written by several tasks, each in a random order of its own
-    rows = rows.withColumn("o", F.xxhash64(F.lit(seed), "h", "pass")).repartition("shard", F.pmod("o", F.lit(8))).sortWithinPartitions("shard", "o")
+    # salted: a large shard is written by several tasks, each in a random order of its own
+    rows = rows.withColumn("o", F.xxhash64(F.lit(seed), "h", "pass")).repartition("shard", F.pmod("o", F.lit(salts))).sortWithinPartitions("shard", "o")
     return unstowed(rows, docs.columns)
