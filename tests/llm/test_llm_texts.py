@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -212,7 +213,9 @@ def test_quality_cases(spark):
     assert not model[0].any() and quality.grade(df.limit(0), model).count() == 0
 
 
-def test_pages_of_the_fixture(spark, small_dir):
+@pytest.mark.parametrize("hosts", [20_000, 0])
+def test_pages_of_the_fixture(spark, small_dir, monkeypatch, hosts):
+    monkeypatch.setattr(pages, "HOSTS", hosts)
     table = spark.read.parquet(f"{small_dir}/pages.parquet")
     got = {r.page_id: r for r in pages.extract(clashing(table)).collect()}
     rows = table.collect()
@@ -299,3 +302,91 @@ def test_rare_and_other_languages(spark):
 
 def test_quality_sample_is_not_cut():
     assert quality.SAMPLE == 12_000 and quality.train.__defaults__ == (12_000,)
+
+
+def test_language_without_declarations(spark, small_dir):
+    """Every fifth document's declaration and source are withheld and compared with the result."""
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    truth = {r.doc_id: r.lang for r in docs.where(held & F.col("text").rlike("[a-z]{3,}.*[a-z]{3,}.*[a-z]{3,}")).collect()}
+    hidden = docs.withColumn("lang", F.when(~held, F.col("lang"))).withColumn("source", F.when(~held, F.col("source")))
+    got = {r.doc_id: r.language for r in language.identify(hidden).collect()}
+    assert len(truth) >= 20 and sum(got[k] == v for k, v in truth.items()) >= 0.95 * len(truth)
+
+
+def test_language_priors_are_grouped_counts(spark):
+    """With text that says nothing, the posterior is the smoothed share of the host."""
+    rows = [(k, "abcab cabca " * 10, "aa", "h1.example.org") for k in range(100)] + [(100 + k, "xyzxy zxyzx " * 10, "xx", "h2.example.org") for k in range(60)]
+    rows += [(200 + k, None, None, f"h{k}.example.org") for k in (1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    fused = {r.doc_id: r for r in language.fuse(df.withColumnsRenamed({"lang": "declared", "source": "host"}).withColumn("text", F.when(F.col("text").isNull(), F.lit("a")).otherwise(F.col("text")))).collect()}
+    assert fused[201].language == "aa" and fused[202].language == "xx"
+    assert 0.5 < fused[201].confidence < 1.0 and 0.5 < fused[202].confidence < fused[201].confidence
+
+
+def test_languages_of_pages(spark, small_dir):
+    from quern.llm import queries
+
+    got = queries.language_id_pages(spark, small_dir).collect()
+    assert len(got) == spark.read.parquet(f"{small_dir}/pages.parquet").count()
+    named = [r for r in got if r.declared and r.text_language]
+    assert sum(r.language == r.declared for r in named) >= 0.95 * len(named)
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark, small_dir):
+    """Over whole documents that training never saw, all words counted."""
+    large = Path(small_dir).with_name("sf0.1")
+    if not large.is_dir():
+        pytest.skip("no larger table: with few training texts most rare words are unknown")
+    docs = spark.read.parquet(f"{large}/documents.parquet")
+    rows = lattice.lm_score(docs, tokenizers.path("piece_bpe_32k.model")).where("held_out").select("score", "base_score", "n_tokens").collect()
+    mine, base = sum(r.score for r in rows), sum(r.base_score for r in rows)
+    better = sum(r.score > r.base_score for r in rows)
+    assert mine > base + 0.1 * sum(r.n_tokens for r in rows) and better > 0.8 * len(rows)
+
+
+def test_mixing_takes_ties_together(spark):
+    """Rows alike in id and text have one hash and are taken alike, also at the cut."""
+    rows = [(k % 50, f"w{k % 50} a b c", "en", f"s{k % 2}", 9) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.taken(df).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, set()).add((r.taken, r.size))
+    assert len(got) == 400 and all(len(v) == 1 for v in by.values())
+
+
+def test_rows_without_an_id(spark):
+    """They come out as often as they stand there, with a null id, and like others in all else."""
+    rows = [(None if k % 3 else k, f"some words of text number {k % 4} and the rest of it", "en", "s", 9) for k in range(30)]
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    want = Counter(r[0] for r in rows)
+    ids = lambda out: Counter(r.doc_id for r in out.collect())
+    assert ids(packing.pack_documents(df, tokenizers.path("word_bpe_49k.json")).where("piece = 0")) == want
+    scored = lattice.lm_score(df, tokenizers.path("piece_bpe_32k.model"))
+    assert ids(scored) == want and scored.where("doc_id is null").agg(F.bool_and("held_out")).first()[0]
+    assert ids(media.digests(media.to_media(df))) == want
+    assert ids(mixing.taken(df)) == want
+    assert ids(language.identify(df)) == want
+    model = quality.train(df, spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, grade int"), 2)
+    assert ids(quality.grade(df, model)) == want
+
+
+def test_null_ids_spread_over_packing_tasks(spark):
+    df = spark.createDataFrame([(None, f"text {k}") for k in range(2000)], "doc_id long, text string").repartition(4)
+    out = packing.pack_documents(df, tokenizers.path("word_bpe_49k.json"), task_bytes=10_000)
+    tasks = Counter(r.sequence_id >> 40 for r in out.collect())
+    assert len(tasks) >= 8 and max(tasks.values()) < 800
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    say = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(k, say("abcde" if k % 2 else "uvxyz", 40), "aa" if k % 2 else "uu", "one") for k in range(60)]
+    rows += [(100, say("abcde", 300_000), None, None), (101, "z" * 3_000_000, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    named = {r.doc_id: r for r in language.identify(df).collect()}
+    assert named[100].language == "aa" and named[100].kept and 101 in named
+    model = quality.train(df, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, grade int"), 2)
+    graded = {r.doc_id: r for r in quality.grade(df, model).collect()}
+    assert len(graded) == 62 and graded[100].p_ge_1 > 0.5
