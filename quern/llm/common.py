@@ -60,8 +60,9 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
 
 def relieve(spark: SparkSession) -> None:
     """Lets executors collect garbage, and so give heap back that an earlier step needed: the next
-    one's Python workers need room beside it. A matter of memory only; results don't depend on it."""
-    n = 2 * spark.sparkContext.defaultParallelism
+    one's Python workers need room beside it. One task for each executor. A matter of memory only;
+    results don't depend on it."""
+    n = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)  # and the driver
     collect = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
     spark.range(0, n, 1, n).select(collect.alias("gc")).write.format("noop").mode("overwrite").save()
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, U, lean, mix, raw, slices
+from .arrays import LOWER, lean, slices
 from .common import chosen, small, stowed, unstowed, written
 
 BITS = 15

@@ -8,9 +8,9 @@ shuffle: one of them goes on with its count, and what is found for it holds for
 Sampled splitters range-partition the anchored suffixes by their leading bytes; each bucket
 sorts them by multikey quicksort, and what stands before the anchors, read backwards, too.
 Neighbours in both orders, compared byte by byte, are the matches: the string that begins d
-bytes before its anchor is repeated where d bytes before and n - d after are shared. All suffixes of an anchor
-lie in one bucket, so no match crosses a boundary; anchors with more contexts than HOT are not
-gathered but settled by counts of hashes of their strings.
+bytes before its anchor is repeated where d bytes before and n - d after are shared. All
+suffixes of an anchor lie in one bucket, so no match crosses a boundary; anchors with more
+contexts than HOT are not gathered but settled by counts of hashes of their strings.
 
 Cases. Null text: empty. Texts shorter than n bytes, and empty tables, lose nothing. Matches
 never cross texts. Repeated rows are texts of their own, and so remove each other. A null
@@ -187,6 +187,8 @@ def repeated(h: np.ndarray, reach: np.ndarray, more: np.ndarray, copies: np.ndar
 def marked(docs: DataFrame, n: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """id, t1 (a text, see `keyed`) and spans, the merged [start, end) byte ranges to remove from
     it, for the texts of docs (doc_id, text) that have any. Join it with `keyed` texts."""
+    if not gram < n < 1 << 16:
+        raise ValueError("a string has more bytes than its anchor, and less than 65,536")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = keyed(chosen(docs, doc_id="long", text="string")).select("id", "t1", "text").where(F.octet_length("text") >= n)
