@@ -82,7 +82,9 @@ def semantic_all(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
 
 
 def relaxed(queries: DataFrame, strict: DataFrame, loose) -> DataFrame:
-    """strict hits; for queries without any, those of loose(queries), computed for them only."""
+    """strict hits; for queries without any, those of loose(queries), computed for them only. The
+    strict ones (a few rows for each query) are persisted, since both parts read them."""
+    strict = strict.persist()
     empty = queries.join(strict.select("qid").distinct(), "qid", "left_anti")
     return strict.withColumn("tier", F.lit(0)).unionByName(loose(empty).withColumn("tier", F.lit(1)))
 

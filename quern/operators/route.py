@@ -90,7 +90,8 @@ def retrieve(routed: DataFrame, points: DataFrame) -> DataFrame:
     through one search; a global route takes GLOBAL_HITS of each and merges them by score.
     """
     spark = points.sparkSession
-    routed, points = normed(routed, points)
+    # persisted: a few rows for each question, that several steps read
+    routed, points = normed(routed.persist(), points)
     dim = F.broadcast(spark.createDataFrame(COLLECTIONS, "source string, k int, low int"))
     wide = routed.join(dim, (F.col("route") == F.col("source")) | (F.col("route") == "global"))
     asked = wide.select("qid", "qvec", "_qn", "grade", "source", "low", F.when(F.col("route") == "global", GLOBAL_HITS).otherwise(F.col("k")).alias("k"))
@@ -98,7 +99,7 @@ def retrieve(routed: DataFrame, points: DataFrame) -> DataFrame:
     end = F.when(F.col("low").isNull(), F.col("grade")).otherwise(F.col("grade") + 1)
     band = asked.withColumn("_a", begin.cast("int")).withColumn("_z", end.cast("int")).where("_a <= _z").withColumn("label", F.explode(F.sequence("_a", "_z")))
     search = lambda on, side: ranked(points.join(few(side), on).select("qid", "source", "k", "vec_id", similarity()), ["qid", "source"], [F.desc("score"), F.col("vec_id")]).where("rank <= k")
-    strict = search(["source", "label"], band)
+    strict = search(["source", "label"], band).persist()
     empty = asked.join(strict.select("qid", "source").distinct(), ["qid", "source"], "left_anti")
     both = strict.unionByName(search(["source"], empty)).withColumnRenamed("rank", "r")
     return ranked(both, ["qid"], [F.desc("score"), F.col("source"), F.col("r")], MERGED).select("qid", "source", "vec_id", "score", "rank")

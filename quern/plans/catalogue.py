@@ -8,7 +8,6 @@ blocks (user: question, assistant: solution), benchmark lookup names, events a m
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import rules as R
@@ -254,9 +253,6 @@ def latex_speech(rows):
     return rows.select("qid", X.latex_speech(F.col("q")).alias("speech"))
 
 
-_URLS = "lower(url)"
-
-
 @query("SELECT page_id, lower(regexp_extract(url, '://([^/?#]+)', 1)) AS host, regexp_extract(url, '://[^/]+/([a-z]{2})/', 1) AS lang, TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) AS article, contains(url, '?') AS has_query, CASE WHEN regexp_matches(url, '[?&]page=') THEN 'listing' WHEN contains(url, '#') THEN 'anchor' WHEN regexp_matches(url, '[.]html') THEN 'article' ELSE 'other' END AS kind FROM pages")
 def url_metadata(spark, d):
     u = F.col("url")

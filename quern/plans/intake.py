@@ -16,7 +16,7 @@ from quern.functions import rules as R
 from quern.functions import text as X
 from quern.functions import urls as U
 from quern.operators import crawl, graph, ingest, retrieval
-from quern.plans.catalogue import _TITLES, nodes_edges, query, texts_query, values
+from quern.plans.catalogue import query, texts_query, values
 from quern.sources.tables import table
 
 _HOST = "lower(regexp_extract(url, '://([^/?#]+)', 1))"
