@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm import jaccard, language, mixing, packing, suffixes
-from quern.llm.common import chosen, prepare, shared_dir, small, stowed, unstowed, written
+from quern.llm.common import chosen, prepare, relieve, shared_dir, small, stowed, unstowed, written
 from quern.llm.queries import tokenizer_path
 
 #: Bytes of a passage that the suffix-array stage removes: fifty short words.
@@ -17,43 +17,53 @@ REPEAT_BYTES = 200
 REPEAT_GRAM = 48
 
 
+def ready(spark: SparkSession) -> None:
+    prepare(spark)
+    relieve(spark)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language."""
-    prepare(spark)
+    ready(spark)
     return language.accepted(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, that with the smallest id; of rows that
-    repeat an id, one. Rows without an id stay."""
-    prepare(spark)
-    found = jaccard.jaccard_join(chosen(docs, doc_id="long", text="string")).where("doc_id is not null")
-    gone = written(found.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "near-copies")
-    rows = stowed(docs, doc_id="long", text="string").join(small(gone, gone.count()), "doc_id", "left")
-    single = rows.where("kept is null")
-    first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    several = rows.where("kept and n > 1").withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
-    return unstowed(single.unionByName(several), docs.columns)
+    """One document of each class of near copies, that with the smallest id; of rows of a class
+    that repeat this id, one. Rows without an id or without words stay."""
+    ready(spark)
+    found = written(jaccard.linked(chosen(docs, doc_id="long", text="string")).where("class_key is not null"), "near-copies")
+    best = found.where("kept").groupBy("class_key").agg(F.min("t1").alias("best"))
+    gone = found.join(best, "class_key").where("not kept or t1 <> best").select("doc_id", "t1").distinct()
+    alike = found.where("kept").groupBy("doc_id", "t1").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "t1")
+    marks = written(gone.withColumn("gone", F.lit(True)).unionByName(alike.withColumn("gone", F.lit(False)).join(gone, ["doc_id", "t1"], "left_anti")), "near-copies-gone")
+    rows = stowed(docs, doc_id="long", text="string").withColumn("t1", F.xxhash64("text")).drop("text").join(small(marks, marks.count()), ["doc_id", "t1"], "left")
+    # rows alike in id and text: one of them
+    order = W.partitionBy("doc_id", "t1").orderBy(F.xxhash64("_row"))
+    several = rows.where("not gone").withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
+    return unstowed(rows.where("gone is null").unionByName(several), docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that stand anywhere else; those of nothing else go."""
-    prepare(spark)
+    ready(spark)
     left = suffixes.remove_repeats(docs, REPEAT_BYTES, REPEAT_GRAM)
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.length("text").cast("long"))
-    return left.where(F.col("text").isNull() | F.col("text").rlike(r"[^\x00-\x20]"))
+    # by place: other columns may be called like these but for case
+    left = left.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    text = F.col(f"c{docs.columns.index('text')}")
+    left = left.where(text.isNull() | text.rlike(r"[^\x00-\x20]"))
+    return left.select(*((F.length(text).cast("long") if n == "n_chars" else F.col(f"c{i}")).alias(n) for i, n in enumerate(docs.columns)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    prepare(spark)
+    ready(spark)
     return mixing.mixture(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and the training sequences that hold them."""
-    prepare(spark)
+    ready(spark)
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
