@@ -29,6 +29,7 @@ OPEN_BINS = 2048
 #: Bytes of text whose pieces one packing task gets; what stays open at its end is a few
 #: sequences against some thousand full ones.
 TASK_BYTES = 64 << 20
+PIECE_BYTES = 64
 #: Pieces of text whose ids a worker remembers at once.
 CACHE = 400_000
 
@@ -150,8 +151,9 @@ def best_fit(lengths: list[int], size: int, open_bins: int) -> tuple[list[int],
 def pack(items: DataFrame, tasks: int, max_tokens: int = MAX_TOKENS, open_bins: int = OPEN_BINS) -> DataFrame:
     """items (with doc_id, piece, length) and their sequence_id and offset.
 
-    Pieces are dealt to tasks by a hash and taken in its order, so that long and short ones
-    come mixed, a source's or a document's pieces spread out, and a lost task repeats alike.
+    Pieces are dealt to tasks by a hash of the piece and its row and taken in its order, so that
+    long and short ones come mixed, pieces of one source, document or id spread out, and a lost
+    task repeats alike.
     """
     schema = items.schema
     columns = schema.names
@@ -166,12 +168,13 @@ def pack(items: DataFrame, tasks: int, max_tokens: int = MAX_TOKENS, open_bins:
         table = table.append_column("sequence_id", pa.array(np.array(bins, np.int64) + base)).append_column("offset", pa.array(places, pa.int64()))
         yield from table.to_batches(max_chunksize=10_000)
 
-    dealt = items.withColumn("_h", F.xxhash64("doc_id", "piece", "start")).repartition(tasks, "_h").sortWithinPartitions("_h", "doc_id", "piece", "ids_crc32").select(*columns)
+    dealt = items.withColumn("_h", F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id())).repartition(tasks, "_h").sortWithinPartitions("_h", "doc_id", "piece", "ids_crc32").select(*columns)
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
     return dealt.mapInArrow(lean(run), out + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, open_bins: int = OPEN_BINS, task_bytes: int = TASK_BYTES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of all texts of docs."""
-    size = chosen(docs, text="string").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a piece takes room of its own, however short
+    size = chosen(docs, text="string").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + PIECE_BYTES)).first()[0] or 0
     return pack(pieces(docs, path, max_tokens), max(1, round(size / task_bytes)), max_tokens, open_bins)
