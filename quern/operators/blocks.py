@@ -70,11 +70,14 @@ def exercises(texts: DataFrame, doc: str, text: str, marks: list[str]) -> DataFr
 
 
 def numbered(texts: DataFrame, doc: str, text: str, method: str, answer: str) -> DataFrame:
-    """doc, part, problem, solution: chunks that begin at numbered headings, cut at the method
-    or else the answer; the solution is the answer or else the method."""
+    """doc, part, problem, solution, has_figure: chunks that begin at numbered headings, cut at the
+    method or else the answer; the solution is the answer or else the method."""
     chunks = F.split(F.regexp_replace(text, r"\n(([A-Za-z ]+ )?(?:Câu|Bài) [0-9]+)", "\x01$1"), "\x01")
     parts = texts.select(doc, F.posexplode(chunks).alias("part", "_b"))
     has = lambda m: F.contains(F.col("_b"), F.lit(m))
     after = lambda m: F.expr(f"substring(_b, locate('{m}', _b) + {len(m)})")
     problem = F.when(has(method), F.substring_index("_b", method, 1)).otherwise(F.substring_index("_b", answer, 1))
-    return parts.where(has(method) | has(answer)).select(doc, "part", _strip(problem).alias("problem"), _strip(F.when(has(answer), after(answer)).otherwise(after(method))).alias("solution"))
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    cut = parts.where(has(method) | has(answer)).select(doc, "part", problem.alias("_p"), trim(F.when(has(answer), after(answer)).otherwise(after(method))).alias("solution"))
+    figure = F.contains("_p", F.lit("Hình ")) | F.contains(F.lower("_p"), F.lit("hình vẽ"))
+    return cut.select(doc, "part", trim(F.col("_p")).alias("problem"), "solution", figure.alias("has_figure"))

@@ -199,7 +199,7 @@ _MARKS = ["**Lời giải chi tiết:**", "**Lời giải:**", "**Trả lời:**
 _strip = lambda c: f"regexp_replace(replace({c}, '**', ''), {_WS}, '', 'g')"
 
 
-@texts_query(_EX, "documents", rf"""WITH b AS (SELECT qid, x, generate_subscripts(x, 1) - 1 AS part, unnest(x) AS b FROM (SELECT qid, regexp_split_to_array(q, '\n\s*\*\*\s*(?:CH|Câu|Bài)\s*[0-9]+\s*\*\*') AS x FROM {values(_EX)})), k AS (SELECT *, CASE {' '.join(f"WHEN contains(b, '{m}') THEN '{m}'" for m in _MARKS)} END AS kw FROM b), s AS (SELECT qid, part, {_strip("split_part(split_part(split_part(b, kw, 1), '**Phương pháp giải:**', 1), 'Phương pháp giải:', 1)")} AS problem, {_strip("substr(b, strpos(b, kw) + length(kw))")} AS solution FROM k WHERE kw IS NOT NULL)
+@texts_query(_EX, "lessons", rf"""WITH b AS (SELECT qid, x, generate_subscripts(x, 1) - 1 AS part, unnest(x) AS b FROM (SELECT qid, regexp_split_to_array(q, '\n\s*\*\*\s*(?:CH|Câu|Bài)\s*[0-9]+\s*\*\*') AS x FROM {values(_EX)})), k AS (SELECT *, CASE {' '.join(f"WHEN contains(b, '{m}') THEN '{m}'" for m in _MARKS)} END AS kw FROM b), s AS (SELECT qid, part, {_strip("split_part(split_part(split_part(b, kw, 1), '**Phương pháp giải:**', 1), 'Phương pháp giải:', 1)")} AS problem, {_strip("substr(b, strpos(b, kw) + length(kw))")} AS solution FROM k WHERE kw IS NOT NULL)
 SELECT qid, CAST(part AS INTEGER) AS part, problem, solution, regexp_matches(lower(problem), 'hình |sơ đồ|quan sát') AS has_figure FROM s WHERE length(solution) >= 10""")
 def exercise_split(rows):
     return blocks.exercises(rows, "qid", "q", _MARKS)
@@ -208,8 +208,8 @@ def exercise_split(rows):
 _MATHS = ["Lý thuyết chung\nCâu 1 Tính tổng theo Hình 3\nPhương pháp giải: cộng lại\nLời giải chi tiết: bằng 7\nLuyen tap Bài 2 Rút gọn\nLời giải chi tiết: x\nCâu 3 Bỏ qua", "Câu 9 Chỉ có cách làm\nPhương pháp giải: thử", "không có gì"]
 
 
-@texts_query(_MATHS, "documents", rf"""WITH b AS (SELECT qid, generate_subscripts(x, 1) - 1 AS part, unnest(x) AS b FROM (SELECT qid, string_split(regexp_replace(q, '\n(([A-Za-z ]+ )?(?:Câu|Bài) [0-9]+)', chr(1) || '\1', 'g'), chr(1)) AS x FROM {values(_MATHS)})), k AS (SELECT *, contains(b, 'Phương pháp giải:') AS p, contains(b, 'Lời giải chi tiết:') AS s FROM b)
-SELECT qid, CAST(part AS INTEGER) AS part, regexp_replace(split_part(b, CASE WHEN p THEN 'Phương pháp giải:' ELSE 'Lời giải chi tiết:' END, 1), {_WS}, '', 'g') AS problem, regexp_replace(CASE WHEN s THEN substr(b, strpos(b, 'Lời giải chi tiết:') + 18) ELSE substr(b, strpos(b, 'Phương pháp giải:') + 17) END, {_WS}, '', 'g') AS solution FROM k WHERE p OR s""")
+@texts_query(_MATHS, "lessons", rf"""WITH b AS (SELECT qid, generate_subscripts(x, 1) - 1 AS part, unnest(x) AS b FROM (SELECT qid, string_split(regexp_replace(q, '\n(([A-Za-z ]+ )?(?:Câu|Bài) [0-9]+)', chr(1) || '\1', 'g'), chr(1)) AS x FROM {values(_MATHS)})), k AS (SELECT *, contains(b, 'Phương pháp giải:') AS p, contains(b, 'Lời giải chi tiết:') AS s FROM b)
+SELECT qid, CAST(part AS INTEGER) AS part, regexp_replace(d, {_WS}, '', 'g') AS problem, regexp_replace(CASE WHEN s THEN substr(b, strpos(b, 'Lời giải chi tiết:') + 18) ELSE substr(b, strpos(b, 'Phương pháp giải:') + 17) END, {_WS}, '', 'g') AS solution, contains(d, 'Hình ') OR contains(lower(d), 'hình vẽ') AS has_figure FROM (SELECT *, split_part(b, CASE WHEN p THEN 'Phương pháp giải:' ELSE 'Lời giải chi tiết:' END, 1) AS d FROM k WHERE p OR s)""")
 def exercise_split_maths(rows):
     """Chunks from one numbered heading to the next; what stands before the first is a chunk."""
     return blocks.numbered(rows, "qid", "q", "Phương pháp giải:", "Lời giải chi tiết:")

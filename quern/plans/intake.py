@@ -305,7 +305,7 @@ _GLOSSARY = ["school /skuːl/ (n): trường học\nplay (v)- chơi\nbig house (
 _VOCAB = r"(?m)^(\w+(?: \w+)?)[ ]*(/[^/\n]+/)?[ ]*\((\w+)\)[:-][ ]*([^\n]+)$"
 
 
-@texts_query(_GLOSSARY, "documents", rf"SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY k) AS INTEGER) AS rank, regexp_extract(m, '{_VOCAB}', 1) AS word, regexp_extract(m, '{_VOCAB}', 2) AS sound, regexp_extract(m, '{_VOCAB}', 3) AS kind, trim(regexp_extract(m, '{_VOCAB}', 4)) AS meaning FROM (SELECT qid, unnest(x) AS m, generate_subscripts(x, 1) AS k FROM (SELECT qid, regexp_extract_all(q, '{_VOCAB}') AS x FROM {values(_GLOSSARY)}))")
+@texts_query(_GLOSSARY, "lessons", rf"SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY k) AS INTEGER) AS rank, regexp_extract(m, '{_VOCAB}', 1) AS word, regexp_extract(m, '{_VOCAB}', 2) AS sound, regexp_extract(m, '{_VOCAB}', 3) AS kind, trim(regexp_extract(m, '{_VOCAB}', 4)) AS meaning FROM (SELECT qid, unnest(x) AS m, generate_subscripts(x, 1) AS k FROM (SELECT qid, regexp_extract_all(q, '{_VOCAB}') AS x FROM {values(_GLOSSARY)}))")
 def vocab_rows(rows):
     """Glossary lines: word, sound, kind, meaning."""
     lines = rows.select("qid", F.posexplode(F.regexp_extract_all("q", F.lit(_VOCAB), 0)).alias("k", "m"))
@@ -396,7 +396,7 @@ def theory_row(rows):
 _SOLVED = ["Bài 1: Tính, xem [Hình 1]\nLời giải: Bước 1 cộng\nBước 2 trừ\nĐáp số: 5", "Bài 2: Kẻ theo hình vẽ\nLời giải: Đáp số: 7 cm", "chưa giải"]
 
 
-@texts_query(_SOLVED, "documents", r"SELECT qid, trim(split_part(q, 'Lời giải:', 1)) AS problem, CAST(len(regexp_extract_all(split_part(q, 'Lời giải:', 2), 'Bước [0-9]+')) AS INTEGER) AS steps, nullif(trim(regexp_extract(q, 'Đáp số: ([^\n]+)', 1)), '') AS answer, contains(split_part(q, 'Lời giải:', 1), '[Hình') OR contains(lower(split_part(q, 'Lời giải:', 1)), 'hình vẽ') AS has_figure FROM " + values(_SOLVED) + " WHERE contains(q, 'Lời giải:')")
+@texts_query(_SOLVED, "lessons", r"SELECT qid, trim(split_part(q, 'Lời giải:', 1)) AS problem, CAST(len(regexp_extract_all(split_part(q, 'Lời giải:', 2), 'Bước [0-9]+')) AS INTEGER) AS steps, nullif(trim(regexp_extract(q, 'Đáp số: ([^\n]+)', 1)), '') AS answer, contains(split_part(q, 'Lời giải:', 1), '[Hình') OR contains(lower(split_part(q, 'Lời giải:', 1)), 'hình vẽ') AS has_figure FROM " + values(_SOLVED) + " WHERE contains(q, 'Lời giải:')")
 def exercise_row(rows):
     """An exercise with its steps, its answer, and whether it needs a figure."""
     problem = F.trim(F.substring_index("q", "Lời giải:", 1))

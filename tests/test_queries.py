@@ -108,6 +108,7 @@ BY_HAND = {
     "vocab_rows": (["kind", "meaning", "rank", "sound", "word"], {}),
     "section_priority": (["section"], {0: ("toàn",), 1: ("nội",), 2: ("intro",)}),
     "exercise_row": (["answer", "has_figure", "steps"], {0: ("5", True, 2), 1: ("7 cm", True, 0)}),
+    "exercise_split_maths": (["has_figure", "part", "solution"], {1: (False, 0, "thử")}),
     "reading_request": (["asks"], {0: (1,), 1: (2,), 2: (1,), 3: (1,), 4: (0,)}),
     "sub_sup": (["hash"], {}),
 }
