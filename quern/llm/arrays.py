@@ -86,14 +86,14 @@ def slices(column, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray,
         i = j
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of runs without white space, and each row's place among them."""
+def words(data: np.ndarray, off: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of runs without bytes of `apart` (white space), and each row's place among them."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
     edge = np.zeros(n + 1, bool)
     edge[off] = True
-    space = SPACE[data]
+    space = apart[data]
     before = edge[:n].copy()
     before[1:] |= space[:-1]
     after = edge[1:].copy()
