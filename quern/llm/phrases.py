@@ -6,11 +6,11 @@ prefix doubling in numpy (ranks by one word give ranks by two, these by four) an
 neighbours for the length of their common prefix. Suffixes that share n words or more lie in one
 interval; its length is the n-gram's count in the shard. Counts are merged by key over all shards.
 
-Two passes keep the merge small without losing a count. The first merges words, exactly, and hashes
-of word pairs. A phrase can only be frequent if every pair in it is, so the second pass leaves out
-phrases with a pair whose hash is not among the frequent ones. These hashes go to the tasks as a map
-of MAP_BITS bits: its size is fixed, and hashes that share a bit only let more phrases through. What
-the second pass counts is exact, by words and not by hashes.
+Three passes over the texts keep the merge small without losing a count: words, pairs, phrases. A
+pair can only be frequent if both words are, and a phrase if every pair in it is; all others are left
+out before the merge. What is frequent goes to the tasks as a map of MAP_BITS bits of hashes: its
+size is fixed, and hashes that share a bit only let more through. Pairs are merged by hash, for the
+map alone; the counts of words and phrases are exact, by the words themselves.
 
 Score: a phrase cut in two has its count over the sum of its parts' counts, and the lowest-scoring
 cut counts. A phrase inside a longer one that has nearly its count is dropped.
@@ -36,8 +36,10 @@ from .arrays import LOWER, U, Prefix, from_bytes, lean, mix, raw, words
 from .common import chosen, small, written
 
 #: Bytes of text of a shard; a task holds one with its suffixes (about forty times as much).
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20
 MAP_BITS = 1 << 26
+#: Rows that a task gives out at once.
+BATCH = 1 << 15
 LONGEST = 4
 CUT = np.zeros(256, bool)
 CUT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -64,10 +66,14 @@ class Shard:
         place = np.arange(len(start)) + np.cumsum(new) - 1
         self.t = np.zeros((place[-1] + 1 if len(place) else 0) + LONGEST, np.int64)
         self.t[place] = token + 1
-        if not len(place):
+
+    def sort(self) -> None:
+        """The suffixes in order, how many words each has left in its piece, and how many it
+        shares with the one before it."""
+        n = len(self.t) - LONGEST
+        if not n:
             self.order, self.shared, self.left = np.zeros((3, 0), np.int64)
             return
-        n = int(place[-1]) + 1
         two = self.double(self.t[:n], self.t[1 : n + 1])
         order = self.double(two, np.append(two[2:], [0, 0])[:n], rank=False)
         self.order = order[self.t[order] > 0]
@@ -112,16 +118,21 @@ class Shard:
         parts = [self.words.take(pa.array(self.keys[self.t[at + k] - 1] % max(1, len(self.words)))) for k in range(n)]
         return self.langs.take(pa.array(lang)), parts[0] if n == 1 else pc.binary_join_element_wise(*parts, " ")
 
-    def hashes(self, at: np.ndarray) -> np.ndarray:
-        """Of the two words from each place, in their language."""
-        hashed = []
-        for values in (self.words, self.langs):
-            data, off = raw(values)
-            hashed.append(mix(Prefix(data[off[0] :]).span(off[:-1] - off[0], off[1:] - off[0]) + np.diff(off).astype(U)) if len(values) else np.zeros(0, U))
-        word, lang = hashed
-        one, two = self.keys[self.t[at] - 1], self.keys[self.t[at + 1] - 1]
+    def word_hashes(self) -> np.ndarray:
+        """Of each token, in its language."""
         size = max(1, len(self.words))
-        return mix((word[one % size] * U(3) + lang[one // size]) * U(0x9E3779B97F4A7C15) + word[two % size])
+        return mixed(hashes(self.words)[self.keys % size], hashes(self.langs)[self.keys // size])
+
+    def pair_hashes(self, at: np.ndarray) -> np.ndarray:
+        """Of the two tokens from each place."""
+        h = self.word_hashes()
+        return mixed(h[self.t[at] - 1], h[self.t[at + 1] - 1])
+
+    def singles(self) -> tuple[np.ndarray, np.ndarray]:
+        """A place and the count of each token."""
+        at = np.zeros(len(self.keys) + 1, np.int64)
+        at[self.t] = np.arange(len(self.t))
+        return at[1:], np.bincount(self.t, minlength=len(self.keys) + 1)[1:]
 
 
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
@@ -146,26 +157,48 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
         yield made()
 
 
-def _rows(batch_of: dict, schema: pa.Schema) -> pa.RecordBatch:
-    n = max(len(x) for x in batch_of.values())
-    return pa.RecordBatch.from_arrays([batch_of[f.name] if f.name in batch_of else pa.nulls(n, f.type) for f in schema], schema=schema)
+def hashes(values: pa.Array) -> np.ndarray:
+    """Of strings, by their bytes and lengths."""
+    data, off = raw(values)
+    return mix(Prefix(data[off[0] : off[-1]]).span(off[:-1] - off[0], off[1:] - off[0]) + np.diff(off).astype(U)) if len(values) else np.zeros(0, U)
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * U(0x9E3779B97F4A7C15) + b)
 
 
-def first_pass(docs: DataFrame) -> DataFrame:
-    """lang, word, c and h, c: counts of words, and of hashes of pairs (no word there)."""
-    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("h", pa.int64()), ("c", pa.int64())])
+def word_counts(docs: DataFrame) -> DataFrame:
+    """lang, word, f."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in shards(batches):
-            at, count = s.intervals(1)
+            at, count = s.singles()
             lang, word = s.spell(at, 1)
-            yield _rows({"lang": lang, "word": word, "c": pa.array(count)}, schema)
-            at, count = s.intervals(2)
-            h = s.hashes(at).view(np.int64)
-            for k in range(0, len(h), 1 << 16):
-                yield _rows({"h": pa.array(h[k : k + (1 << 16)]), "c": pa.array(count[k : k + (1 << 16)])}, schema)
+            yield pa.RecordBatch.from_arrays([lang, word, pa.array(count)], ["lang", "word", "c"])
+
+    return docs.mapInArrow(lean(run), "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("f"))
+
 
-    return docs.mapInArrow(lean(run), "lang string, word string, h long, c long").groupBy("lang", "word", "h").agg(F.sum("c").alias("f"))
+def pair_counts(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """h, f: hashes of the pairs of words that may both be frequent."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in shards(batches):
+            s.sort()
+            known = np.append(False, held(shared.value, s.word_hashes()))
+            at, count = s.intervals(2, known[s.t[:-1]] & known[s.t[1:]])
+            h = s.pair_hashes(at).view(np.int64)
+            for k in range(0, len(h), BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array(h[k : k + BATCH]), pa.array(count[k : k + BATCH])], ["h", "c"])
+
+    return docs.mapInArrow(lean(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("f"))
+
+
+def held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether a map of bits has each of the hashes."""
+    slot = h.view(np.int64) % (len(bits) << 3)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
 def frequent_map(pairs: DataFrame, bits: int) -> np.ndarray:
@@ -179,30 +212,25 @@ def frequent_map(pairs: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def second_pass(docs: DataFrame, frequent: np.ndarray, bits: int, longest: int) -> DataFrame:
-    """lang, phrase, words, f: counts of the phrases of two words or more whose pairs may all be
-    frequent."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent)
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("c", pa.int64())])
+def phrase_counts(docs: DataFrame, frequent: np.ndarray, longest: int) -> DataFrame:
+    """lang, phrase, words, f: the phrases of two words or more whose pairs may all be frequent."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = shared.value
         for s in shards(batches):
+            s.sort()
             keep = np.zeros(len(s.t), bool)
             # of each pair one place is looked up; all places of its interval share the answer
-            own = s.order[s.left >= 2]
             at, count = s.intervals(2)
-            slot = (s.hashes(at).view(np.int64) % bits).astype(np.int64)
-            keep[own] = np.repeat((seen[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1, count)
+            keep[s.order[s.left >= 2]] = np.repeat(held(shared.value, s.pair_hashes(at)), count)
             pair, left = keep.copy(), len(keep)
             for n in range(2, longest + 1):
                 if n > 2:
                     keep[: left - n + 2] &= pair[n - 2 :]
                 at, count = s.intervals(n, keep)
-                for k in range(0, len(at), 1 << 16):
-                    lang, phrase = s.spell(at[k : k + (1 << 16)], n)
-                    yield _rows({"lang": lang, "phrase": phrase, "words": pa.array(np.full(len(lang), n, np.int32)), "c": pa.array(count[k : k + (1 << 16)])}, schema)
+                for k in range(0, len(at), BATCH):
+                    lang, phrase = s.spell(at[k : k + BATCH], n)
+                    yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(lang), n, np.int32)), pa.array(count[k : k + BATCH])], ["lang", "phrase", "words", "c"])
 
     found = docs.mapInArrow(lean(run), "lang string, phrase string, words int, c long")
     return found.groupBy("lang", "phrase", "words").agg(F.sum("c").alias("f"))
@@ -211,18 +239,27 @@ def second_pass(docs: DataFrame, frequent: np.ndarray, bits: int, longest: int)
 def counts(docs: DataFrame, least: int, longest: int = LONGEST, bits: int = MAP_BITS) -> tuple[DataFrame, DataFrame]:
     """(lang, n: all words; lang, phrase, words, f: phrases of 1 to longest words with f >= least)."""
     docs = chosen(docs, text="string", lang="string").withColumn("lang", F.coalesce("lang", F.lit("und")))
-    first = first_pass(docs)
-    # totals of languages come from the same rows: words that are rare are summed up, not kept
-    rare = F.col("word").isNotNull() & (F.col("f") < least)
-    kept = first.where(F.col("word").isNotNull() | (F.col("f") >= least)).groupBy("lang", F.when(rare, F.lit(None)).otherwise(F.col("word")).alias("word"), "h").agg(F.sum("f").alias("f"))
-    kept = written(kept, "words")
-    totals = kept.where("lang is not null").groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = frequent_map(kept.where("h is not null").select("h"), bits)
-    more = written(second_pass(docs, frequent, bits, longest).where(F.col("f") >= least), "phrases")
-    ones = kept.where("word is not null").select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f")
+    often = F.col("f") >= least
+    # rare words are only needed for their languages' totals
+    ones = written(word_counts(docs).groupBy("lang", F.when(often, F.col("word")).alias("phrase")).agg(F.sum("f").alias("f")), "words")
+    totals = ones.groupBy("lang").agg(F.sum("f").alias("n"))
+    ones = ones.where("phrase is not null").select("lang", "phrase", F.lit(1).alias("words"), "f")
+    words_map = frequent_map(hashed_words(ones), bits)
+    pairs = frequent_map(pair_counts(docs, words_map).where(often).select("h"), bits)
+    more = written(phrase_counts(docs, pairs, longest).where(often), "phrases")
     return totals, ones.unionByName(more)
 
 
+def hashed_words(ones: DataFrame) -> DataFrame:
+    """h of each lang and phrase of one word, as shards make them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(hashes(b.column(1)), hashes(b.column(0))).view(np.int64))], ["h"])
+
+    return ones.select("lang", "phrase").mapInArrow(run, "h long")
+
+
 def collocations(docs: DataFrame, least: int = 30, longest: int = LONGEST, scale: int = 2_000_000, percent: int = 80, top: int = 2000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first `top` phrases of each language."""
     totals, found = counts(docs, least, longest)

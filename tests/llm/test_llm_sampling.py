@@ -224,10 +224,12 @@ def test_suffixes_are_sorted_and_shared_lengths_are_right():
     texts = ["".join(pick.choice(["a ", "b ", "c ", "a, ", "d\n"]) for _ in range(50)) for _ in range(20)]
     off = np.append(0, np.cumsum([len(t) for t in texts]))
     s = phrases.Shard(np.frombuffer("".join(texts).encode(), np.uint8), off, pa.array(["x"] * len(texts)))
+    s.sort()
     cut = lambda i: tuple(s.t[i : i + phrases.LONGEST])[: int(np.argmax(np.append(s.t[i : i + phrases.LONGEST], 0) == 0))]
     found = [cut(i) for i in s.order]
     assert [len(x) for x in found] == s.left.tolist()
     assert all(sum(1 for _ in __import__("itertools").takewhile(lambda p: p[0] == p[1], zip(a, b))) == n for a, b, n in zip(found, found[1:], s.shared[1:]))
+    assert Counter({cut(i)[:1]: c for i, c in zip(*map(list, s.singles()))}) == Counter(x[:1] for x in found)
     for n in range(1, 5):
         at, count = s.intervals(n)
         assert Counter({cut(i)[:n]: c for i, c in zip(at, count.tolist())}) == Counter(x[:n] for x in found if len(x) >= n)
