@@ -33,10 +33,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, U, Prefix, from_bytes, lean, mix, raw, words
-from .common import chosen, small, written
+from .common import chosen, discard, small, written
 
 #: Bytes of text of a shard; a task holds one with its suffixes (about forty times as much).
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 MAP_BITS = 1 << 26
 #: Rows that a task gives out at once.
 BATCH = 1 << 15
@@ -204,7 +204,8 @@ def held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 def frequent_map(pairs: DataFrame, bits: int) -> np.ndarray:
     """A bit for each of the hashes h, `bits` in all: the only thing that goes to the driver."""
     slot = F.pmod(F.col("h"), F.lit(bits)) + 1  # buckets of bits are numbered from 1
-    maps = pairs.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
+    # written: the shuffles of a step that ended in a table can go
+    maps = written(pairs.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")), "map")
     out = np.zeros(max(bits >> 3, 4096), np.uint8)
     for r in maps.collect():
         at = (r["k"] - 1) * 4096
@@ -244,9 +245,13 @@ def counts(docs: DataFrame, least: int, longest: int = LONGEST, bits: int = MAP_
     ones = written(word_counts(docs).groupBy("lang", F.when(often, F.col("word")).alias("phrase")).agg(F.sum("f").alias("f")), "words")
     totals = ones.groupBy("lang").agg(F.sum("f").alias("n"))
     ones = ones.where("phrase is not null").select("lang", "phrase", F.lit(1).alias("words"), "f")
+    # what a pass has shuffled is not needed by the next
+    discard(docs.sparkSession)
     words_map = frequent_map(hashed_words(ones), bits)
     pairs = frequent_map(pair_counts(docs, words_map).where(often).select("h"), bits)
+    discard(docs.sparkSession)
     more = written(phrase_counts(docs, pairs, longest).where(often), "phrases")
+    discard(docs.sparkSession)
     return totals, ones.unionByName(more)
 
 
