@@ -44,3 +44,42 @@ def reload(old: DataFrame, new: DataFrame, edges: DataFrame, label: str, labels:
     ids = nodes.select("id").distinct()
     there = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return nodes, there.select("src", "dst")
+
+
+def along(start: DataFrame, edges: DataFrame, relations: list[str]) -> DataFrame:
+    """start (node_id and others) with end: where a path over edges (src, rel, dst) of the given
+    relations, one after the other, leads from each node. The relation is a filter of each scan."""
+    out = start.withColumn("end", F.col("node_id"))
+    for rel in relations:
+        step = edges.where(F.col("rel") == rel).select(F.col("src").alias("end"), "dst")
+        out = out.join(step, "end").drop("end").withColumnRenamed("dst", "end")
+    return out
+
+
+def inherit(nodes: DataFrame, source: DataFrame, edges: DataFrame, relations: list[str], column: str, unset: list[str]) -> DataFrame:
+    """nodes with `column` taken from the nodes of source that a path of relations comes from, where
+    it is null or one of unset; of several sources the smallest value."""
+    given = along(source.where(F.col(column).isNotNull()).select("node_id", F.col(column).alias("_v")), edges, relations)
+    best = given.groupBy(F.col("end").alias("node_id")).agg(F.min("_v").alias("_v"))
+    bare = F.col(column).isNull() | F.col(column).isin(unset)
+    return nodes.join(best, "node_id", "left").withColumn(column, F.when(bare, F.coalesce("_v", column)).otherwise(F.col(column))).drop("_v")
+
+
+def adopt(works: DataFrame, units: DataFrame, lessons: DataFrame, series: DataFrame, legacy: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(units, unit -> work, series -> unit) after every work (id, url, title, series) has a unit.
+
+    A work belongs to the units (unit_id, name, series) whose lesson (unit_id, url) has its address.
+    The others get a unit by name (title, or address without one) and series (legacy without one),
+    made once however many works ask for it, or found where it is there; it is tied to its series
+    (code) if that is known.
+    """
+    by_url = works.join(lessons.select("unit_id", "url").distinct(), "url").select("unit_id", F.col("id").alias("work_id"))
+    bare = works.join(by_url.select(F.col("work_id").alias("id")).distinct(), "id", "left_anti")
+    bare = bare.select("id", F.coalesce("title", "url").alias("name"), F.coalesce("series", F.lit(legacy)).alias("series"), F.col("series").alias("_own"))
+    own = units.groupBy("name", "series").agg(F.min("unit_id").alias("_old"))
+    made = bare.select("name", "series").distinct().join(own, ["name", "series"], "left")
+    made = made.withColumn("unit_id", F.coalesce("_old", F.concat_ws("|", F.lit("new"), "name", "series")))
+    new = made.where("_old is null").select("unit_id", "name", "series")
+    ties = bare.join(made, ["name", "series"])
+    tied = ties.join(series.select(F.col("code").alias("_own")), "_own", "left_semi").select(F.col("_own").alias("code"), "unit_id").distinct()
+    return units.select("unit_id", "name", "series").withColumn("synthetic", F.lit(False)).unionByName(new.withColumn("synthetic", F.lit(True))), by_url.unionByName(ties.select("unit_id", F.col("id").alias("work_id"))), tied

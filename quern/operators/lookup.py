@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators import trigrams
 from quern.operators.retrieval import first_tier, ranked, theta
 
 
@@ -16,8 +17,8 @@ def fits(asked: str, own: str) -> Column:
 
 def named(works: DataFrame, asked: DataFrame) -> DataFrame:
     """works (with title) and the asked rows (qid, name and others) whose name stands in the title,
-    case aside; % and _ in a name are wildcards."""
-    return theta(works, asked, F.ilike("title", F.concat(F.lit("%"), F.col("name"), F.lit("%"))))
+    case aside; % and _ in a name are wildcards. By trigrams, see there."""
+    return trigrams.named(works, asked)
 
 
 def exact(works: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:

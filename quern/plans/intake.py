@@ -141,7 +141,7 @@ def next_chain(spark, d):
     """Pages of listings that lead to the next: the first page of each and the place in it."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("page"))
     after = docs.select((F.col("page") + 1).alias("page"), F.col("page").alias("before")).where("page % 10 <> 0").join(docs, "page")
-    return crawl.chains(docs, after.select(F.col("before").alias("src"), F.col("page").alias("dst")), longest=16)
+    return crawl.chains(docs, after.select(F.col("before").alias("src"), F.col("page").alias("dst"))).withColumn("place", F.col("place").cast("int"))
 
 
 @query("SELECT p_brand AS volume, p_type AS lesson, arg_max(p_name, p_partkey) AS title FROM part GROUP BY 1, 2")

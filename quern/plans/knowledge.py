@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import rules as R
-from quern.operators import graph, lookup, retrieval, route
+from quern.operators import graph, lookup, postings, retrieval, route
 from quern.operators.crawl import SERIES
 from quern.plans.catalogue import _BAND, _NODES, _Q, _SAY, _TOP, ORACLE_SQL, QUERIES, nodes_edges, query, texts_query, values, vectors
 from quern.plans.curation import _EVAL, asked_all, collection_of, evaluated
@@ -146,17 +146,14 @@ def semantic_series(spark, d):
     return retrieval.semantic(q.withColumn("series", F.col("qid") % 3), points.withColumn("series", F.col("vec_id") % 3), 3, low=1, also=("series",))
 
 
-
-
-@query("WITH q AS (SELECT item_id AS qid, w[1] AS w1, coalesce(w[2], w[1]) AS w2 FROM (SELECT item_id, list_slice(regexp_extract_all(lower(text), '[a-z]{3,}'), 1, 2) AS w FROM benchmark) WHERE len(w) > 0), p AS (SELECT DISTINCT qid, unnest([w1, w2]) AS w FROM q), t AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents) GROUP BY 1, 2), s AS (SELECT qid, doc_id, count(*) AS n, round(sum(1 + ln(tf)), 6) AS score FROM p JOIN t USING (w) GROUP BY 1, 2), m AS (SELECT qid, count(*) AS n FROM p GROUP BY 1) SELECT qid, doc_id, score, rank FROM (SELECT s.*, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s JOIN m USING (qid, n)) WHERE rank <= 10")
+@query("WITH p AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM benchmark), t AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents) GROUP BY 1, 2), s AS (SELECT qid, doc_id, count(*) AS n, round(sum(1 + ln(tf)), 6) AS score FROM p JOIN t USING (w) GROUP BY 1, 2), m AS (SELECT qid, count(*) AS n FROM p GROUP BY 1) SELECT qid, doc_id, score, rank FROM (SELECT s.*, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s JOIN m USING (qid, n)) WHERE rank <= 10")
 def lexical_all(spark, d):
-    """Texts that hold all of a question's words, those with more of them first."""
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), 0)
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_distinct(F.slice(words("text"), 1, 2)).alias("w")).where(F.size("w") > 0)
-    asked = asked.select("qid", F.size("w").alias("need"), F.explode("w").alias("w"))
-    terms = table(spark, d, "documents").select("doc_id", F.explode(words("text")).alias("w")).join(retrieval.few(asked.select("w").distinct(), 200_000), "w", "left_semi").groupBy("doc_id", "w").agg(F.count("*").alias("tf"))
-    found = terms.join(retrieval.few(asked, 200_000), "w").groupBy("qid", "doc_id", "need").agg(F.count("*").alias("n"), F.round(F.sum(1 + F.log("tf")), 6).alias("score")).where("n = need")
-    return retrieval.ranked(found, ["qid"], [F.desc("score"), F.col("doc_id")], 10).select("qid", "doc_id", "score", "rank")
+    """Texts that hold all of a question's words, those with more of them first, by a stored index
+    of words."""
+    words = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), 0))
+    index = postings.built(table(spark, d, "documents").select(F.col("doc_id").alias("id"), words("text").alias("w")))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), words("text").alias("w"))
+    return postings.all_words(asked, index, 10).withColumnRenamed("id", "doc_id")
 
 
 @query(f"WITH {_NODES}, q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{{5,}}'))) AS w FROM benchmark), t AS (SELECT conv_id * 1000 + turn AS node_id, role, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{{5,}}'))) AS w FROM conversations), h AS (SELECT item_id, node_id, role, count(*) AS n FROM q JOIN t USING (w) GROUP BY ALL), p AS (SELECT DISTINCT item_id, src, dst FROM h JOIN g ON node_id = src OR node_id = dst) SELECT item_id, dst AS node_id, 0.95::DOUBLE AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY dst, src) AS INTEGER) AS rank FROM p) WHERE rank <= 5 UNION ALL SELECT item_id, node_id, 1.0::DOUBLE, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY n DESC, node_id) AS INTEGER) AS rank FROM h WHERE role = 'system') WHERE rank <= 2")
