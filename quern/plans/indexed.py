@@ -9,9 +9,12 @@ import math
 
 from pyspark.sql import functions as F
 
-from quern.operators import crawl, duplicates, graph, monitor, nearest, postings
+from quern.functions import rules as R
+from quern.operators import answer, crawl, duplicates, graph, monitor, nearest, postings, retrieval, route
 from quern.operators.crawl import SERIES
 from quern.plans.catalogue import _BAND, _Q, _TOP, ORACLE_SQL, QUERIES, query, vectors
+from quern.plans.curation import _EVERY, _SOURCE, _UNDERSTOOD, _DIM, _best_of, _pairs, collection_of
+from quern.plans.knowledge import _CONTAINED, _EXACT, _KB, _NEXT, _ON, _SERIES, _WORK, readings, series, works
 from quern.sources.merged import Merged
 from quern.sources.shared import new_path
 from quern.sources.tables import table
@@ -158,3 +161,49 @@ def latency_days(spark, d):
     """Percentiles of each day, merged from counts that are kept by hour; within one in a hundred."""
     kept = monitor.hours(table(spark, d, "events")).withColumn("day", F.to_date("hour"))
     return monitor.percentiles(kept, ["event_type", "day"], [0.5, 0.95, 0.99])
+
+
+# Questions of every kind ---------------------------------------------------------------------------
+#: Each search asks in one of these ways, the title of its document in the middle.
+_ASK = [("Đọc cho em bài ", " nhé"), ("tuần này học những gì ạ", None), ("Từ láy là gì", None), ("giúp em tả con mèo", None), ("bài 3 trang 45 tính diện tích hình thang ", ""), ("bài 4 trang 20 quang hợp ở thực vật ", ""), ("bài 2 trang 31 khí hậu châu Á ", ""), ("trang 7 lớp 3", None), ("Xin chào!", None), ("dàn ý kể chuyện", None), ("Tóm tắt bài ", ""), ("soạn bài ", " đi")]
+_ASKED = "CASE (qid // 50) % {n} ".format(n=len(_ASK)) + " ".join(f"WHEN {k} THEN " + (f"'{a}'" if z is None else f"'{a}' || t || '{z}'") for k, (a, z) in enumerate(_ASK)) + " END"
+_QUESTIONS = f"SELECT qid, {_ASKED} AS q, grade FROM (SELECT vec_id AS qid, label AS grade, coalesce(substr(title, 1, 14), '') AS t FROM embeddings LEFT JOIN kb ON id = vec_id WHERE vec_id % 50 = 0)"
+_LESSON = f"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(q)), {R.quoted(R.LESSON_LEAD)}, ''), {R.quoted(R.LESSON_TAIL)}, ''), 'lớp\\s+[0-9]+.*$', ''))"
+_SERIES_OF = "CASE WHEN qid % 4 = 1 THEN 'KNTT' WHEN qid % 4 = 0 THEN '' ELSE 'CTST' END"
+_KINDS = [k for k, _ in R.WRITING]
+_WRITTEN = "SELECT p_partkey AS id, [" + ", ".join(map(R.quoted, _KINDS)) + f"][CAST(p_partkey % {len(_KINDS)} AS INTEGER) + 1] AS kind, p_size % 9 + 1 AS grade FROM part"
+_SEARCHED = f"a AS (SELECT qid, grade, dim.source, low, CASE WHEN route = 'global' THEN {route.GLOBAL_HITS} ELSE k END AS k, p.v AS qv FROM u JOIN dim ON route = dim.source OR route = 'global' JOIN p ON p.vec_id = qid), f AS ({_best_of.format(rows=_pairs.format(asked='a') + ' WHERE CASE WHEN low IS NULL THEN label BETWEEN 0 AND grade ELSE label BETWEEN greatest(low, grade - 1) AND grade + 1 END')}), e0 AS (SELECT * FROM a WHERE (qid, source) NOT IN (SELECT (qid, source) FROM f)), g AS (SELECT * FROM f UNION ALL {_best_of.format(rows=_pairs.format(asked='e0'))})"
+_RETRIEVED = f"SELECT qid, source, vec_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, source, r) AS INTEGER) AS rank FROM g) WHERE rank <= {route.MERGED}"
+_FALL = "{name} AS ({sql}), {rest} AS (SELECT * FROM {of} WHERE qid NOT IN (SELECT qid FROM {name}))"
+_ANSWERS = (
+    f"{_Q}, {_KB}, {_WORK}, {_UNDERSTOOD.replace(_EVERY, _QUESTIONS)}, p AS (SELECT vec_id, label, {_SOURCE} AS source, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), dim(source, k, low) AS (VALUES {_DIM}), {_SEARCHED}, "
+    f"n AS (SELECT u.qid, u.route, u.grade, CASE WHEN length(l) > 2 THEN l ELSE q END AS name, nullif(u.grade, 0) AS g, nullif({_SERIES_OF.replace('qid', 'u.qid')}, '') AS s, {R.sql_first_rule('lower(trim(q))', R.WRITING, None)} AS kind, p.v AS qv, u.qid // 50 % 35 + 1 AS week FROM u JOIN (SELECT qid, q, {_LESSON} AS l FROM ({_QUESTIONS})) x USING (qid) JOIN p ON p.vec_id = u.qid), "
+    f"r0 AS (SELECT * FROM n WHERE route = 'reading'), {_FALL.format(name='t0', rest='r1', of='r0', sql=_CONTAINED.format(a='r0', on=_ON, kind=0))}, {_FALL.format(name='t1', rest='r2', of='r1', sql=_CONTAINED.format(a='r1', on=_ON, kind=1))}, "
+    + _FALL.format(name="t2", rest="r3", of="r2", sql=_EXACT.format(a="r2").replace("SELECT qid, id, rank FROM", "SELECT qid, id, rank, CASE WHEN lower(title) = lower(name) THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS score FROM", 1))
+    + f", t3 AS (SELECT qid, vec_id AS id, rank, score FROM (SELECT qid, vec_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT qid, vec_id, round(list_cosine_similarity(v, qv), 6) AS score FROM p JOIN r3 ON source = 'reading' AND {_BAND.format(lo=1).replace('grade', 'r3.grade')})) WHERE rank <= 3), "
+    f"b AS ({_WRITTEN}), o AS (SELECT * FROM b WHERE id % 7 = 1), m AS (SELECT * FROM b WHERE id % 7 = 3), o0 AS (SELECT qid, kind, g FROM n WHERE route = 'outline' AND kind IS NOT NULL AND g > 0), "
+    f"{_FALL.format(name='d0', rest='o1', of='o0', sql=_NEXT.format(rows='o', a='o0', on='r.kind = a.kind AND grade = g', k=1))}, {_FALL.format(name='d1', rest='o2', of='o1', sql=_NEXT.format(rows='o', a='o1', on='r.kind = a.kind', k=1))}, {_FALL.format(name='d2', rest='o3', of='o2', sql=_NEXT.format(rows='m', a='o2', on='r.kind = a.kind', k=2))}, d3 AS ({_NEXT.format(rows='m', a='o3', on='true', k=2)}), "
+    f"c AS (SELECT n.qid, h.id, CAST(row_number() OVER (PARTITION BY n.qid ORDER BY h.id) AS INTEGER) AS rank FROM n JOIN (SELECT o_orderkey AS id, o_orderkey % 9 + 1 AS grade, {_SERIES.format(c='o_orderkey')} AS series, o_orderkey % 35 + 1 AS week FROM orders) h ON h.grade = n.g AND h.series = n.s AND h.week = n.week WHERE route = 'curriculum'), "
+    f"v AS ({_RETRIEVED}), e9 AS (SELECT qid, source AS base, vec_id AS id, rank, score, NULL::INTEGER AS tier FROM v WHERE qid IN (SELECT qid FROM n WHERE route <> 'reading')"
+    " UNION ALL SELECT qid, 'texts', id, rank, 1.0::DOUBLE, 0 FROM t0 UNION ALL SELECT qid, 'summaries', id, rank, 0.9::DOUBLE, 1 FROM t1 UNION ALL SELECT qid, 'readings', id, rank, score, 2 FROM t2 UNION ALL SELECT qid, 'reading', id, rank, score, 3 FROM t3"
+    " UNION ALL SELECT qid, 'outlines', id, rank, 1.0::DOUBLE, 0 FROM d0 UNION ALL SELECT qid, 'outlines', id, rank, 1.0::DOUBLE, 1 FROM d1 UNION ALL SELECT qid, 'samples', id, rank, 0.7::DOUBLE, 2 FROM d2 UNION ALL SELECT qid, 'samples', id, rank, 0.7::DOUBLE, 3 FROM d3"
+    " UNION ALL SELECT qid, 'weeks', id, rank, 1.0::DOUBLE, NULL FROM c)"
+)
+
+
+@query(f"WITH {_ANSWERS} SELECT n.qid, n.route, base, id, rank, score, tier FROM e9 JOIN n USING (qid)")
+def answers_by_route(spark, d):
+    """Every search as a question of one of a dozen kinds, each by its own route."""
+    q, points = vectors(spark, d)
+    titles = readings(spark, d).select(F.col("id").alias("qid"), F.substring("title", 1, 14).alias("t"))
+    way, t = F.floor(F.col("qid") / 50) % len(_ASK), F.coalesce("t", F.lit(""))
+    text = F
+    for k, (a, z) in enumerate(_ASK):
+        text = text.when(way == k, F.lit(a) if z is None else F.concat(F.lit(a), t, F.lit(z)))
+    asked = retrieval.few(q).join(titles, "qid", "left").select("qid", text.alias("q"), "qvec", "grade", F.when(F.col("qid") % 4 == 1, "KNTT").when(F.col("qid") % 4 == 0, "").otherwise("CTST").alias("series"), (F.floor(F.col("qid") / 50) % 35 + 1).alias("week"))
+    own = works(spark, d)
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("p_partkey") % len(_KINDS) + 1).cast("int"))
+    written = table(spark, d, "part").select(F.col("p_partkey").alias("id"), kind.alias("kind"), (F.col("p_size") % 9 + 1).alias("grade"))
+    weeks = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 9 + 1).alias("grade"), series("o_orderkey").alias("series"), (F.col("o_orderkey") % 35 + 1).alias("week"))
+    bases = answer.Bases(points.select("vec_id", "embedding", "label", collection_of("vec_id").alias("source")), own.where("id % 3 = 0"), own.where("id % 3 = 1"), own.where("id % 3 = 2"), own, written.where("id % 7 = 1"), written.where("id % 7 = 3"), weeks)
+    return answer.answers(asked, bases)[1]
