@@ -41,9 +41,9 @@ SUPPORT = 0.5
 LEAST = 3
 #: Share of a host's pages on which a block of text makes it template text.
 RECURS = 0.6
-#: Inside the slot a block may recur and still be main text (a heading, a formula): there it is
-#: constant on at least this share of the host's pages, and on this number of pages.
-CONSTANT, CONSTANT_LEAST = 0.8, 8
+#: Inside the slot a block may recur and still be main text: there it is constant on at least this
+#: share of the host's pages, and on this number of pages. Headings stay, however often they recur.
+CONSTANT, CONSTANT_LEAST = 0.8, 3
 #: Hosts up to which templates are broadcast; beyond, pages of a host are dealt to so many places.
 HOSTS, SALTS = 20_000, 16
 #: Share of a host's varying text in the slot: of an article or main element, of any container.
@@ -54,8 +54,10 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = "script|style|noscript|template|textarea|iframe|title|svg|canvas|object|select"
 DROP = set("script style noscript template textarea iframe title svg canvas object select head nav footer aside form button dialog menu".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
-MARKS = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus dialog footer header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion related reply replies respond share sharing shares sidebar sidenav signup social sponsor sponsored subscribe subscription toolbar widget widgets complementary contentinfo search alert".split())
-_MARK_PAIRS = re.compile("side-?bar|nav-?bar|pop-?up|sign-?up|log-?in")
+MARKS = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus dialog footer header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion related reply replies respond share sharing shares sidebar sidenav signup social sponsor sponsored subscribe subscription toolbar widget widgets complementary contentinfo search alert".split())
+#: Words that say nothing of what an element holds, beside one of MARKS.
+PLAIN = set("area bar block bottom box btn button buttons card center col column container content fixed form group here icon inner item items left link links list main mobile outer overlay page pages panel post posts primary right row secondary section side site small sticky stories text thread title top unit us view wrap wrapper".split())
+_MARK_PAIRS = re.compile(r"(?:^|[-_\s])(?:side-?bar|nav-?bar|pop-?up|sign-?up|log-?in)(?=$|[-_\s])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + RAW + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*(?:>|\Z)|<[/a-zA-Z][^>]*\Z", re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -68,6 +70,13 @@ def host_of(url: str):
     return F.lower(F.coalesce(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")), F.lit("")))
 
 
+def boilerplate(value: str) -> bool:
+    """Whether a whole class name, id or role is one of boilerplate: a word of MARKS, with none beside
+    it that tells of other things (`related-posts` is, `related-work` and `search-engine` aren't)."""
+    parts = [p for p in _SPLIT.split(_MARK_PAIRS.sub("-sidebar-", value)) if p and not p.isdigit()]
+    return any(p in MARKS for p in parts) and all(p in MARKS or p in PLAIN for p in parts)
+
+
 def token(name: str, attrs: str) -> tuple[str, bool]:
     """A tag's token, and whether it begins boilerplate."""
     if "=" not in attrs:
@@ -77,8 +86,7 @@ def token(name: str, attrs: str) -> tuple[str, bool]:
         found = [(a.lower(), (b or c or d or "").lower()) for a, b, c, d in _ATTR.findall(attrs)]
         mark = name in DROP
         for _, value in found:
-            parts = _SPLIT.split(value)
-            mark = mark or any(p in MARKS for p in parts) or bool(_MARK_PAIRS.search(value))
+            mark = mark or any(map(boilerplate, value.split()))
         if name in ("html", "body", "article", "main"):
             mark = False
         # digits vary from page to page: an id or a class is a token without them
@@ -121,6 +129,8 @@ def walk(page: str, slot: str | None):
     text kept inside, boilerplate, place of the token around) in page order, places the innermost
     tokens around the blocks outside boilerplate (-1: none)."""
     stack: list[list] = []  # name, token, in boilerplate, in slot, place in seen
+    opened: dict[str, list[int]] = {}  # where each name is open in the stack
+    blocks: list[int] = []  # and where blocks are
     seen: list[list] = []
     inside: list[str] = []
     outside: list[str] = []
@@ -139,10 +149,23 @@ def walk(page: str, slot: str | None):
                     seen[stack[-1][4]][2] += len(text)
             parts.clear()
 
+    def push(entry: list) -> None:
+        opened.setdefault(entry[0], []).append(len(stack))
+        if entry[0] in BLOCKS or entry[0] in DROP:
+            blocks.append(len(stack))
+        stack.append(entry)
+
+    def off() -> list:
+        top = stack.pop()
+        opened[top[0]].pop()
+        if blocks and blocks[-1] == len(stack):
+            blocks.pop()
+        return top
+
     def pop() -> None:
         nonlocal drop, hit
         flush()
-        top = stack.pop()
+        top = off()
         if stack:
             seen[stack[-1][4]][2] += seen[top[4]][2]
         drop, hit = (stack[-1][2], stack[-1][3]) if stack else (False, False)
@@ -158,24 +181,22 @@ def walk(page: str, slot: str | None):
                 flush()
                 if a in ("p", "li", "dt", "dd", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6") or a in DROP or a in ("article", "main"):
                     # an open paragraph, with what is open inside it, ends here
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] in BLOCKS or stack[k][0] in DROP:
-                            if stack[k][0] == "p" or stack[k][0] == a and a in ("li", "dt", "dd", "tr", "td", "th"):
-                                while len(stack) > k:
-                                    pop()
-                            break
+                    k = blocks[-1] if blocks else -1
+                    if k >= 0 and (stack[k][0] == "p" or stack[k][0] == a and a in ("li", "dt", "dd", "tr", "td", "th")):
+                        while len(stack) > k:
+                            pop()
             name, mark = token(a, b)
             if mark or a in DROP or a == "header":
                 flush()
             mark = mark or a == "header" and not hit
             seen.append([name, len(stack), 0, drop or mark, stack[-1][4] if stack else -1])
             drop, hit = drop or mark, hit or name == slot
-            stack.append([a, name, drop, hit, len(seen) - 1])
+            push([a, name, drop, hit, len(seen) - 1])
         else:
             if a in VOID:
                 continue
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == a), -1)
-            if k < 0 or a not in BLOCKS and any(s[0] in BLOCKS for s in stack[k + 1 :]):
+            k = opened[a][-1] if opened.get(a) else -1
+            if k < 0 or a not in BLOCKS and blocks and blocks[-1] > k:
                 if a in BLOCKS:
                     flush()
                 continue
@@ -185,7 +206,8 @@ def walk(page: str, slot: str | None):
                 while len(stack) > k:
                     pop()
             else:  # inline: its text stays part of the open block
-                del stack[k:]
+                while len(stack) > k:
+                    off()
                 drop, hit = (stack[-1][2], stack[-1][3]) if stack else (False, False)
     while stack:
         pop()
@@ -193,6 +215,19 @@ def walk(page: str, slot: str | None):
     return inside, outside, seen, places
 
 
+def around(seen: list[list], at: int, paths: dict[int, frozenset]) -> frozenset:
+    """The tokens around a place; elements that add none share a set, however deep they are."""
+    way = []
+    while at not in paths:
+        way.append(at)
+        at = seen[at][4]
+    found = paths[at]
+    for k in reversed(way):
+        name = seen[k][0]
+        found = paths[k] = found if name in found else found | {name}
+    return found
+
+
 def vector(page_id: int, times: int) -> int:
     """What a page adds to the occurrence vector's hash of a token that it has so often."""
     x = (page_id * 0x9E3779B97F4A7C15 + times * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
@@ -221,6 +256,7 @@ def tokens(pages: DataFrame, least: int = LEAST) -> DataFrame:
             for k, host in enumerate(hosts):
                 _, outside, seen, places = walk(data[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace"), None)
                 own: dict[str, list] = {}
+                paths: dict[int, frozenset] = {-1: frozenset()}
                 for name, depth, chars, mark, _ in seen:
                     x = own.setdefault(name, ["", 0, depth, 0, 0])
                     x[1] += 1
@@ -228,11 +264,7 @@ def tokens(pages: DataFrame, least: int = LEAST) -> DataFrame:
                     x[4] += mark
                 for text, at in zip(outside, places, strict=True):
                     if (x := own.get(name := "=" + block(text))) is None:
-                        around = set()
-                        while at >= 0:
-                            around.add(seen[at][0])
-                            at = seen[at][4]
-                        x = own[name] = ["\0".join(sorted(around)), 0, 0, 0, 0]
+                        x = own[name] = ["\0".join(sorted(around(seen, at, paths))), 0, 0, 0, 0]
                     x[1] += 1
                     x[3] += len(text)
                 total = held.setdefault((host, ""), [""] + [0] * 7)
@@ -264,7 +296,8 @@ def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST) ->
     valid = found.where("token <> ''").join(small(count, count.count(), 100_000), "host").where((F.col("pages") >= least) & (F.col("pages") >= support * F.col("host_pages")))
     text = F.startswith(F.col("token"), F.lit("="))
     again = valid.where(text & (F.col("pages") >= RECURS * F.col("host_pages")))
-    stays = (F.col("pages") >= CONSTANT_LEAST) & (F.col("pages") >= CONSTANT * F.col("host_pages"))
+    heading = F.col("path").rlike(r"(^|\x00)h[1-6](\[|\x00|$)")
+    stays = ~heading & (F.col("pages") >= CONSTANT_LEAST) & (F.col("pages") >= CONSTANT * F.col("host_pages"))
     key = F.substring("token", 2, 32)
     blocks = again.groupBy("host").agg(F.sum("chars").alias("same_all"), F.collect_list(key).alias("recurring"), F.collect_list(F.when(stays, key)).alias("constant"))
     # the template's own text by the elements that it is nested in
