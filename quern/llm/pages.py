@@ -43,7 +43,7 @@ LEAST = 3
 RECURS = 0.6
 #: Inside the slot a block may recur and still be main text: there it is constant on at least this
 #: share of the host's pages, and on this number of pages. Headings stay, however often they recur.
-CONSTANT, CONSTANT_LEAST = 0.8, 3
+CONSTANT, CONSTANT_LEAST = 0.8, 6
 #: Hosts up to which templates are broadcast; beyond, pages of a host are dealt to so many places.
 HOSTS, SALTS = 20_000, 16
 #: Share of a host's varying text in the slot: of an article or main element, of any container.
