@@ -56,7 +56,7 @@ DROP = set("script style noscript template textarea iframe title svg canvas obje
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 MARKS = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus dialog footer header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion related reply replies respond share sharing shares sidebar sidenav signup social sponsor sponsored subscribe subscription toolbar widget widgets complementary contentinfo search alert".split())
 #: Words that say nothing of what an element holds, beside one of MARKS.
-PLAIN = set("area bar block bottom box btn button buttons card center col column container content fixed form group here icon inner item items left link links list main mobile outer overlay page pages panel post posts primary right row secondary section side site small sticky stories text thread title top unit us view wrap wrapper".split())
+PLAIN = set("area article articles bar block body bottom box btn button buttons card center col column container content desktop feed fixed form global group here icon icons inner item items label left link links list main mobile outer overlay page pages panel placeholder post posts primary reader readers right row secondary section side site slot small sticky stories text thread title top unit us user users view wrap wrapper zone".split())
 _MARK_PAIRS = re.compile(r"(?:^|[-_\s])(?:side-?bar|nav-?bar|pop-?up|sign-?up|log-?in)(?=$|[-_\s])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + RAW + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*(?:>|\Z)|<[/a-zA-Z][^>]*\Z", re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
