@@ -11,8 +11,8 @@ from quern.operators.retrieval import first_tier, ranked, theta
 
 
 def fits(asked: str, own: str) -> Column:
-    """An optional equality: nothing asked is no filter."""
-    return F.col(asked).isNull() | (F.col(asked) == F.col(own))
+    """An optional equality: nothing asked (null, 0 or an empty name) is no filter."""
+    return F.coalesce(F.col(asked).cast("string"), F.lit("")).isin("", "0") | (F.col(asked) == F.col(own))
 
 
 def named(works: DataFrame, asked: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def exact(works: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
 
 def upto_grade(works: DataFrame, asked: DataFrame, k: int = 3) -> DataFrame:
     """qid, id, rank: works by name of no higher grade than g, low grades first."""
-    hits = named(works, asked).where(F.col("g").isNull() | (F.col("grade") <= F.col("g")))
+    hits = named(works, asked).where(F.col("g").isNull() | (F.col("g") == 0) | (F.col("grade") <= F.col("g")))
     return ranked(hits, ["qid"], [F.col("grade"), F.col("id")], k).select("qid", "id", "rank")
 
 

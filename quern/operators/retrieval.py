@@ -49,7 +49,7 @@ def semantic(queries: DataFrame, points: DataFrame, k: int, low: int | None = No
     """
     queries, points = normed(queries, points)
     if low is None:
-        pairs = points.join(few(queries), F.col("label") <= F.col("grade"))
+        pairs = theta(points, queries, F.col("label") <= F.col("grade"))
     else:
         wide = queries.withColumn("label", F.explode(F.sequence(F.greatest(F.lit(low), F.col("grade") - 1), F.greatest(F.lit(low), F.col("grade") + 1)))).where(F.col("label") <= F.col("grade") + 1)
         pairs = points.join(few(wide), ["label", *also])
@@ -148,7 +148,7 @@ def by_words(texts: DataFrame, names: DataFrame) -> DataFrame:
     found = words.join(few(names.where("_k is not null"), 200_000), "_k").select("id", "name_id", "name").distinct()
     held = F.contains("t", "name")
     hits = texts.join(few(found, 200_000), "id").where(held)
-    bare = texts.join(few(names.where("_k is null").drop("_k")), held)
+    bare = theta(texts, names.where("_k is null").drop("_k"), held)
     return hits.unionByName(bare)
 
 

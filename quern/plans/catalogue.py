@@ -50,16 +50,17 @@ COLUMNS = {
     "pages": "SELECT page_id AS qid, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS q FROM pages",
     "addresses": "SELECT page_id AS qid, url AS q FROM pages",
     "html": "SELECT page_id AS qid, html AS q FROM pages",
-    # documents laid out as lessons: none of the tables holds exercises or glossaries
-    "lessons": "SELECT doc_id AS qid, 'Mở đầu' || chr(10) || '** Câu 1 ** ' || substr(text, 1, 80) || chr(10) || '**Phương pháp giải:** xem lại' || chr(10) || '**Lời giải:** ' || substr(text, 81, 300) || chr(10) || 'Bài 2 quan sát hình ' || source || chr(10) || 'Phương pháp giải: cộng lại' || chr(10) || 'Lời giải chi tiết: ' || substr(text, 381, 300) || chr(10) || 'Đáp số: ' || n_chars || chr(10) || source || ' /' || lang || '/ (n): ' || lang AS q FROM documents",
+    # whole documents laid out as lessons, a third for each part: none of the tables holds exercises or glossaries
+    "lessons": "SELECT doc_id AS qid, 'Mở đầu' || chr(10) || '** Câu 1 ** ' || substr(text, 1, n) || chr(10) || '**Phương pháp giải:** xem lại' || chr(10) || '**Lời giải:** ' || substr(text, n + 1, n) || chr(10) || 'Bài 2 quan sát hình ' || source || chr(10) || 'Phương pháp giải: cộng lại' || chr(10) || 'Lời giải chi tiết: ' || substr(text, 2 * n + 1) || chr(10) || 'Đáp số: ' || n_chars || chr(10) || source || ' /' || lang || '/ (n): ' || lang AS q FROM (SELECT *, length(text) // 3 AS n FROM documents)",
 }
 
 
 def column(spark: SparkSession, d: str, name: str) -> DataFrame:
     rows = table(spark, d, {"addresses": "pages", "html": "pages", "lessons": "documents"}.get(name, name))
     if name == "lessons":
+        n = F.expr("length(text) div 3").cast("int")
         part = lambda a, b: F.substring("text", a, b)
-        q = F.concat(F.lit("Mở đầu\n** Câu 1 ** "), part(1, 80), F.lit("\n**Phương pháp giải:** xem lại\n**Lời giải:** "), part(81, 300), F.lit("\nBài 2 quan sát hình "), "source", F.lit("\nPhương pháp giải: cộng lại\nLời giải chi tiết: "), part(381, 300), F.lit("\nĐáp số: "), F.col("n_chars").cast("string"), F.lit("\n"), "source", F.lit(" /"), "lang", F.lit("/ (n): "), "lang")
+        q = F.concat(F.lit("Mở đầu\n** Câu 1 ** "), part(F.lit(1), n), F.lit("\n**Phương pháp giải:** xem lại\n**Lời giải:** "), part(n + 1, n), F.lit("\nBài 2 quan sát hình "), "source", F.lit("\nPhương pháp giải: cộng lại\nLời giải chi tiết: "), part(2 * n + 1, F.length("text")), F.lit("\nĐáp số: "), F.col("n_chars").cast("string"), F.lit("\n"), "source", F.lit(" /"), "lang", F.lit("/ (n): "), "lang")
         return rows.select(F.col("doc_id").alias("qid"), q.alias("q"))
     if name in ("addresses", "html"):
         return rows.select(F.col("page_id").alias("qid"), F.col("url" if name == "addresses" else "html").alias("q"))

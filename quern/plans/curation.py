@@ -55,7 +55,7 @@ def contained(spark: SparkSession, d: str, start) -> DataFrame:
     longest = q.agg(F.max(F.length("q"))).first()[0] or 0
     short = docs.where(F.length("t") <= longest)
     size = F.length("t").alias("size")
-    inside = short.join(retrieval.few(q), F.contains("q", "t")).select("item_id", F.col("id").alias("doc_id"), size, F.lit(0).alias("direction"))
+    inside = retrieval.theta(short, q, F.contains("q", "t")).select("item_id", F.col("id").alias("doc_id"), size, F.lit(0).alias("direction"))
     around = retrieval.containing(docs, q.select(F.col("item_id").alias("name_id"), start.alias("name"))).select(F.col("name_id").alias("item_id"), F.col("id").alias("doc_id"), size, F.lit(1).alias("direction"))
     hits = inside.unionByName(around).groupBy("item_id", "doc_id").agg(F.min("direction").alias("direction"), F.max("size").alias("size"))
     return retrieval.ranked(hits, ["item_id"], [F.col("direction"), F.desc("size"), F.col("doc_id")], 2).select("item_id", "doc_id", "direction", "rank")

@@ -199,13 +199,13 @@ def dedupe_per_grade(spark, d):
     return rows.groupBy("grade", "h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("h")
 
 
-@query("WITH t AS (SELECT doc_id, source, text, coalesce(quality, 0) AS tier FROM documents LEFT JOIN labels USING (doc_id)) SELECT min(doc_id) AS doc_id, tier, count(*) AS copies FROM t GROUP BY tier, CASE WHEN tier = 1 THEN text ELSE substr(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), 1, 64) END")
+@query("WITH t AS (SELECT doc_id, source, text, coalesce(quality, 0) AS tier FROM documents LEFT JOIN labels USING (doc_id)) SELECT min(doc_id) AS doc_id, tier, count(*) AS copies FROM t GROUP BY tier, CASE WHEN tier = 1 THEN text ELSE regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') END")
 def tier_dedupe(spark, d):
-    """Good rows are one where their texts are equal; poor ones where they begin alike, case and
-    signs aside."""
+    """Good rows are one where their texts are equal; poor ones where all letters and digits of
+    their texts are, case aside."""
     labels = table(spark, d, "labels").select("doc_id", "quality")
     rows = table(spark, d, "documents").select("doc_id", "text").join(labels, "doc_id", "left").withColumn("tier", F.coalesce("quality", F.lit(0)))
-    rough = F.substring(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", ""), 1, 64)
+    rough = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")
     key = F.sha2(F.when(F.col("tier") == 1, F.col("text")).otherwise(rough), 256)
     return rows.groupBy("tier", key.alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "tier", "copies")
 
