@@ -9,6 +9,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from quern.functions import density
 from quern.functions import rules as R
 from quern.operators import answer, crawl, duplicates, graph, monitor, nearest, postings, retrieval, route
 from quern.operators.crawl import SERIES
@@ -207,3 +208,27 @@ def answers_by_route(spark, d):
     weeks = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 9 + 1).alias("grade"), series("o_orderkey").alias("series"), (F.col("o_orderkey") % 35 + 1).alias("week"))
     bases = answer.Bases(points.select("vec_id", "embedding", "label", collection_of("vec_id").alias("source")), own.where("id % 3 = 0"), own.where("id % 3 = 1"), own.where("id % 3 = 2"), own, written.where("id % 7 = 1"), written.where("id % 7 = 3"), weeks)
     return answer.answers(asked, bases)[1]
+
+
+# Content by density --------------------------------------------------------------------------------------
+_D = density
+_q = R.quoted
+_BARE = f"trim(regexp_replace(regexp_replace({{c}}, {_q(_D.TAG)}, ' ', 'g'), {_q(_D.SPACE)}, ' ', 'g'))"
+_MAIN = (
+    f"a AS (SELECT page_id, regexp_replace(translate(coalesce(html, ''), chr(1) || chr(2) || chr(3), '   '), {_q(_D.NOISE)}, ' ', 'g') AS h FROM pages), "
+    f"b AS (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, {_q(_D.CELL)}, ' | ', 'g'), {_q(_D.ROW)}, chr(1) || chr(2), 'g'), {_q(_D.HEAD)}, chr(1) || chr(3), 'g'), {_q(_D.BREAK)}, chr(1), 'g'), chr(1)) AS p FROM a), "
+    f"c AS (SELECT page_id, unnest(p) AS p, generate_subscripts(p, 1) AS i FROM b), d AS (SELECT page_id, i, CASE WHEN starts_with(p, chr(2)) THEN 'row' WHEN starts_with(p, chr(3)) THEN 'head' ELSE '' END AS kind, translate(p, chr(2) || chr(3), '') AS p FROM c), "
+    f"e AS (SELECT page_id, i, kind, {_BARE.format(c='p')} AS t, {_BARE.format(c=f'regexp_replace(p, {_q(_D.LINK)}, chr(32), chr(103))')} AS o FROM d), "
+    "f AS (SELECT *, len(string_split(t, ' ')) AS words, (length(replace(t, ' ', '')) - length(replace(o, ' ', ''))) / (1.0::DOUBLE * length(replace(t, ' ', ''))) AS links FROM e WHERE t <> ''), "
+    "g AS (SELECT *, coalesce(lag(links) OVER w, 0) AS bl, coalesce(lag(words) OVER w, 0) AS bw, coalesce(lead(words) OVER w, 0) AS aw FROM f WINDOW w AS (PARTITION BY page_id ORDER BY i)), "
+    f"h AS (SELECT *, links <= {_D.LINKS!r} AND (kind = 'row' OR NOT CASE WHEN bl > {_D.LINKS_BEFORE!r} THEN words <= {_D.MID} AND aw <= {_D.MID_NEXT} ELSE words <= {_D.SHORT} AND aw <= {_D.SHORT_NEXT} AND bw <= {_D.SHORT_BEFORE} END) AS yes FROM g), "
+    "k AS (SELECT *, CASE WHEN kind = 'head' THEN coalesce(lead(yes) OVER (PARTITION BY page_id ORDER BY i), false) ELSE yes END AS kept FROM h), "
+    "m AS (SELECT page_id, t, min(i) AS i FROM k WHERE kept GROUP BY page_id, t), n AS (SELECT page_id, count(*) AS blocks, md5(string_agg(t, chr(10) ORDER BY i)) AS hash FROM m GROUP BY page_id)"
+)
+
+
+@query(f"WITH {_MAIN} SELECT page_id, coalesce(blocks, 0) AS blocks, coalesce(hash, md5('')) AS hash FROM pages LEFT JOIN n USING (page_id)")
+def main_content(spark, d):
+    """What of each page is content by the words and links of its blocks; a hash of the text."""
+    text = density.main_content(table(spark, d, "pages").select("page_id", "html"), "html", "t")
+    return text.select("page_id", F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", "\n"))).cast("long").alias("blocks"), F.md5("t").alias("hash"))
