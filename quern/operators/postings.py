@@ -12,7 +12,9 @@ below the k-th score are never opened, all others are. Texts are not read at que
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.retrieval import few, ranked
@@ -24,13 +26,15 @@ BUCKET, FIRST = 4096, 4
 WORDS = 200_000
 
 
-def built(words: DataFrame, bucket: int = BUCKET, path: str | None = None) -> DataFrame:
-    """w, bucket, ids, tfs, most: the index of words (id, w: a row for each time that a text holds
-    the word), stored in the shared folder or at path. Null words and ids are left out."""
-    words = words.where("id is not null and w is not null")
-    n = max(1, -(-words.agg(F.approx_count_distinct("id")).first()[0] // bucket))
-    counts = words.groupBy("id", "w").agg(F.count("*").alias("tf"))
-    blocks = counts.groupBy("w", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("bucket")).agg(F.array_sort(F.collect_list(F.struct("id", "tf"))).alias("x"))
+def built(texts: DataFrame, words: Callable[[str], Column], bucket: int = BUCKET, path: str | None = None) -> DataFrame:
+    """w, bucket, ids, tfs, most: the index of texts (id, t), stored in the shared folder or at path.
+    words gives the array of a text's words. Texts are shuffled once, to their buckets; words are
+    counted and gathered there. Null words and ids are left out; rows with equal ids are one text."""
+    texts = texts.where("id is not null").select("id", "t")
+    n = max(1, -(-texts.count() // bucket))
+    placed = texts.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).repartition("bucket")
+    counts = placed.select("bucket", "id", F.explode(words("t")).alias("w")).where("w is not null").groupBy("bucket", "id", "w").agg(F.count("*").alias("tf"))
+    blocks = counts.groupBy("w", "bucket").agg(F.array_sort(F.collect_list(F.struct("id", "tf"))).alias("x"))
     blocks = blocks.select("w", "bucket", F.col("x.id").alias("ids"), F.col("x.tf").alias("tfs"), F.array_max("x.tf").alias("most"))
     return stored(blocks, "postings", path)
 

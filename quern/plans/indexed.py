@@ -69,7 +69,7 @@ def lexical_opening(spark, d):
     """Texts with the words that each conversation opens with (two words are the question), in an
     index of small buckets, most of which are never opened."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), 0)
-    index = postings.built(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(words("text")).alias("w")), bucket=64)
+    index = postings.built(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t")), words, bucket=64)
     first = table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("qid"), F.explode(F.slice(words("text"), 1, 2)).alias("w"))
     return postings.all_words(first, index, 5).withColumnRenamed("id", "doc_id")
 
@@ -88,7 +88,7 @@ def stream_upsert(spark, d):
     hash, the newest id, a version for each time."""
     incoming = new_path(spark, "incoming")
     rows = table(spark, d, "pages").select(F.regexp_replace("url", "[?#].*$", "").alias("url"), "page_id", F.sha2("html", 256).alias("first_hash"), F.col("page_id").alias("last_page"))
-    rows.repartition(4, "page_id").write.parquet(incoming)
+    rows.repartition(4).write.parquet(incoming)
     kept = Merged(new_path(spark, "raw-pages"), "url", "page_id", ("first_hash",), ("last_page",))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
     upsert.merge_batches(stream, kept, new_path(spark, "raw-pages-log")).awaitTermination()

@@ -150,9 +150,9 @@ def semantic_series(spark, d):
 def lexical_all(spark, d):
     """Texts that hold all of a question's words, those with more of them first, by a stored index
     of words."""
-    words = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), 0))
-    index = postings.built(table(spark, d, "documents").select(F.col("doc_id").alias("id"), words("text").alias("w")))
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), words("text").alias("w"))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), 0)
+    index = postings.built(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t")), words)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(words("text")).alias("w"))
     return postings.all_words(asked, index, 10).withColumnRenamed("id", "doc_id")
 
 

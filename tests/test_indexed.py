@@ -108,20 +108,26 @@ def plain_all_words(rows, asked, k):
     return out
 
 
+def built_of(spark, rows, bucket):
+    texts = spark.createDataFrame(rows, "id long, w string").groupBy("id").agg(F.array_join(F.collect_list("w"), " ").alias("t"))
+    more = spark.createDataFrame([(7000, None), (7001, "")], texts.schema)
+    return postings.built(texts.unionByName(more), lambda c: F.split(c, " "), bucket)
+
+
 @pytest.mark.parametrize("bucket", [1, 20, 4096])
 def test_all_words(spark, bucket):
     pick = random.Random(bucket)
     vocab = [f"w{k}" for k in range(12)]
     rows = [(i, pick.choice(vocab)) for i in range(300) for _ in range(pick.randrange(14))] + [(i, "all") for i in range(300)] * 2 + [(None, "w1"), (5, None)]
     asked = [(q, pick.choice([*vocab, "all", "all", "nowhere"][: 14 + (q % 9 == 0)])) for q in range(40) for _ in range(1 + q % 4)] + [(99, None), (7, "w1"), (7, "w1")]
-    index = postings.built(spark.createDataFrame(rows, "id long, w string"), bucket)
+    index = built_of(spark, rows, bucket)
     got = postings.all_words(spark.createDataFrame(asked, "qid long, w string"), index, 5)
     assert {(r.qid, r.id, r["rank"]) for r in got.collect()} == plain_all_words(rows, asked, 5)
 
 
 def test_blocks_below_the_bound_stay_closed(spark, monkeypatch):
     rows = [(i, w) for i in range(400) for w in ("a", "b") for _ in range(9 if i < 20 else 1)]
-    index = postings.built(spark.createDataFrame(rows, "id long, w string"), 4)
+    index = built_of(spark, rows, 4)
     opened, real = [], postings.opened
     monkeypatch.setattr(postings, "opened", lambda asked, index, cells: opened.append(cells.count()) or real(asked, index, cells))
     got = postings.all_words(spark.createDataFrame([(1, "a"), (1, "b")], "qid long, w string"), index, 3).collect()
