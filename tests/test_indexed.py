@@ -110,7 +110,7 @@ def plain_all_words(rows, asked, k):
 
 def built_of(spark, rows, bucket):
     texts = spark.createDataFrame(rows, "id long, w string").groupBy("id").agg(F.array_join(F.collect_list("w"), " ").alias("t"))
-    more = spark.createDataFrame([(7000, None), (7001, "")], texts.schema)
+    more = spark.createDataFrame([(7000, None), (7001, "")], "id long, t string")
     return postings.built(texts.unionByName(more), lambda c: F.split(c, " "), bucket)
 
 
