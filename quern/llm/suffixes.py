@@ -4,7 +4,8 @@ Every n-byte string has an anchor, the window of GRAM bytes with the smallest ha
 equal strings have equal anchors at equal places. Strings that follow each other mostly share
 their anchor, and all that share it lie in one context of the text. An anchor that stands in one
 place only repeats nothing and is left out. Contexts with equal hashes are counted before the
-shuffle: one of them goes on with its count, and what is found for it holds for all.
+shuffle: two of them go on, are sorted and compared as all others are, and what is found for them
+holds for the rest, which are told from them by two hashes of 64 bits and never compared.
 Sampled splitters range-partition the anchored suffixes by their leading bytes; each bucket
 sorts them by multikey quicksort, and what stands before the anchors, read backwards, too.
 Neighbours in both orders, compared byte by byte, are the matches: the string that begins d
@@ -149,9 +150,9 @@ def padded(bodies: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def repeated(h: np.ndarray, reach: np.ndarray, more: np.ndarray, copies: np.ndarray, body: list[bytes], n: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated(h: np.ndarray, reach: np.ndarray, more: np.ndarray, body: list[bytes], n: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first and last distance before the anchor) of runs of strings that stand in two
-    rows, or in one that stands for several; rows with equal h stand together.
+    rows; rows with equal h stand together.
 
     Two sorts: of the suffixes that begin at the anchors, and of what stands before them, read
     backwards. A string that begins d bytes before its anchor stands in two rows if these share
@@ -166,7 +167,6 @@ def repeated(h: np.ndarray, reach: np.ndarray, more: np.ndarray, copies: np.ndar
     found = np.zeros((far + 1, count), bool)
     for d in range(far + 1):
         rows = np.flatnonzero((least <= d) & (d <= reach))
-        found[d, rows] = copies[rows] > 1
         if len(rows) < 2:
             continue
         # n - d is over 0, so rows of two anchors never are of one class
@@ -199,8 +199,13 @@ def marked(docs: DataFrame, n: int = LENGTH, gram: int = GRAM) -> DataFrame:
     known = counted.join(several.select("h", (F.col("n") > HOT).alias("hot")).hint("shuffle_hash"), "h").select("h", "ctx", "hot")
     members = written(every.join(known.hint("shuffle_hash"), ["h", "ctx"]), "repeated-contexts")
     discard(spark, every)
-    one = members.groupBy("h", "ctx").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("id", "t1", "place", "hot")))
-    by_text = written(one.groupBy("id", "t1").agg(F.collect_list(F.struct("h", "ctx", "hot", "copies", "place")).alias("wanted")), "wanted")
+    at = ("id", "t1", "place")
+    one = members.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.first("hot").alias("hot"), *(F.first(c).alias(c) for c in at), *(F.last(c).alias(f"{c}2") for c in at))
+    # Rows of one id and text meet each other's wanted places in any case.
+    alike = (F.col("n") > 1) & ~((F.col("id") == F.col("id2")) & (F.col("t1") == F.col("t12")) & (F.col("place") == F.col("place2")))
+    two = F.when(alike, F.array(F.struct((F.col("n") - 1).alias("copies"), *at), F.struct(F.lit(1).cast("long").alias("copies"), *(F.col(f"{c}2").alias(c) for c in at)))).otherwise(F.array(F.struct(F.col("n").alias("copies"), *at)))
+    both = one.select("h", "ctx", "hot", F.inline(two))
+    by_text = written(both.groupBy("id", "t1").agg(F.collect_list(F.struct("h", "ctx", "hot", "copies", "place")).alias("wanted")), "wanted")
     any_hot = members.where("hot").limit(1).count() > 0
     discard(spark)
     # Texts meet what concerns them in a shuffle, however little that is: plans don't change with size.
@@ -212,9 +217,13 @@ def marked(docs: DataFrame, n: int = LENGTH, gram: int = GRAM) -> DataFrame:
             while s < len(at) - 1:  # whole anchors, of some thousand rows at once
                 e = max(s + 1, int(np.searchsorted(at, at[s] + HOT, "right")) - 1)
                 g = t.slice(at[s], at[e] - at[s])
-                h, reach, more, copies = (g.column(c).to_numpy() for c in ("h", "reach", "more", "copies"))
-                row, first, last = repeated(h, reach, more, copies, g.column("body").to_pylist(), n, gram)
+                h, ctx, reach, more = (g.column(c).to_numpy() for c in ("h", "ctx", "reach", "more"))
+                row, first, last = repeated(h, reach, more, g.column("body").to_pylist(), n, gram)
                 if len(row):
+                    # both rows of a context tell the same
+                    kind = np.cumsum(np.append(True, (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])))[row]
+                    _, once = np.unique((kind * n + first) * n + last, return_index=True)
+                    row, first, last = row[once], first[once], last[once]
                     take = pa.array(row)
                     yield pa.RecordBatch.from_arrays([*(g.column(c).combine_chunks().take(take) for c in ("h", "ctx")), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["h", "ctx", "first", "last"])
                 s = e
