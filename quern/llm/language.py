@@ -9,9 +9,12 @@ more, for texts in none of them: its profile is the background, half of which is
 languages have in common and half any trigram at all, and all profiles are smoothed towards it.
 
 Cases. Null, empty and letterless texts have no text evidence: they are rejected, and so are texts
-whose best language stays below KEEP and those in none of the languages (language null). What is
-declared by fewer than LEAST_TEXTS texts is no language of its own; such declarations count as one. Null declarations, addresses and hosts add nothing. Without
-any declaration there is no language to learn and all are rejected. Repeated rows come out alike.
+whose best language stays below KEEP and those in none of the languages (language null). The
+PROFILES languages that most texts declare, each by LEAST_TEXTS texts at least, have a profile;
+all other declarations count as one. A text that is in none of the profiled languages and declares
+another one in the form of a language tag is in that one: there is nothing that speaks against it.
+Null declarations, addresses and hosts add nothing. Without any declaration there is no language to
+learn and all are rejected. Repeated rows come out alike.
 A null doc_id is kept. An empty table gives no rows. `accepted` keeps other columns, whatever
 their names.
 """
@@ -30,8 +33,12 @@ from .arrays import LOWER, lean, slices
 from .common import chosen, small, stowed, unstowed, written
 
 BITS = 15
-#: A language is one that at least so many texts declare, however large the table.
+#: A language has a profile if at least so many texts declare it, however large the table.
 LEAST_TEXTS = 5
+#: Profiles at most (0.25 MB each, on the driver and in each task); the rarer languages have none.
+PROFILES = 180
+# The form of a language tag, and tags that name no language.
+_TAG, _NO_TAG = r"^[A-Za-z]{2,3}([-_][A-Za-z0-9]{2,8})*$", r"^(?i:mis|mul|und|zxx)([-_]|$)"
 KEEP = 0.5
 #: Trigrams overlap, so each counts for less than one independent event.
 TEMPER = 0.3
@@ -126,14 +133,17 @@ def _normal(logs):
     return F.transform(e, lambda x: x / total)
 
 
-def fuse(docs: DataFrame, keep: float = KEEP) -> DataFrame:
+def fuse(docs: DataFrame, keep: float = KEEP, most: int = PROFILES) -> DataFrame:
     """docs (doc_id, text, declared, host, and columns to carry) with language, confidence,
     text_language and kept."""
     shares = docs.where("declared is not null").groupBy("declared").agg(F.count("*").alias("n"))
-    languages = sorted(r["declared"] for r in shares.where(F.col("n") >= LEAST_TEXTS).collect())
+    languages = sorted(r["declared"] for r in shares.where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "declared").limit(most).collect())
     carried = [c for c in docs.columns if c != "text"]
+    other = F.when(F.col("declared").rlike(_TAG) & ~F.col("declared").rlike(_NO_TAG) & ~F.col("declared").isin(languages), F.col("declared"))
     if not languages:
-        return docs.select(*carried, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_language"), F.lit(False).alias("kept"))
+        # a letter for `trigrams` is one of a-z or any from U+00C0 on
+        said = F.when(F.col("text").rlike(r"[A-Za-z\x{C0}-\x{10FFFF}]"), other)
+        return docs.select(*carried, said.alias("language"), F.when(said.isNotNull(), 1.0).otherwise(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_language"), said.isNotNull().alias("kept"))
     k = len(languages) + 1  # the last class is none of the languages
     names = F.array(*map(F.lit, languages), F.lit(None).cast("string"))
     scored = address(likelihoods(docs, profiles(docs, languages)))
@@ -168,7 +178,7 @@ def fuse(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     logs = add(add(F.col("ll"), F.coalesce("declared_ll", none)), add(F.coalesce("host_ll", start), F.coalesce("suffix_ll", none)))
     rows = rows.withColumn("post", _normal(logs))
     best = lambda c: names[F.array_position(c, F.array_max(c)).cast("int") - 1]
-    rows = rows.withColumn("language", best(F.col("post"))).withColumn("confidence", F.array_max("post")).withColumn("text_language", F.when(F.col("letters") > 0, best(F.col("p"))))
+    rows = rows.withColumn("language", F.coalesce(best(F.col("post")), F.when(F.col("letters") > 0, other))).withColumn("confidence", F.array_max("post")).withColumn("text_language", F.when(F.col("letters") > 0, best(F.col("p"))))
     return rows.select(*carried, "language", "confidence", "text_language", ((F.col("letters") > 0) & (F.col("confidence") >= keep) & F.col("language").isNotNull()).alias("kept"))
 
 

@@ -97,6 +97,55 @@ def test_lm_scores(spark, small_dir):
     assert lattice.lm_score(df.limit(0), path).count() == 0
 
 
+def test_lm_score_is_brute_force(spark):
+    """Classes, counts, EM, discount and sums as plain loops over all segmentations of short words."""
+    path = tokenizers.path("piece_bpe_32k.model")
+    rng = random.Random(6)
+    some = ["the", "cat", "sat", "on", "mats", "dog", "eine", "katze", "x9z", "Zé", "ran", "runs"]
+    texts = [" ".join(rng.choice(some) for _ in range(rng.randint(0, 9))) for _ in range(40)] + [None, "", "zebra the qat", "THE Cat"]
+    langs = [("en", "de", None)[k % 3] for k in range(len(texts))]
+    df = spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate(zip(texts, langs, strict=True))], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.score for r in lattice.lm_score(df, path, chunk_bytes=300).collect()}
+
+    pieces = lattice.vocabulary(path)
+    number = {p: k for k, p in enumerate(pieces)}
+
+    def ways(rest):
+        return [[]] if not rest else [[number[rest[:k]], *more] for k in range(1, len(rest) + 1) if rest[:k] in number for more in ways(rest[k:])]
+
+    def shares(weight):  # pieces that begin a word share 1, and so do all others with the end
+        w = [x + 0.01 for x in weight]
+        head = sum(x for x, p in zip(w, pieces, strict=False) if p[0] == 1)
+        return [x / (head if k < len(pieces) and pieces[k][0] == 1 else sum(w) - head) for k, x in enumerate(w)]
+
+    words_of = [[w.translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))) for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    paths = {w: ways(b"\x01" + w) for ws in words_of for w in ws}
+    chances = []
+    trained = [k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 5 != 1]
+    for x in ("en", "de", None):
+        own = [k for k in trained if langs[k] == x]
+        c = Counter(w for k in own for w in [*words_of[k], b""])
+        p = shares([1e6 / (k + 100.0) for k in range(len(pieces))] + [1e6 / 100])
+        for _ in range(lattice.EM_ROUNDS):
+            expected = [0.0] * (len(pieces) + 1)
+            for w in set(c) - {b""}:
+                each = [math.prod(p[k] for k in way) for way in paths[w]]
+                for way, share in zip(paths[w], each, strict=True):
+                    for k in way:
+                        expected[k] += share / sum(each)
+                expected[-1] += 1
+            p = shares(expected)
+        n, once, twice = sum(c.values()), sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
+        # the end has no letters to spell: its lattice is the mark and the end
+        spelled = lambda w, p=p: sum(math.prod(p[k] for k in way) for way in (paths[w] if w else [[number[b"\x01"]]])) * p[-1]
+        chance = {w: max(c[w] - d, 0) / n + d * len(c) / n * spelled(w) for w in [*paths, b""]}
+        chances.append(((len(own) + 1) / (len(trained) + 3), chance))
+    for k, ws in enumerate(words_of):
+        want = math.log10(sum(share * math.prod(chance[w] for w in [*ws, b""]) for share, chance in chances))
+        assert got[k] == pytest.approx(want, rel=1e-5), (k, texts[k])
+
+
 def test_lattice_is_the_sum_over_segmentations():
     rng = np.random.default_rng(0)
     pieces = [b"\x01", b"\x01a", b"a", b"b", b"ab", b"ba", b"aba"]
@@ -300,6 +349,25 @@ def test_rare_and_other_languages(spark):
     assert not any(got[6000 + k].kept for k in range(3))
 
 
+def test_languages_without_a_profile(spark):
+    rng = random.Random(3)
+    say = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(60))
+    kinds = "doc_id long, text string, lang string, source string"
+    rows = [(k, say("abcde") if k % 2 else say("uvxyz"), "aa" if k % 2 else "uu", "one") for k in range(400)]
+    # a language of two texts, one beyond the most profiles, what is no language, no letters, junk on a known language
+    rows += [(1000 + k, say("klmno"), "cy", "one") for k in range(2)] + [(1010 + k, say("fghij"), "pt-BR", "two") for k in range(6)]
+    rows += [(1020, say("pqrst"), "und", "one"), (1021, say("pqrst"), "zxx-Latn", "one"), (1022, say("pqrst"), "no language", "one"), (1023, "12 34", "cy", "one")]
+    rows += [(1100 + k, say("abcde"), f"q{chr(97 + k)}", "one") for k in range(20)]
+    df = spark.createDataFrame(rows, kinds)
+    got = {r.doc_id: r for r in language.fuse(df.withColumnsRenamed({"lang": "declared", "source": "host"}), most=2).collect()}
+    assert all(got[k].kept and got[k].language == got[k].declared for k in [*range(400), 1000, 1001, *range(1010, 1016)])
+    assert not any(got[k].kept for k in range(1020, 1024))
+    assert all(got[1100 + k].kept and got[1100 + k].language == "aa" for k in range(20))
+    # no language has a profile: the tags alone speak
+    few = {r.doc_id: r for r in language.identify(df.where("doc_id between 1000 and 1001 or doc_id > 1019 and doc_id < 1025")).collect()}
+    assert {k for k, r in few.items() if r.kept} == {1000, 1001} and few[1000].language == "cy"
+
+
 def test_quality_sample_is_not_cut():
     assert quality.SAMPLE == 12_000 and quality.train.__defaults__ == (12_000,)
 
