@@ -139,5 +139,21 @@ GRADE_HINTS: Rules = [
     ("lớp 8-9", ["phương trình", "bất phương trình", "căn bậc", "hình học không gian"]),
 ]
 FIGURES = [r"[Hh]ình [0-9]+\.[0-9]+", r"[Qq]uan sát hình", r"dựa vào (hình|bảng|biểu đồ|lược đồ)", r"như hình (bên|dưới|trên)"]
-SECTIONS: Rules = [(n.replace("-", "_").removeprefix("a_"), [f"/{n}-unit-[0-9]+"]) for n in ("getting-started", "a-closer-look-1", "a-closer-look-2", "communication", "skills-1", "skills-2", "looking-back", "project", "vocabulary", "grammar", "pronunciation")]
+# Sections of a unit by the address, science by the words of a chapter's title, marks
+# that begin a solution.
+SECTIONS: Rules = [
+    ("getting_started", ["/getting-started-unit-[0-9]+"]),
+    ("closer_look_1", ["/a-closer-look-1-unit-[0-9]+"]),
+    ("closer_look_2", ["/a-closer-look-2-unit-[0-9]+"]),
+    ("communication", ["/communication-unit-[0-9]+"]),
+    ("skills_1", ["/skills-1-unit-[0-9]+"]),
+    ("skills_2", ["/skills-2-unit-[0-9]+"]),
+    ("looking_back", ["/looking-back-unit-[0-9]+"]),
+    ("project", ["/project-unit-[0-9]+"]),
+    ("vocabulary", ["/vocabulary-unit-[0-9]+"]),
+    ("grammar", ["/grammar-unit-[0-9]+"]),
+    ("pronunciation", ["/pronunciation-unit-[0-9]+"]),
+]
+CHAPTERS: Rules = [("hoa_hoc", ["nguyên tử", "phân tử", "phản ứng"]), ("vat_li", ["tốc độ", "âm", "ánh sáng", "từ"]), ("sinh_hoc", ["tế bào", "sinh", "trao đổi chất"])]
+SOLUTION_MARKS = ["**Lời giải chi tiết:**", "**Lời giải:**", "**Trả lời:**", "Lời giải chi tiết:", "Lời giải:"]
 

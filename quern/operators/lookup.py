@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import trigrams
 from quern.operators.retrieval import first_tier, ranked, theta
+from quern.sources.shared import stored
 
 
 def fits(asked: str, own: str) -> Column:
@@ -56,13 +57,13 @@ def contained(works: DataFrame, asked: DataFrame, k: int = 2) -> DataFrame:
 def chain(asked: DataFrame, tiers: list) -> DataFrame:
     """qid, id, rank, tier of the first of tiers (functions of asked rows) that finds anything; each
     is asked only for what those before it left empty. What a tier finds (a few rows for each
-    question) is persisted: the next tier and the result read it."""
-    left, found = asked.persist(), None
+    question) is stored: the next tier and the result read it."""
+    left, found = stored(asked, "asked"), None
     for n, search in enumerate(tiers):
-        got = search(left).select("qid", "id", "rank").withColumn("tier", F.lit(n)).persist()
+        got = stored(search(left).select("qid", "id", "rank").withColumn("tier", F.lit(n)), "tier")
         found = got if found is None else found.unionByName(got)
         if n + 1 < len(tiers):
-            left = left.join(got.select("qid").distinct(), "qid", "left_anti").persist()
+            left = left.join(got.select("qid").distinct(), "qid", "left_anti")
     return found
 
 

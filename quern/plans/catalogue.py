@@ -440,11 +440,11 @@ def audit_counts(spark, d):
     return one.join(edges.agg(F.count("*").alias("edges")), F.lit(True))
 
 
-@query("SELECT c_custkey AS node_id, c_name AS title, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS source FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+@query("SELECT c_custkey AS node_id, c_name AS title, CASE WHEN c_custkey % 2 = 1 OR c_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS source FROM customer")
 def node_merge(spark, d):
     rows = table(spark, d, "customer")
     old = rows.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("node_id"), F.col("c_name").alias("title"), F.lit("old").alias("source"))
-    new = rows.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("node_id"), F.col("c_name").alias("title"), F.lit("new").alias("source"))
+    new = rows.where("c_custkey % 2 = 1 or c_custkey % 3 = 0").select(F.col("c_custkey").alias("node_id"), F.col("c_name").alias("title"), F.lit("new").alias("source"))
     return graph.merge_nodes(old, new, "node_id", ["source"])
 
 

@@ -195,14 +195,13 @@ _EX = [
     "Không có lời đáp",
     "**Bài 1** Vẽ sơ đồ.\nLời giải: ngắn",
 ]
-_MARKS = ["**Lời giải chi tiết:**", "**Lời giải:**", "**Trả lời:**", "Lời giải chi tiết:", "Lời giải:"]
 _strip = lambda c: f"regexp_replace(replace({c}, '**', ''), {_WS}, '', 'g')"
 
 
-@texts_query(_EX, "lessons", rf"""WITH b AS (SELECT qid, x, generate_subscripts(x, 1) - 1 AS part, unnest(x) AS b FROM (SELECT qid, regexp_split_to_array(q, '\n\s*\*\*\s*(?:CH|Câu|Bài)\s*[0-9]+\s*\*\*') AS x FROM {values(_EX)})), k AS (SELECT *, CASE {' '.join(f"WHEN contains(b, '{m}') THEN '{m}'" for m in _MARKS)} END AS kw FROM b), s AS (SELECT qid, part, {_strip("split_part(split_part(split_part(b, kw, 1), '**Phương pháp giải:**', 1), 'Phương pháp giải:', 1)")} AS problem, {_strip("substr(b, strpos(b, kw) + length(kw))")} AS solution FROM k WHERE kw IS NOT NULL)
+@texts_query(_EX, "lessons", rf"""WITH b AS (SELECT qid, x, generate_subscripts(x, 1) - 1 AS part, unnest(x) AS b FROM (SELECT qid, regexp_split_to_array(q, '\n\s*\*\*\s*(?:CH|Câu|Bài)\s*[0-9]+\s*\*\*') AS x FROM {values(_EX)})), k AS (SELECT *, CASE {' '.join(f"WHEN contains(b, '{m}') THEN '{m}'" for m in R.SOLUTION_MARKS)} END AS kw FROM b), s AS (SELECT qid, part, {_strip("split_part(split_part(split_part(b, kw, 1), '**Phương pháp giải:**', 1), 'Phương pháp giải:', 1)")} AS problem, {_strip("substr(b, strpos(b, kw) + length(kw))")} AS solution FROM k WHERE kw IS NOT NULL)
 SELECT qid, CAST(part AS INTEGER) AS part, problem, solution, regexp_matches(lower(problem), 'hình |sơ đồ|quan sát') AS has_figure FROM s WHERE length(solution) >= 10""")
 def exercise_split(rows):
-    return blocks.exercises(rows, "qid", "q", _MARKS)
+    return blocks.exercises(rows, "qid", "q", R.SOLUTION_MARKS)
 
 
 _MATHS = ["Lý thuyết chung\nCâu 1 Tính tổng theo Hình 3\nPhương pháp giải: cộng lại\nLời giải chi tiết: bằng 7\nLuyen tap Bài 2 Rút gọn\nLời giải chi tiết: x\nCâu 3 Bỏ qua", "Câu 9 Chỉ có cách làm\nPhương pháp giải: thử", "không có gì"]

@@ -179,10 +179,10 @@ _FALL = "{name} AS ({sql}), {rest} AS (SELECT * FROM {of} WHERE qid NOT IN (SELE
 _ANSWERS = (
     f"{_Q}, {_KB}, {_WORK}, {_UNDERSTOOD.replace(_EVERY, _QUESTIONS)}, p AS (SELECT vec_id, label, {_SOURCE} AS source, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), dim(source, k, low) AS (VALUES {_DIM}), {_SEARCHED}, "
     f"n AS (SELECT u.qid, u.route, u.grade, CASE WHEN length(l) > 2 THEN l ELSE q END AS name, nullif(u.grade, 0) AS g, nullif({_SERIES_OF.replace('qid', 'u.qid')}, '') AS s, {R.sql_first_rule('lower(trim(q))', R.WRITING, None)} AS kind, p.v AS qv, u.qid // 50 % 35 + 1 AS week FROM u JOIN (SELECT qid, q, {_LESSON} AS l FROM ({_QUESTIONS})) x USING (qid) JOIN p ON p.vec_id = u.qid), "
-    f"r0 AS (SELECT * FROM n WHERE route = 'reading'), {_FALL.format(name='t0', rest='r1', of='r0', sql=_CONTAINED.format(a='r0', on=_ON, kind=0))}, {_FALL.format(name='t1', rest='r2', of='r1', sql=_CONTAINED.format(a='r1', on=_ON, kind=1))}, "
+    f"r0 AS (SELECT * FROM n WHERE route = 'reading'), {_FALL.format(name='t0', rest='r1', of='r0', sql=_CONTAINED.format(a='r0', on=_ON, of='id % 3 = 0'))}, {_FALL.format(name='t1', rest='r2', of='r1', sql=_CONTAINED.format(a='r1', on=_ON, of='id % 3 = 1'))}, "
     + _FALL.format(name="t2", rest="r3", of="r2", sql=_EXACT.format(a="r2").replace("SELECT qid, id, rank FROM", "SELECT qid, id, rank, CASE WHEN lower(title) = lower(name) THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS score FROM", 1))
     + f", t3 AS (SELECT qid, vec_id AS id, rank, score FROM (SELECT qid, vec_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT qid, vec_id, round(list_cosine_similarity(v, qv), 6) AS score FROM p JOIN r3 ON source = 'reading' AND {_BAND.format(lo=1).replace('grade', 'r3.grade')})) WHERE rank <= 3), "
-    f"b AS ({_WRITTEN}), o AS (SELECT * FROM b WHERE id % 7 = 1), m AS (SELECT * FROM b WHERE id % 7 = 3), o0 AS (SELECT qid, kind, g FROM n WHERE route = 'outline' AND kind IS NOT NULL AND g > 0), "
+    f"b AS ({_WRITTEN}), o AS (SELECT * FROM b WHERE id % 7 < 4), m AS (SELECT * FROM b WHERE id % 7 >= 4), o0 AS (SELECT qid, kind, g FROM n WHERE route = 'outline' AND kind IS NOT NULL AND g > 0), "
     f"{_FALL.format(name='d0', rest='o1', of='o0', sql=_NEXT.format(rows='o', a='o0', on='r.kind = a.kind AND grade = g', k=1))}, {_FALL.format(name='d1', rest='o2', of='o1', sql=_NEXT.format(rows='o', a='o1', on='r.kind = a.kind', k=1))}, {_FALL.format(name='d2', rest='o3', of='o2', sql=_NEXT.format(rows='m', a='o2', on='r.kind = a.kind', k=2))}, d3 AS ({_NEXT.format(rows='m', a='o3', on='true', k=2)}), "
     f"c AS (SELECT n.qid, h.id, CAST(row_number() OVER (PARTITION BY n.qid ORDER BY h.id) AS INTEGER) AS rank FROM n JOIN (SELECT o_orderkey AS id, o_orderkey % 9 + 1 AS grade, {_SERIES.format(c='o_orderkey')} AS series, o_orderkey % 35 + 1 AS week FROM orders) h ON h.grade = n.g AND h.series = n.s AND h.week = n.week WHERE route = 'curriculum'), "
     f"v AS ({_RETRIEVED}), e9 AS (SELECT qid, source AS base, vec_id AS id, rank, score, NULL::INTEGER AS tier FROM v WHERE qid IN (SELECT qid FROM n WHERE route <> 'reading')"
@@ -206,7 +206,7 @@ def answers_by_route(spark, d):
     kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("p_partkey") % len(_KINDS) + 1).cast("int"))
     written = table(spark, d, "part").select(F.col("p_partkey").alias("id"), kind.alias("kind"), (F.col("p_size") % 9 + 1).alias("grade"))
     weeks = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 9 + 1).alias("grade"), series("o_orderkey").alias("series"), (F.col("o_orderkey") % 35 + 1).alias("week"))
-    bases = answer.Bases(points.select("vec_id", "embedding", "label", collection_of("vec_id").alias("source")), own.where("id % 3 = 0"), own.where("id % 3 = 1"), own.where("id % 3 = 2"), own, written.where("id % 7 = 1"), written.where("id % 7 = 3"), weeks)
+    bases = answer.Bases(points.select("vec_id", "embedding", "label", collection_of("vec_id").alias("source")), own.where("id % 3 = 0"), own.where("id % 3 = 1"), own.where("id % 3 = 2"), own, written.where("id % 7 < 4"), written.where("id % 7 >= 4"), weeks)
     return answer.answers(asked, bases)[1]
 
 

@@ -322,12 +322,11 @@ def unit_sections(rows):
 
 
 _LESSONS = ["Chương 1: Nguyên tử và phân tử", "Chương 2. Ánh sáng", "Chương 3 Tế bào", "Chương 4: Lịch sử thế giới", "Khí hậu châu Á", "đếm hình vuông rồi nhân với phân số", "căn bậc hai và hàm số", "axit muối oxi muối axit", "gì đó"]
-_CHAPTERS = [("hoa_hoc", ["nguyên tử", "phân tử", "phản ứng"]), ("vat_li", ["tốc độ", "âm", "ánh sáng", "từ"]), ("sinh_hoc", ["tế bào", "sinh", "trao đổi chất"])]
 _COUNTS = {s: " + ".join(f"(length(t) - length(replace(t, {R.quoted(w.lower())}, ''))) / {len(w)}" for w in words) for s, words in R.SCIENCE}
 _SCIENCE_TOP = "greatest(" + ", ".join(s for s, _ in R.SCIENCE) + ")"
 
 
-@texts_query(_LESSONS, "documents", f"WITH c AS (SELECT qid, t, " + ", ".join(f"CAST({c} AS BIGINT) AS {s}" for s, c in _COUNTS.items()) + f" FROM (SELECT qid, lower(q) AS t FROM {values(_LESSONS)})) SELECT qid, coalesce(CASE WHEN contains(t, 'chương') THEN {R.sql_first_rule('t', _CHAPTERS, None)} END, CASE WHEN {_SCIENCE_TOP} > 3 THEN CASE " + " ".join(f"WHEN {s} = {_SCIENCE_TOP} THEN '{s}'" for s, _ in R.SCIENCE) + f" END END, 'unknown') AS branch, {R.sql_first_rule('t', R.HISTORY_OR_GEOGRAPHY, None)} AS side, list_filter([" + ", ".join(f"CASE WHEN {R.sql_score('t', p)} > 0 THEN {R.quoted(n)} END" for n, p in R.GRADE_HINTS) + "], lambda x: x IS NOT NULL) AS hints FROM c")
+@texts_query(_LESSONS, "documents", f"WITH c AS (SELECT qid, t, " + ", ".join(f"CAST({c} AS BIGINT) AS {s}" for s, c in _COUNTS.items()) + f" FROM (SELECT qid, lower(q) AS t FROM {values(_LESSONS)})) SELECT qid, coalesce(CASE WHEN contains(t, 'chương') THEN {R.sql_first_rule('t', R.CHAPTERS, None)} END, CASE WHEN {_SCIENCE_TOP} > 3 THEN CASE " + " ".join(f"WHEN {s} = {_SCIENCE_TOP} THEN '{s}'" for s, _ in R.SCIENCE) + f" END END, 'unknown') AS branch, {R.sql_first_rule('t', R.HISTORY_OR_GEOGRAPHY, None)} AS side, list_filter([" + ", ".join(f"CASE WHEN {R.sql_score('t', p)} > 0 THEN {R.quoted(n)} END" for n, p in R.GRADE_HINTS) + "], lambda x: x IS NOT NULL) AS hints FROM c")
 def branch_detect(rows):
     """The science branch (by a chapter's title, else by words that occur more than three times),
     history or geography, and the grades that words hint at."""
@@ -337,7 +336,7 @@ def branch_detect(rows):
     names = [s for s, _ in R.SCIENCE]
     best = F.greatest(*names)
     by_words = F.when(best > 3, F.coalesce(*(F.when(F.col(s) == best, F.lit(s)) for s in names)))
-    chapter = F.when(F.contains(t, F.lit("chương")), R.first_rule(t, _CHAPTERS, None))
+    chapter = F.when(F.contains(t, F.lit("chương")), R.first_rule(t, R.CHAPTERS, None))
     hints = F.filter(F.array(*(F.when(R.score(t, p) > 0, F.lit(n)) for n, p in R.GRADE_HINTS)), lambda x: x.isNotNull())
     return rows.select("qid", F.coalesce(chapter, by_words, F.lit("unknown")).alias("branch"), R.first_rule(t, R.HISTORY_OR_GEOGRAPHY, None).alias("side"), hints.alias("hints"))
 

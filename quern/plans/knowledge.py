@@ -66,7 +66,7 @@ def optional_filters(spark, d):
 
 _WORK = "w AS (SELECT *, regexp_extract(title, '^[^ ]+ [^ ]+ [^ ]+') AS work_name FROM kb)"
 _ON = "(a.s IS NULL OR a.s = w.series) AND (contains(lower(name), lower(work_name)) OR contains(lower(work_name), lower(name)) OR contains(lower(title), lower(name)) OR contains(lower(name), lower(title)))"
-_CONTAINED = "SELECT qid, id, rank FROM (SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN contains(lower(name), lower(work_name)) THEN 0 ELSE 1 END, length(work_name) DESC, id) AS INTEGER) AS rank FROM w JOIN {a} a ON {on} WHERE id % 3 = {kind}) WHERE rank <= 2"
+_CONTAINED = "SELECT qid, id, rank FROM (SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN contains(lower(name), lower(work_name)) THEN 0 ELSE 1 END, length(work_name) DESC, id) AS INTEGER) AS rank FROM w JOIN {a} a ON {on} WHERE {of}) WHERE rank <= 2"
 _WANT = f"a AS (SELECT vec_id AS qid, v AS qv, label AS g, label AS grade, lower(substr(title, 1, 14)) AS name, CASE WHEN vec_id % 4 = 1 THEN 'KNTT' END AS s FROM e LEFT JOIN kb ON id = vec_id WHERE vec_id % 50 = 0)"
 
 
@@ -81,17 +81,17 @@ def wanted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return retrieval.few(q).join(titles, "qid", "left").select("qid", "qvec", "grade", F.col("grade").alias("g"), "name", F.when(F.col("qid") % 4 == 1, "KNTT").alias("s")), points
 
 
-@query(f"WITH {_Q}, {_KB}, {_WORK}, {_WANT} {_CONTAINED.format(a='a', on=_ON, kind=0)}")
+@query(f"WITH {_Q}, {_KB}, {_WORK}, {_WANT} {_CONTAINED.format(a='a', on=_ON, of='true')}")
 def literature_lookup(spark, d):
     """Works whose name or title holds the question or stands in it; two each."""
-    return lookup.contained(works(spark, d).where("id % 3 = 0"), wanted(spark, d)[0])
+    return lookup.contained(works(spark, d), wanted(spark, d)[0])
 
 
 _EXACT = "SELECT qid, id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN title ILIKE name THEN 0 ELSE 1 END, grade, id) AS INTEGER) AS rank FROM (SELECT *, min(tier) OVER (PARTITION BY qid) AS m FROM (SELECT a.qid, a.name, w.id, w.title, w.grade, CASE WHEN (g IS NULL OR g = w.grade) AND (s IS NULL OR s = series) THEN 0 ELSE 1 END AS tier FROM w JOIN {a} a ON title ILIKE '%' || name || '%')) WHERE tier = m) WHERE rank <= 5"
 
 
 @query(
-    f"WITH {_Q}, {_KB}, {_WORK}, {_WANT}, t0 AS ({_CONTAINED.format(a='a', on=_ON, kind=0)}), a1 AS (SELECT * FROM a WHERE qid NOT IN (SELECT qid FROM t0)), t1 AS ({_CONTAINED.format(a='a1', on=_ON, kind=1)}), a2 AS (SELECT * FROM a1 WHERE qid NOT IN (SELECT qid FROM t1)), t2 AS ({_EXACT.format(a='a2')}), a3 AS (SELECT * FROM a2 WHERE qid NOT IN (SELECT qid FROM t2)), "
+    f"WITH {_Q}, {_KB}, {_WORK}, {_WANT}, t0 AS ({_CONTAINED.format(a='a', on=_ON, of='id % 3 = 0')}), a1 AS (SELECT * FROM a WHERE qid NOT IN (SELECT qid FROM t0)), t1 AS ({_CONTAINED.format(a='a1', on=_ON, of='id % 3 = 1')}), a2 AS (SELECT * FROM a1 WHERE qid NOT IN (SELECT qid FROM t1)), t2 AS ({_EXACT.format(a='a2')}), a3 AS (SELECT * FROM a2 WHERE qid NOT IN (SELECT qid FROM t2)), "
     f"t3 AS (SELECT qid, vec_id AS id, rank FROM (SELECT qid, vec_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT qid, vec_id, round(list_cosine_similarity(v, qv), 6) AS score FROM e JOIN a3 ON {_BAND.format(lo=1)})) WHERE rank <= 3) "
     "SELECT *, 0 AS tier FROM t0 UNION ALL SELECT *, 1 FROM t1 UNION ALL SELECT *, 2 FROM t2 UNION ALL SELECT *, 3 FROM t3"
 )
@@ -103,7 +103,7 @@ def literature_chain(spark, d):
     return lookup.chain(asks, tiers)
 
 
-_OUT = "o AS (SELECT p_partkey AS id, p_brand || ' ' || p_type AS kind, p_size % 9 + 1 AS grade FROM part WHERE p_partkey % 7 = 1), m AS (SELECT p_partkey AS id, p_brand || ' ' || p_type AS kind, p_size % 9 + 1 AS grade FROM part WHERE p_partkey % 7 = 3 AND p_size > 10), a AS (SELECT p_partkey AS qid, p_brand || ' ' || p_type AS kind, p_size % 9 + 1 AS g FROM part WHERE p_partkey % 50 = 0)"
+_OUT = "o AS (SELECT p_partkey AS id, p_brand || ' ' || p_type AS kind, p_size % 9 + 1 AS grade FROM part WHERE p_partkey % 7 < 4), m AS (SELECT p_partkey AS id, p_brand || ' ' || p_type AS kind, p_size % 9 + 1 AS grade FROM part WHERE p_partkey % 7 >= 4), a AS (SELECT p_partkey AS qid, p_brand || ' ' || p_type AS kind, p_size % 9 + 1 AS g FROM part WHERE p_partkey % 50 = 0)"
 _NEXT = "SELECT qid, id, rank FROM (SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY abs(grade - g), id) AS INTEGER) AS rank FROM {rows} r JOIN {a} a ON {on}) WHERE rank <= {k}"
 
 
@@ -115,7 +115,7 @@ def outline_chain(spark, d):
     """The outline of a kind and grade, else of the nearest grade, else samples of the kind, else any."""
     kinds = lambda df: df.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_type").alias("kind"), (F.col("p_size") % 9 + 1).alias("grade"))
     parts = table(spark, d, "part")
-    outlines, samples = kinds(parts.where("p_partkey % 7 = 1")), kinds(parts.where("p_partkey % 7 = 3 and p_size > 10"))
+    outlines, samples = kinds(parts.where("p_partkey % 7 < 4")), kinds(parts.where("p_partkey % 7 >= 4"))
     asks = kinds(parts.where("p_partkey % 50 = 0")).withColumnsRenamed({"id": "qid", "grade": "g"})
     same = lambda a: lookup.nearest(outlines.withColumn("_g", F.col("grade")), a, 1).join(asks.select("qid", "g"), "qid").join(outlines.select("id", "grade"), "id").where("grade = g")
     return lookup.chain(asks, [same, lambda a: lookup.nearest(outlines, a, 1), lambda a: lookup.nearest(samples, a, 2), lambda a: lookup.nearest_any(samples, a, 2)])
