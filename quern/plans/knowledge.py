@@ -103,7 +103,7 @@ def literature_chain(spark, d):
     return lookup.chain(asks, tiers)
 
 
-_OUT = "o AS (SELECT p_partkey AS id, p_brand || ' ' || p_type AS kind, p_size % 9 + 1 AS grade FROM part WHERE p_partkey % 7 < 4), m AS (SELECT p_partkey AS id, p_brand || ' ' || p_type AS kind, p_size % 9 + 1 AS grade FROM part WHERE p_partkey % 7 >= 4), a AS (SELECT p_partkey AS qid, p_brand || ' ' || p_type AS kind, p_size % 9 + 1 AS g FROM part WHERE p_partkey % 50 = 0)"
+_OUT = "o AS (SELECT p_partkey AS id, p_brand || ' ' || p_type AS kind, p_size % 9 + 1 AS grade FROM part WHERE p_brand < 'Brand#3'), m AS (SELECT p_partkey AS id, p_brand || ' ' || p_type AS kind, p_size % 9 + 1 AS grade FROM part WHERE p_brand >= 'Brand#3'), a AS (SELECT p_partkey AS qid, CASE WHEN p_partkey % 200 > 0 THEN p_brand || ' ' || p_type END AS kind, (p_size + 4) % 9 + 1 AS g FROM part WHERE p_partkey % 50 = 0)"
 _NEXT = "SELECT qid, id, rank FROM (SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY abs(grade - g), id) AS INTEGER) AS rank FROM {rows} r JOIN {a} a ON {on}) WHERE rank <= {k}"
 
 
@@ -112,11 +112,12 @@ _NEXT = "SELECT qid, id, rank FROM (SELECT qid, id, CAST(row_number() OVER (PART
     "SELECT *, 0 AS tier FROM t0 UNION ALL SELECT *, 1 FROM t1 UNION ALL SELECT *, 2 FROM t2 UNION ALL SELECT *, 3 FROM t3"
 )
 def outline_chain(spark, d):
-    """The outline of a kind and grade, else of the nearest grade, else samples of the kind, else any."""
+    """The outline of a kind and grade, else of the nearest grade, else samples of the kind, else any.
+    Brands that sort before #3 have outlines, the others samples; each fourth question names no kind."""
     kinds = lambda df: df.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_type").alias("kind"), (F.col("p_size") % 9 + 1).alias("grade"))
     parts = table(spark, d, "part")
-    outlines, samples = kinds(parts.where("p_partkey % 7 < 4")), kinds(parts.where("p_partkey % 7 >= 4"))
-    asks = kinds(parts.where("p_partkey % 50 = 0")).withColumnsRenamed({"id": "qid", "grade": "g"})
+    outlines, samples = kinds(parts.where("p_brand < 'Brand#3'")), kinds(parts.where("p_brand >= 'Brand#3'"))
+    asks = kinds(parts.where("p_partkey % 50 = 0").withColumn("p_size", F.col("p_size") + 4)).withColumnsRenamed({"id": "qid", "grade": "g"}).withColumn("kind", F.when(F.col("qid") % 200 > 0, F.col("kind")))
     same = lambda a: lookup.nearest(outlines.withColumn("_g", F.col("grade")), a, 1).join(asks.select("qid", "g"), "qid").join(outlines.select("id", "grade"), "id").where("grade = g")
     return lookup.chain(asks, [same, lambda a: lookup.nearest(outlines, a, 1), lambda a: lookup.nearest(samples, a, 2), lambda a: lookup.nearest_any(samples, a, 2)])
 
