@@ -32,8 +32,9 @@ BLOCK = 2048
 #: Vectors that the axes are fitted on; they decide the speed, never the result.
 PCA_SAMPLE = 5_000
 STEPS = (8, 16, 32)
-#: What rounding may add to the difference of two angles.
+#: What rounding, and what tells equal angles apart, may add to the difference of two angles.
 SLACK = 1e-6
+TIES = SLACK / 4
 
 
 def axes(vectors: np.ndarray) -> np.ndarray:
@@ -103,8 +104,10 @@ def near_dedup(table: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
         if len(mine) >= dim:
             turns[dim] = axes(np.array(mine.to_pylist(), np.float64))
 
-    # Blocks are ranges of the angle; a pair's angle is no less than the difference of theirs.
-    ranged = written(reps.withColumn("t", angle(turns)).repartitionByRange(max(1, -(-n // block)), "label", "dim", "t").withColumn("own", F.spark_partition_id()), "vectors-by-angle")
+    # Blocks are ranges of the angle; a pair's angle is no less than the difference of theirs. Equal
+    # angles (all of a dimension without axes) are told apart, so that they fill blocks as well.
+    apart = F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) * (TIES / (1 << 20))
+    ranged = written(reps.withColumn("t", angle(turns) + apart).repartitionByRange(max(1, -(-n // block)), "label", "dim", "t").withColumn("own", F.spark_partition_id()), "vectors-by-angle")
     bounds = written(ranged.groupBy("label", "dim", "own").agg(F.min("t").alias("first"), F.max("t").alias("last")), "blocks")
     other = bounds.select("label", "dim", F.col("own").alias("hi"), F.col("first").alias("next"))
     pairs = bounds.withColumnRenamed("own", "lo").join(small(other, other.count(), 100_000), ["label", "dim"]).where((F.col("lo") <= F.col("hi")) & (F.col("next") - F.col("last") <= math.acos(threshold) + SLACK)).select("label", "dim", "lo", "hi")

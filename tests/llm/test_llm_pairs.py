@@ -149,6 +149,22 @@ def test_neardup_is_brute_force(spark, monkeypatch):
     assert neardup.near_dedup(df.limit(0)).count() == 0
 
 
+def test_equal_angles_fill_blocks(spark, monkeypatch):
+    """A dimension with fewer vectors than components has no axes; its vectors still make blocks."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 64))
+    x[30:40] = x[:10] + 0.05 * rng.normal(size=(10, 64))
+    rows = [(k, [float(v) for v in e], 0) for k, e in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    tables = {}
+    keep = neardup.written
+    monkeypatch.setattr(neardup, "written", lambda t, name: tables.setdefault(name, keep(t, name)))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.near_dedup(df, block=10).collect()}
+    assert got == {k: (int(k < 10 or 30 <= k < 40), k - 30 if 30 <= k < 40 else k) for k in range(60)}
+    held = [r["count"] for r in tables["vectors-by-angle"].groupBy("own").count().collect()]
+    assert len(held) >= 4 and max(held) <= 30
+
+
 def test_labels_and_words():
     assert list(arrays.labels(6, np.array([5, 4, 1]), np.array([4, 2, 0]))) == [0, 0, 2, 3, 2, 2]
     data = np.frombuffer(b" a bb\x0bccdd", np.uint8)
