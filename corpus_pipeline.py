@@ -23,7 +23,9 @@ def ready(spark: SparkSession) -> None:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language."""
+    """Documents that have a language. Null, empty and letterless texts go; repeated rows stay or go
+    together; a null id, language or source says nothing and drops nothing. Whole texts are read,
+    however long. An empty table stays empty; other columns stay, whatever their names."""
     ready(spark)
     return language.accepted(docs)
 
@@ -45,7 +47,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that stand anywhere else; those of nothing else go."""
+    """Documents without passages that stand anywhere else; those of nothing else go, and so do
+    texts of white space only. A null text stays null, a null id stays; repeated rows of
+    REPEAT_BYTES or more empty each other; a shorter text has nothing to lose. n_chars is counted
+    anew. An empty table stays empty; other columns stay, whatever their names."""
     ready(spark)
     left = suffixes.remove_repeats(docs, REPEAT_BYTES, REPEAT_GRAM)
     # by place: other columns may be called like these but for case
@@ -56,13 +61,17 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, twice at most. A null text has size 0, a null
+    source is one of its own, null and repeated ids are rows like others, ties at a source's last
+    block go by hash. An empty table stays empty; other columns stay, whatever their names."""
     ready(spark)
     return mixing.mixture(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and the training sequences that hold them."""
+    """Token pieces and the training sequences that hold them. A null or empty text is its end
+    token alone; longer documents than a sequence are cut, nothing is dropped; null and repeated
+    ids are documents like others. An empty table gives no rows; other columns are ignored."""
     ready(spark)
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
