@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.text import dot, norm
+from quern.sources.shared import stored
 
 #: Queries up to which the query side is broadcast.
 FEW = 20_000
@@ -83,8 +84,8 @@ def semantic_all(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
 
 def relaxed(queries: DataFrame, strict: DataFrame, loose) -> DataFrame:
     """strict hits; for queries without any, those of loose(queries), computed for them only. The
-    strict ones (a few rows for each query) are persisted, since both parts read them."""
-    strict = strict.persist()
+    strict ones (a few rows for each query) are stored, since both parts read them."""
+    strict = stored(strict, "strict")
     empty = queries.join(strict.select("qid").distinct(), "qid", "left_anti")
     return strict.withColumn("tier", F.lit(0)).unionByName(loose(empty).withColumn("tier", F.lit(1)))
 

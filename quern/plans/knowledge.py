@@ -12,6 +12,7 @@ from quern.operators import graph, lookup, postings, retrieval, route
 from quern.operators.crawl import SERIES
 from quern.plans.catalogue import _BAND, _NODES, _Q, _SAY, _TOP, ORACLE_SQL, QUERIES, nodes_edges, query, texts_query, values, vectors
 from quern.plans.curation import _EVAL, asked_all, collection_of, evaluated
+from quern.sources.shared import stored
 from quern.sources.tables import table
 
 _SERIES = "['KNTT', 'CTST', 'CD'][CAST({c} % 3 AS INTEGER) + 1]"
@@ -193,8 +194,8 @@ def subject_backfill(spark, d):
 def orchestrate(spark, d):
     """Every search by its route: readings through the tiers of literature, all else through the
     collections."""
-    # persisted, or filters by route would spell all rules out again
-    asked = asked_all(spark, d).persist()
+    # stored, or filters by route would spell all rules out again
+    asked = stored(asked_all(spark, d), "asked")
     about = retrieval.few(asked.select("qid", "subject", "route"))
     chain = QUERIES["literature_chain"](spark, d).join(about.where("route = 'reading'"), "qid")
     points = table(spark, d, "embeddings").select("vec_id", "embedding", "label", collection_of("vec_id").alias("source"))
