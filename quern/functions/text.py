@@ -84,6 +84,19 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def four_digits(c: Column) -> Column:
+    """A double of up to 1e9 with four digits, as its binary value rounds, halves to even digits (like
+    format of C and of SQL; Java's %.4f rounds its shortest decimal form). The value is cut into two
+    parts whose products with 10,000 are exact."""
+    size = F.abs(c)
+    high = size.cast("float").cast("double")
+    begin = F.floor(size * 1e4)
+    over = (high * 1e4 - begin - 0.5) + (size - high) * 1e4
+    n = begin + F.when((over > 0) | ((over == 0) & (begin % 2 == 1)), 1).otherwise(0)
+    digits = F.concat(F.when(F.startswith(c.cast("string"), F.lit("-")), "-").otherwise(""), F.floor(n / 10000).cast("string"), F.lit("."), F.lpad((n % 10000).cast("string"), 4, "0"))
+    return F.when(F.isnan(c), "nan").otherwise(digits)
+
+
 def norm(v: Column) -> Column:
     """A vector's length: worked out once for a row, before it meets others."""
     return F.sqrt(dot(v, v))

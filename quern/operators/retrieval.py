@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions.text import dot, norm
+from quern.operators import products
 from quern.sources.shared import stored
 
 #: Queries up to which the query side is broadcast.
@@ -31,16 +31,6 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = No
     return df.where(F.col("rank") <= k) if k else df
 
 
-def normed(queries: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both with the lengths of their vectors (qvec, embedding), for `similarity`."""
-    return queries.withColumn("_qn", norm(F.col("qvec"))), points.withColumn("_pn", norm(F.col("embedding")))
-
-
-def similarity() -> Column:
-    """The cosine of a pair of normed rows, in double precision."""
-    return F.round(dot(F.col("embedding"), F.col("qvec")) / (F.col("_pn") * F.col("_qn")), 6).alias("score")
-
-
 def semantic(queries: DataFrame, points: DataFrame, k: int, low: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """qid, vec_id, score, rank: the k nearest points of each query (qid, qvec, grade), equal in
     the columns `also` of both.
@@ -48,14 +38,12 @@ def semantic(queries: DataFrame, points: DataFrame, k: int, low: int | None = No
     With low, points whose label is within one of the grade, and not under low: the band is
     spelled out, so that the join is on equal labels. Without, points with labels up to the grade.
     """
-    queries, points = normed(queries, points)
     if low is None:
-        pairs = theta(points, queries, F.col("label") <= F.col("grade"))
+        found = products.best(queries, points, k, also, upto=True)
     else:
         wide = queries.withColumn("label", F.explode(F.sequence(F.greatest(F.lit(low), F.col("grade") - 1), F.greatest(F.lit(low), F.col("grade") + 1)))).where(F.col("label") <= F.col("grade") + 1)
-        pairs = points.join(few(wide), ["label", *also])
-    scored = pairs.select("qid", "vec_id", similarity())
-    return ranked(scored, ["qid"], [F.desc("score"), F.col("vec_id")], k)
+        found = products.best(wide, points, k, ("label", *also))
+    return ranked(found, ["qid"], [F.desc("score"), F.col("vec_id")], k)
 
 
 def theta(rows: DataFrame, asked: DataFrame, on: Column | None = None) -> DataFrame:
@@ -73,13 +61,8 @@ def theta(rows: DataFrame, asked: DataFrame, on: Column | None = None) -> DataFr
 
 
 def semantic_all(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """qid, vec_id, score, rank over all points: a stated set of queries against every row. Up
-    to FEW queries are broadcast; more meet the points in blocks, salted so that a block's
-    points spread over all tasks."""
-    queries, points = normed(queries.select("qid", "qvec"), points)
-    pairs = theta(points, queries)
-    scored = pairs.select("qid", "vec_id", similarity())
-    return ranked(scored, ["qid"], [F.desc("score"), F.col("vec_id")], k)
+    """qid, vec_id, score, rank over all points: a stated set of queries against every row."""
+    return ranked(products.best(queries, points, k), ["qid"], [F.desc("score"), F.col("vec_id")], k)
 
 
 def relaxed(queries: DataFrame, strict: DataFrame, loose) -> DataFrame:

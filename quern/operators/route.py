@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import rules as R
-from quern.operators.retrieval import few, normed, ranked, similarity
+from quern.operators import products
+from quern.operators.retrieval import ranked
 from quern.sources.shared import stored
 
 # Intents that need no search, and those that are about literature whatever the
@@ -92,15 +93,16 @@ def retrieve(routed: DataFrame, points: DataFrame) -> DataFrame:
     """
     spark = points.sparkSession
     # stored: a few rows for each question, that several steps read
-    routed, points = normed(stored(routed, "routed"), points)
+    routed = stored(routed, "routed")
     dim = F.broadcast(spark.createDataFrame(COLLECTIONS, "source string, k int, low int"))
     wide = routed.join(dim, (F.col("route") == F.col("source")) | (F.col("route") == "global"))
-    asked = wide.select("qid", "qvec", "_qn", "grade", "source", "low", F.when(F.col("route") == "global", GLOBAL_HITS).otherwise(F.col("k")).alias("k"))
+    asked = wide.select("qid", "qvec", "grade", "source", "low", F.when(F.col("route") == "global", GLOBAL_HITS).otherwise(F.col("k")).alias("k"))
     begin = F.when(F.col("low").isNull(), F.lit(0)).otherwise(F.greatest("low", F.col("grade") - 1))
     end = F.when(F.col("low").isNull(), F.col("grade")).otherwise(F.col("grade") + 1)
     band = asked.withColumn("_a", begin.cast("int")).withColumn("_z", end.cast("int")).where("_a <= _z").withColumn("label", F.explode(F.sequence("_a", "_z")))
-    search = lambda on, side: ranked(points.join(few(side), on).select("qid", "source", "k", "vec_id", similarity()), ["qid", "source"], [F.desc("score"), F.col("vec_id")]).where("rank <= k")
-    strict = stored(search(["source", "label"], band), "strict")
+    most = max(GLOBAL_HITS, *(n for _, n, _ in COLLECTIONS))
+    search = lambda on, side: ranked(products.best(side, points, most, on, ("source", "k")), ["qid", "source"], [F.desc("score"), F.col("vec_id")], most).where("rank <= k")
+    strict = stored(search(("source", "label"), band), "strict")
     empty = asked.join(strict.select("qid", "source").distinct(), ["qid", "source"], "left_anti")
-    both = strict.unionByName(search(["source"], empty)).withColumnRenamed("rank", "r")
+    both = strict.unionByName(search(("source",), empty)).withColumnRenamed("rank", "r")
     return ranked(both, ["qid"], [F.desc("score"), F.col("source"), F.col("r")], MERGED).select("qid", "source", "vec_id", "score", "rank")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import rules as R
 from quern.functions import text as X
-from quern.operators import blocks, graph, ingest, retrieval
+from quern.operators import blocks, graph, ingest, products, retrieval
 from quern.sources.tables import table
 
 QUERIES: dict = {}
@@ -126,16 +126,16 @@ def semantic_hydrate(spark, d):
 @query(f"WITH {_Q}, t AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid, src ORDER BY score DESC, vec_id) AS INTEGER) AS r FROM (SELECT qid, vec_id, vec_id % 5 AS src, round(list_cosine_similarity(v, qv), 6) AS score FROM e JOIN q ON {_BAND.format(lo=1)})), m AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, src, r) AS INTEGER) AS rank FROM t WHERE r <= 3) SELECT qid, src, vec_id, score, rank FROM m WHERE rank <= 3")
 def global_merge_top3(spark, d):
     """Five collections, three hits of each, the best three of all."""
-    q, points = retrieval.normed(*vectors(spark, d))
-    wide = q.withColumn("label", F.explode(F.sequence(F.greatest(F.lit(1), F.col("grade") - 1), F.greatest(F.lit(1), F.col("grade") + 1)))).where("label <= grade + 1")
-    scored = points.join(retrieval.few(wide), "label").select("qid", (F.col("vec_id") % 5).alias("src"), "vec_id", retrieval.similarity())
+    q, points = vectors(spark, d)
+    wide = q.withColumn("label", F.explode(F.sequence(F.greatest(F.lit(1), F.col("grade") - 1), F.greatest(F.lit(1), F.col("grade") + 1)))).where("label <= grade + 1").withColumn("src", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
+    scored = products.best(wide, points.withColumn("src", F.col("vec_id") % 5), 3, ("label", "src"), ("src",))
     best = retrieval.ranked(scored, ["qid", "src"], [F.desc("score"), F.col("vec_id")], 3).withColumnRenamed("rank", "r")
     return retrieval.ranked(best, ["qid"], [F.desc("score"), F.col("src"), F.col("r")], 3).select("qid", "src", "vec_id", "score", "rank")
 
 
 @query(f"WITH {_Q}, t AS ({_TOP.format(on=_BAND.format(lo=1), k=5)}) SELECT qid, count(*) AS n, string_agg('- ' || rank || ' [' || vec_id || ']: ' || format('{{:.4f}}', score), chr(10) ORDER BY rank) AS context FROM t GROUP BY qid")
 def context_format(spark, d):
-    return retrieval.context(retrieval.semantic(*vectors(spark, d), 5, low=1), F.format_string("- %d [%d]: %.4f", "rank", "vec_id", "score"))
+    return retrieval.context(retrieval.semantic(*vectors(spark, d), 5, low=1), F.format_string("- %d [%d]: %s", "rank", "vec_id", X.four_digits(F.col("score"))))
 
 
 @query(f"WITH {_Q}, a AS ({_TOP.format(on=_BAND.format(lo=1), k=5)}), b AS ({_TOP.format(on='label <= grade', k=5)}) SELECT qid, vec_id AS id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY qid, vec_id")
