@@ -7,9 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.operators import trigrams
-from quern.operators.retrieval import first_tier, ranked, theta
+from quern.operators.retrieval import few, first_tier, ranked, theta
 from quern.sources.shared import stored
 
+#: Substrings of questions that are broadcast, and the length by which questions are looked up.
+PIECES, START = 2_000_000, 8
+
 
 def fits(asked: str, own: str) -> Column:
     """An optional equality: nothing asked (null, 0 or an empty name) is no filter."""
@@ -44,14 +47,54 @@ def of_own_grade(events: DataFrame, asked: DataFrame) -> DataFrame:
     return first_tier(hits.withColumn("tier", F.when((F.col("_n") == 1) | (F.col("grade") == F.col("g")), 0).otherwise(1)), "qid").select("qid", "id")
 
 
+def pieces(text: Column, most: int) -> Column:
+    """The different substrings of a text of up to `most` characters, the empty one among them."""
+    n = F.length(text)
+    sizes = F.sequence(F.lit(0), F.least(n, F.lit(most)))
+    return F.array_distinct(F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(text, i, k)))))
+
+
+def runs(text: Column, sizes: Column) -> Column:
+    """The different substrings of a text that have one of the given lengths."""
+    n = F.length(text)
+    return F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda k: k <= n), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(text, i, k)))))
+
+
 def contained(works: DataFrame, asked: DataFrame, k: int = 2) -> DataFrame:
     """qid, id, rank of works (id, work_name, title, series) whose name or title stands in the
-    asked name, or holds it, case aside: names inside the question first, long ones first."""
-    q, name, title = F.lower("name"), F.lower("work_name"), F.lower("title")
-    inside = F.contains(q, name)
-    on = fits("s", "series") & (inside | F.contains(name, q) | F.contains(title, q) | F.contains(q, title))
-    hits = theta(works, asked, on).withColumn("_in", F.when(inside, 0).otherwise(1))
-    return ranked(hits, ["qid"], [F.col("_in"), F.length("work_name").desc(), F.col("id")], k).select("qid", "id", "rank")
+    asked name, or holds it, case aside: names inside the question first, long ones first.
+
+    No work is compared with each question: substrings of the questions are looked up among the
+    works' names and titles, and the questions' starts among the works' substrings, by equal keys.
+    Works that differ only in id are ranked before; questions that ask for the same are one.
+    """
+    works = works.select("id", "work_name", "title", "series")
+    q = asked.select("name", "s").where("name is not null").distinct().withColumn("_q", F.lower("name"))
+    q = stored(q.withColumn("_n", F.monotonically_increasing_id()), "names")
+    # of works alike the first k: the others would come after them
+    spread = int(works.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    alike = stored(ranked(works, ["work_name", "title", "series"], [F.col("id")], k).drop("rank").repartition(spread), "works")
+    own = ranked(alike, ["work_name", "series"], [F.col("id")], k).drop("rank").select("*", F.lower("work_name").alias("_p"))
+    most = alike.agg(F.max(F.greatest(F.length(F.lower("work_name")), F.length(F.lower("title"))))).first()[0] or 0
+    parts = q.select("_n", F.explode(pieces(F.col("_q"), most)).alias("_p"))
+    begin = F.substring("_q", 1, START).alias("_p")
+    starts = few(q.select("_n", "_q", begin), PIECES)
+    lengths = q.select(F.length(begin).alias("n")).agg(F.array_sort(F.collect_set("n")).alias("_l"))
+    name, title, none = F.lower("work_name"), F.lower("title"), F.array().cast("array<string>")
+    held = lambda c: F.coalesce(runs(c, F.col("_l")), none)
+    both = F.when(F.contains(title, name), held(title)).otherwise(F.array_union(held(title), held(name)))
+    long = alike.crossJoin(F.broadcast(lengths)).select("id", "work_name", "title", "series", F.explode(both).alias("_p"))
+    long = long.join(starts, "_p").where(F.coalesce(F.contains(title, F.col("_q")), F.lit(False)) | F.contains(name, F.col("_q")))
+    row = ["id", "work_name", "title", "series"]
+    parts = few(parts, PIECES)
+    hits = own.join(parts, "_p").select("_n", *row).unionByName(alike.withColumn("_p", F.lower("title")).join(parts, "_p").select("_n", *row)).unionByName(long.select("_n", *row))
+    hits = hits.join(few(q.select("_n", "_q", "s"), PIECES), "_n").where(fits("s", "series")).withColumn("_in", F.when(F.contains("_q", F.lower("work_name")), 0).otherwise(1))
+    order = [F.col("_in"), F.length("work_name").desc(), F.col("id")]
+    # a work is found in up to three ways: three times as many are ranked before the same ones are put together
+    hits = ranked(hits.select("_n", *row, "_in"), ["_n"], order, 3 * k).drop("rank").distinct()
+    best = ranked(hits, ["_n"], order, k).select("_n", "id", "rank")
+    best = best.join(q.select("_n", "name", F.col("s").alias("_s")), "_n")
+    return asked.select("qid", "name", "s").join(best, (asked["name"] == best["name"]) & F.equal_null(asked["s"], best["_s"])).select("qid", "id", "rank")
 
 
 def chain(asked: DataFrame, tiers: list) -> DataFrame:
