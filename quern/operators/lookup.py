@@ -111,13 +111,15 @@ def chain(asked: DataFrame, tiers: list) -> DataFrame:
 
 
 def nearest(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """qid, id, rank: the k rows (kind, id, grade) of the asked kind that are nearest to grade g."""
-    pairs = rows.join(asked.select("qid", "kind", "g"), "kind")
+    """qid, id, rank: the k rows (kind, id, grade) of the asked kind that are nearest to grade g: of each
+    kind and grade its first k rows, then those."""
+    first = ranked(rows.join(few(asked.select("kind").distinct()), "kind", "left_semi"), ["kind", "grade"], [F.col("id")], k).select("kind", "id", "grade")
+    pairs = first.join(few(asked.select("qid", "kind", "g")), "kind")
     return ranked(pairs, ["qid"], [F.abs(F.col("grade") - F.col("g")), F.col("id")], k).select("qid", "id", "rank")
 
 
 def nearest_any(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """The same whatever the kind: of each grade its first k rows, then those nearest to g."""
-    few = ranked(rows, ["grade"], [F.col("id")], k).select("id", "grade")
-    pairs = theta(asked.select("qid", "g"), few)
+    first = ranked(rows, ["grade"], [F.col("id")], k).select("id", "grade")
+    pairs = theta(asked.select("qid", "g"), first)
     return ranked(pairs, ["qid"], [F.abs(F.col("grade") - F.col("g")), F.col("id")], k).select("qid", "id", "rank")
