@@ -66,12 +66,12 @@ def index_recall(spark, d):
 # Words ---------------------------------------------------------------------------------------------
 @query("WITH q AS (SELECT conv_id AS qid, regexp_extract_all(lower(text), '[a-z]{4,}') AS w FROM conversations WHERE turn = 0), p AS (SELECT DISTINCT qid, unnest([w[1], w[2]]) AS w FROM q), a AS (SELECT * FROM p WHERE w IS NOT NULL), t AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents) GROUP BY 1, 2), s AS (SELECT qid, doc_id, count(*) AS n, round(sum(1 + ln(tf)), 6) AS score FROM a JOIN t USING (w) GROUP BY 1, 2), m AS (SELECT qid, count(*) AS n FROM a GROUP BY 1) SELECT qid, doc_id, score, rank FROM (SELECT s.*, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s JOIN m USING (qid, n)) WHERE rank <= 5")
 def lexical_opening(spark, d):
-    """Texts with the words that each conversation opens with (two words are the question), in an
-    index of small buckets, most of which are never opened."""
+    """Texts with the words that each conversation opens with (two words are the question), in one
+    pass over the index: there are about as many questions as texts."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), 0)
-    index = postings.built(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t")), words, bucket=64)
+    index = postings.built(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t")), words)
     first = table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("qid"), F.explode(F.slice(words("text"), 1, 2)).alias("w"))
-    return postings.all_words(first, index, 5).withColumnRenamed("id", "doc_id")
+    return postings.many(first, index, 5).withColumnRenamed("id", "doc_id")
 
 
 # Duplicates ----------------------------------------------------------------------------------------
