@@ -41,9 +41,10 @@ def built(texts: DataFrame, words: Callable[[str], Column], bucket: int = BUCKET
     texts = texts.where("id is not null").select("id", "t")
     total = texts.count()
     n = max(1, -(-total // bucket))
-    # a task's share is about BUCKET texts however many there are; left to itself Spark deals all texts to as many tasks as it has cores
+    placed = texts.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    # a task's share is one bucket however many texts there are; left to itself Spark deals all texts to as many tasks as it has cores
     parts = max(-(-total // BUCKET), min(n, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    placed = texts.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).repartition(parts, "bucket")
+    placed = placed.repartitionById(n, "bucket") if bucket >= BUCKET else placed.repartition(parts, "bucket")
     counts = placed.select("bucket", "id", F.explode(words("t")).alias("w")).where("w is not null").groupBy("bucket", "id", "w").agg(F.count("*").alias("tf"))
     blocks = counts.groupBy("w", "bucket").agg(F.array_sort(F.collect_list(F.struct("id", "tf"))).alias("x"))
     blocks = blocks.select("w", "bucket", F.col("x.id").alias("ids"), F.col("x.tf").alias("tfs"), F.array_max("x.tf").alias("most"))
