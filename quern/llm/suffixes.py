@@ -206,10 +206,12 @@ def marked(docs: DataFrame, n: int = LENGTH, gram: int = GRAM) -> DataFrame:
     two = F.when(alike, F.array(F.struct((F.col("n") - 1).alias("copies"), *at), F.struct(F.lit(1).cast("long").alias("copies"), *(F.col(f"{c}2").alias(c) for c in at)))).otherwise(F.array(F.struct(F.col("n").alias("copies"), *at)))
     both = one.select("h", "ctx", "hot", F.inline(two))
     by_text = written(both.groupBy("id", "t1").agg(F.collect_list(F.struct("h", "ctx", "hot", "copies", "place")).alias("wanted")), "wanted")
-    any_hot = members.where("hot").limit(1).count() > 0
     discard(spark)
     # Texts meet what concerns them in a shuffle, however little that is: plans don't change with size.
-    parts_of = keys.join(by_text.hint("merge"), ["id", "t1"]).select("text", "wanted").mapInArrow(lean(lambda it: extract(it, n, gram)), "h long, ctx long, hot boolean, copies long, lead binary, reach int, more int, body binary")
+    # Stored, since the range sort's sample, the sort and the hot anchors read it: texts are shuffled once.
+    parts_of = written(keys.join(by_text.hint("merge"), ["id", "t1"]).select("text", "wanted").mapInArrow(lean(lambda it: extract(it, n, gram)), "h long, ctx long, hot boolean, copies long, lead binary, reach int, more int, body binary"), "parts")
+    discard(spark, by_text)
+    any_hot = parts_of.where("hot").limit(1).count() > 0
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["h"]):
@@ -247,7 +249,7 @@ def marked(docs: DataFrame, n: int = LENGTH, gram: int = GRAM) -> DataFrame:
         twice = each.groupBy("h", "f").agg(F.sum("copies").alias("n")).where("n > 1")
         found = found.unionByName(each.join(twice, ["h", "f"], "left_semi").select("h", "ctx", F.col("d").alias("first"), F.col("d").alias("last")))
     found = written(found, "matches")
-    discard(spark, by_text)
+    discard(spark, parts_of, *([each] if any_hot else []))
     # What holds for a context holds wherever it stands.
     spans = members.join(found.hint("shuffle_hash"), ["h", "ctx"]).select("id", "t1", (F.shiftright("place", 32) - F.col("last")).cast("int").alias("s"), (F.shiftright("place", 32) - F.col("first") + n).cast("int").alias("e"))
     spans = spans.groupBy("id", "t1").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))

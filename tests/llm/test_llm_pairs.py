@@ -103,6 +103,16 @@ def test_repeats_are_brute_force(spark, monkeypatch, hot):
     assert {r[5] for r in want} > {0, 1}
 
 
+def test_texts_meet_their_places_once(spark, monkeypatch):
+    """Also where anchors are hot: else a larger input would shuffle its texts twice."""
+    plans, write = [], suffixes.written
+    monkeypatch.setattr(suffixes, "HOT", 3)
+    monkeypatch.setattr(suffixes, "written", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, name))
+    suffixes.marked(documents(spark, repeating_texts()), 40, 12)
+    assert "hot-strings" in dict(plans)
+    assert [name for name, plan in plans if "Join" in plan and "wanted" in plan] == ["parts"]
+
+
 def test_repeats_of_rows_alike_and_null_ids(spark):
     df = documents(spark, ["a passage that stands in two rows", "alone", None])
     twice = df.union(df).union(df.selectExpr("CAST(NULL AS BIGINT)", "text", "lang", "source", "n_chars"))
