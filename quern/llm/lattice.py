@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, U, Prefix, lean, mix, raw, slices, words
-from .common import chosen, written
+from .common import chosen, discard, relieve, written
 
 #: Bytes of text of a chunk; a task holds one with its words.
 CHUNK_BYTES = 24 << 20
@@ -216,7 +216,7 @@ def train_counts(docs: DataFrame, k: int) -> DataFrame:
         ends = np.zeros(k, np.int64)
         for b in gathered(batches, 4_000):
             train, cls = b.column(1).to_numpy(zero_copy_only=False).astype(bool), b.column(2).to_numpy()
-            for i, j, data, off in slices(b.column(0), 4 << 20):
+            for i, j, data, off in slices(b.column(0)):
                 low, start, end, h1, _, at = tokens(data, off)
                 own = train[i:j]
                 ends += np.bincount(cls[i:j], own, k).astype(np.int64)
@@ -270,6 +270,7 @@ def train_pieces(counts: DataFrame, pieces: list[bytes], k: int, rounds: int = E
 def lm_score(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, rounds: int = EM_ROUNDS, declared: str = "lang") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     kinds = {"doc_id": "long", "text": "string"} | ({declared: "string"} if declared in docs.columns else {})
+    relieve(docs.sparkSession)
     docs = chosen(docs, **kinds).withColumnsRenamed({declared: "lang"})
     docs, priors = classes(docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string")))
     k, pieces = len(priors), vocabulary(path)
@@ -279,7 +280,9 @@ def lm_score(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, rounds:
     t = counts.agg(F.sum(every), F.count_if(every > 0), *(x for c in each for x in (F.sum(c), F.count_if(c > 0), F.count_if(c == 1), F.count_if(c == 2)))).first()
     total, types, *own = (int(x or 0) for x in t)
     totals, kinds_of, ones, twos = (own[i::4] for i in range(4))
+    discard(docs.sparkSession)
     weight = train_pieces(counts, pieces, k, rounds)
+    discard(docs.sparkSession)
     discount = [min(0.95, max(0.05, a / (a + 2 * b))) if a + b else 0.5 for a, b in zip(ones, twos, strict=True)]
     share = [d * v / n if n else 1.0 for d, v, n in zip(discount, kinds_of, totals, strict=True)]
 

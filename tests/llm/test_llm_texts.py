@@ -5,15 +5,17 @@ import html
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import language, lattice, media, mixing, packing, pages, quality
+from quern.llm import arrays, language, lattice, media, mixing, packing, pages, quality
 
 from .helpers import ODD_TEXTS, SPACE, clashing, documents, word_list
 
@@ -97,6 +99,34 @@ def test_lm_scores(spark, small_dir):
     assert lattice.lm_score(df.limit(0), path).count() == 0
 
 
+def test_words_are_counted_in_little_memory():
+    """A worker counts the words of few bytes at once, since others and the heap stand beside it."""
+
+    class Caught:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            self.run = run
+            return self
+
+        select = groupBy = agg = lambda self, *_: self  # noqa: N815
+
+    rng, caught = random.Random(4), Caught()
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(400)) for _ in range(4_000)]
+    b = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([True] * len(texts)), pa.array([0] * len(texts), pa.int32())], ["text", "train", "cls"])
+    lattice.train_counts(caught, 1)
+    arrays._pow.clear()
+    tracemalloc.start()
+    try:
+        got = Counter()
+        for out in caught.run(iter([b])):
+            for word, n in zip(out.column(0).to_pylist(), out.column(2).to_pylist(), strict=True):
+                got[word] += n
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == Counter(w.encode() for t in texts for w in t.split()) + Counter({b"": len(texts)})
+    assert most < 100e6
+
+
 def test_lm_score_is_brute_force(spark):
     """Classes, counts, EM, discount and sums as plain loops over all segmentations of short words."""
     path = tokenizers.path("piece_bpe_32k.model")
